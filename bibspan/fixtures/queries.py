@@ -298,7 +298,7 @@ def pids_by_scheme(d):
 
 @query("select id, title, type, pub_date, omid, iris_id, iris_type from matches")
 def meta_match(d):
-    return matching.match_meta(d.parsed_meta, d.pids)
+    return matching.match_meta(d.inputs["meta"], d.pids)
 
 
 @query("select id, title, meta_type, pub_date, omid, iris_id, iris_type from iim")
@@ -325,13 +325,13 @@ def dataset_no_id(d):
     select id, title, type, pub_date, omid, iris_id, iris_type from fitting
     qualify row_number() over (partition by id order by omid) = 1""")
 def meta_dedup_strict(d):
-    return dedup.one_record_per_pid_strict(matching.match_meta(d.parsed_meta, d.pids))
+    return dedup.one_record_per_pid_strict(matching.match_meta(d.inputs["meta"], d.pids))
 
 
 @query("""select iris_id, count(*) as n_rows, count(distinct coalesce(type, '<null>')) as n_values
     from matches group by iris_id having count(distinct coalesce(type, '<null>')) <> 1""")
 def type_conflicts(d):
-    matches = matching.match_meta(d.parsed_meta, d.pids)
+    matches = matching.match_meta(d.inputs["meta"], d.pids)
     return groups.distinct_values(matches, "iris_id", "type").where("n_values <> 1")
 
 

@@ -109,13 +109,6 @@ SOURCE_TABLES = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sources = {
-        table: spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in SOURCE_TABLES[name]
-    }
-    return spark.sql(VIEWS[name], **sources)
-
-
 class Inputs(dict):
     """The views under the names of the engine's inputs, opened when first asked for."""
 
@@ -123,14 +116,19 @@ class Inputs(dict):
         super().__init__()
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables = {}
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = view(self.spark, self.sf_dir, f"fx_{name}")
+        view = f"fx_{name}"
+        sources = {table: self.table(table) for table in SOURCE_TABLES[view]}
+        self[name] = self.spark.sql(VIEWS[view], **sources)
         return self[name]
 
     def table(self, name: str) -> DataFrame:
         """One of the driver's tables as it is."""
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
 
 def common_table_expressions() -> str:

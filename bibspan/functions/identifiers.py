@@ -6,24 +6,37 @@ from pyspark.sql import functions as F
 from bibspan import fixed_values as fixed
 
 
+def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern, NULL without one; the pattern is evaluated once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def normalized_doi(raw: Column) -> Column:
     """`doi:` id of the first DOI in the text, NULL when there is none."""
-    return F.concat(F.lit("doi:"), F.lower(F.regexp_substr(raw, F.lit(fixed.DOI_PATTERN))))
+    return F.concat(F.lit("doi:"), F.lower(first_match(raw, fixed.DOI_PATTERN)))
 
 
 def normalized_pmid(raw: Column) -> Column:
     """`pmid:` id of the first PMID, NULL for PMC ids and for texts without one."""
-    digits = F.nullif(F.regexp_extract(raw, fixed.PMID_PATTERN, 1), F.lit(""))
+    digits = first_match(raw, fixed.PMID_PATTERN, 1)
     return F.when(~raw.contains(fixed.PMC_MARK), F.concat(F.lit("pmid:"), digits))
 
 
 def normalized_isbn(raw: Column) -> Column:
     """`isbn:` id of the first 13- or 10-digit ISBN; a label inside the match stays in the id."""
-    found = F.regexp_substr(raw, F.lit(fixed.ISBN_PATTERN))
-    compact = F.regexp_replace(found, fixed.ISBN_SEPARATORS, "")
+    compact = F.regexp_replace(first_match(raw, fixed.ISBN_PATTERN), fixed.ISBN_SEPARATORS, "")
     return F.concat(F.lit("isbn:"), F.lower(compact))
 
 
+def row_if_present(value: Column) -> Column:
+    """Generator of one row for a value and of none for NULL.
+
+    A filter on a computed column is pushed below the projection and computes the
+    value again; a generator drops the same rows and computes it once.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def scheme(pid: Column) -> Column:
     """`doi`, `pmid` or `isbn`; NULL for anything else."""
     return F.regexp_substr(pid, F.lit(fixed.SCHEME_PATTERN))

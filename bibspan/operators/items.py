@@ -62,8 +62,8 @@ def normalized_identifiers(items: DataFrame, column: str) -> DataFrame:
     return items.select(
         F.col("ITEM_ID").alias("iris_id"),
         F.col("OWNING_COLLECTION").alias("iris_type"),
-        pid.alias("id"),
-    ).na.drop(subset=["id"])
+        identifiers.row_if_present(pid).alias("id"),
+    )
 
 
 def rejected_identifiers(items: DataFrame, column: str) -> DataFrame:
@@ -98,8 +98,8 @@ def preferred_pids(items: DataFrame) -> DataFrame:
     return items.select(
         F.col("ITEM_ID").alias("iris_id"),
         F.col("OWNING_COLLECTION").alias("iris_type"),
-        best.alias("id"),
-    ).na.drop(subset=["id"])
+        identifiers.row_if_present(best).alias("id"),
+    )
 
 
 def pid_yield(items: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspan import fixed_values as fixed
-from bibspan.functions import records
+from bibspan.functions import identifiers, records
 from bibspan.operators.dedup import first_by_key, one_record_per_pid
 from bibspan.operators.lookup import label_type_codes
 from bibspan.operators.sizing import BROADCAST_BYTES, measured_bytes
@@ -12,34 +12,48 @@ from bibspan.operators.sizing import BROADCAST_BYTES, measured_bytes
 DETAILS = ("title", "type", "pub_date")
 
 
-def parse_meta(meta: DataFrame) -> DataFrame:
-    """Records with their canonical id and omid; records without an id are dropped."""
+def identified_records(meta: DataFrame) -> DataFrame:
+    """Records with their canonical id and the whole id list; records without an id are dropped."""
     details = [c for c in DETAILS if c in meta.columns]
     return meta.select(
-        records.canonical_id(F.col("id")).alias("id"),
+        identifiers.row_if_present(records.canonical_id(F.col("id"))).alias("id"),
         *details,
-        records.omid(F.col("id")).alias("omid"),
-    ).na.drop(subset=["id"])
+        F.col("id").alias("id_list"),
+    )
+
+
+def with_omid(identified: DataFrame) -> DataFrame:
+    return identified.select(
+        *[records.omid(F.col(c)).alias("omid") if c == "id_list" else F.col(c) for c in identified.columns]
+    )
+
+
+def parse_meta(meta: DataFrame) -> DataFrame:
+    """Records with their canonical id and omid; records without an id are dropped."""
+    return with_omid(identified_records(meta))
 
 
-def match_meta(parsed: DataFrame, pids: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def match_meta(meta: DataFrame, pids: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every record that carries an item's id, with the item.
 
-    `pids` is measured: within the limit it is broadcast and the records, which are by
-    far the larger side, are not shuffled.  Beyond it the join is shuffled; `pids` has
-    one row per id, and adaptive execution splits an id that very many records carry.
+    `pids` is measured: within the limit it is broadcast, the records, which are by far
+    the larger side, are not shuffled, and only those that match get their omid
+    extracted.  Beyond it the join is shuffled; `pids` has one row per id, and adaptive
+    execution splits an id that very many records carry.
     """
-    small = measured_bytes(pids) <= limit
-    return parsed.join(F.broadcast(pids) if small else pids, "id", "inner")
+    if measured_bytes(pids) <= limit:
+        return with_omid(identified_records(meta).join(F.broadcast(pids), "id", "inner"))
+    return parse_meta(meta).join(pids, "id", "inner")
 
 
 def in_meta(
-    parsed: DataFrame, pids: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES
+    meta: DataFrame, pids: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """One record per matched id, with the label of the item's type."""
-    small = measured_bytes(pids) <= limit
-    candidates = parsed if small else best_candidates(parsed)
-    matched = candidates.join(F.broadcast(pids) if small else pids, "id", "inner")
+    if measured_bytes(pids) <= limit:
+        matched = with_omid(identified_records(meta).join(F.broadcast(pids), "id", "inner"))
+    else:
+        matched = best_candidates(parse_meta(meta)).join(pids, "id", "inner")
     kept = one_record_per_pid(matched).withColumnRenamed("type", "meta_type")
     return label_type_codes(kept, labels, "iris_type")
 

@@ -38,14 +38,15 @@ class Datasets:
 
     @property
     def labels(self) -> DataFrame:
-        return self._once("type_labels", lambda: lookup.type_labels(self.items))
+        """Type dictionary; a small aggregate, so it is not written."""
+        return lookup.type_labels(self.items)
 
     @property
     def pids(self) -> DataFrame:
         """One identifier per item and one item per identifier."""
 
         def plan():
-            best = item_ops.preferred_pids(item_ops.with_pid(self.items))
+            best = item_ops.preferred_pids(self.items)
             return dedup.one_item_per_pid(dedup.one_pid_per_item(best))
 
         return self._once("pids", plan)
@@ -57,7 +58,7 @@ class Datasets:
     @property
     def in_meta(self) -> DataFrame:
         return self._once(
-            "in_meta", lambda: matching.in_meta(self.parsed_meta, self.pids, self.labels)
+            "in_meta", lambda: matching.in_meta(self.inputs["meta"], self.pids, self.labels)
         )
 
     @property
