@@ -89,6 +89,11 @@ def bibliographic_text(title: Column, authors: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Distinct lower-case words of a text."""
-    parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(parts, lambda w: w != ""))
+    """Distinct lower-case words of a text, in order."""
+    parts = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    return F.sort_array(F.array_remove(parts, ""))
+
+
+def words_key(word_list: Column) -> Column:
+    """Key of a list of words: equal for equal lists, and short however long the text."""
+    return F.sha2(F.array_join(word_list, " "), 256)

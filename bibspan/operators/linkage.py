@@ -68,20 +68,23 @@ def _weight(n_docs: Column, frequency: Column) -> Column:
     return F.round(F.lit(WEIGHT_UNIT) * F.ln(ratio)).cast("bigint")
 
 
+def _keyed_texts(texts: DataFrame, key: str) -> DataFrame:
+    listed = texts.select(key, records.words(F.col("text")).alias("words"))
+    return listed.select(key, records.words_key(F.col("words")).alias("set_id"), "words")
+
+
 def _distinct_texts(texts: DataFrame, key: str) -> DataFrame:
     """Texts collapsed by their set of words: one row per set, smallest key, number of copies.
 
     A group of copies, however large, becomes one row under partial aggregation.
+    Texts without words are dropped after it, so that no filter splits texts twice.
     """
-    listed = texts.select(key, F.array_sort(records.words(F.col("text"))).alias("words"))
-    keyed = listed.where(F.size("words") > 0).withColumn(
-        "set_id", F.sha2(F.array_join("words", " "), 256)
-    )
-    return keyed.groupBy("set_id").agg(
+    collapsed = _keyed_texts(texts, key).groupBy("set_id").agg(
         F.min(key).alias(key),
         F.count(F.lit(1)).alias("copies"),
         F.any_value("words").alias("words"),
     )
+    return collapsed.where(F.size("words") > 0)
 
 
 def best_match(
@@ -107,7 +110,7 @@ def best_match(
         .agg(F.sum("copies").alias("df"))
     )
 
-    asked = written(_keyed_queries(queries), "match-queries")
+    asked = written(_keyed_texts(queries, "item_id"), "match-queries")
     query_sets = asked.groupBy("set_id").agg(F.any_value("words").alias("words"))
     query_words = query_sets.select("set_id", F.explode("words").alias("word"))
     weighted = query_words.join(frequency, "word", "left").select(
@@ -160,13 +163,6 @@ def best_match(
     )
 
 
-def _keyed_queries(queries: DataFrame) -> DataFrame:
-    listed = queries.select("item_id", F.array_sort(records.words(F.col("text"))).alias("words"))
-    return listed.where(F.size("words") > 0).withColumn(
-        "set_id", F.sha2(F.array_join("words", " "), 256)
-    )
-
-
 def _best_per_query(scored: DataFrame) -> DataFrame:
     """Highest score, smallest document id, and whether another document scores the same.
 

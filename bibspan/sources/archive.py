@@ -21,6 +21,7 @@ This module needs nothing but PyArrow, so it can be sent to the executors as it
 """
 
 import fnmatch
+import io
 import posixpath
 import sys
 import tarfile
@@ -36,6 +37,7 @@ from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK_BYTES = 16 * 1024 * 1024
+READ_BYTES = 1024 * 1024
 LISTING_THREADS = 16
 COMPRESSED_TAR_SUFFIXES = (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")
 
@@ -179,9 +181,46 @@ def filesystem_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def open_file(path: str):
+class RandomAccessFile(io.RawIOBase):
+    """An Arrow input file with the errors that Python's archive readers expect.
+
+    They look for optional trailers before the start of a very short archive and take
+    an OSError for "not there", where Arrow raises a ValueError.
+    """
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        try:
+            return self.file.seek(offset, whence)
+        except ValueError as error:
+            raise OSError(str(error)) from error
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.file.close()
+        super().close()
+
+
+def open_file(path: str) -> io.BufferedReader:
     filesystem, name = filesystem_of(path)
-    return filesystem.open_input_file(name)
+    raw = RandomAccessFile(filesystem.open_input_file(name))
+    return io.BufferedReader(raw, READ_BYTES)
 
 
 def archives_at(path: str) -> list[str]:
@@ -199,15 +238,17 @@ def archives_at(path: str) -> list[str]:
     return [prefix + f for f in files if not posixpath.basename(f).startswith(("_", "."))]
 
 
+def is_archive(path: str) -> bool:
+    return path.lower().endswith((".zip", ".tar", *COMPRESSED_TAR_SUFFIXES))
+
+
 def archive_kind(path: str) -> str:
+    if not is_archive(path):
+        raise ValueError(f"unknown archive type: {path}")
     lowered = path.lower()
     if lowered.endswith(".zip"):
         return "zip"
-    if lowered.endswith(".tar"):
-        return "tar"
-    if lowered.endswith(COMPRESSED_TAR_SUFFIXES):
-        return "compressed-tar"
-    raise ValueError(f"unknown archive type: {path}")
+    return "tar" if lowered.endswith(".tar") else "compressed-tar"
 
 
 def is_plain_tar(path: str) -> bool:

@@ -91,10 +91,8 @@ def repository_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Global metadata dump: an archive of CSV shards, or a Parquet table."""
-    if posixpath.splitext(path)[1] in (".zip", ".tar") or path.endswith(
-        archive.COMPRESSED_TAR_SUFFIXES
-    ):
+    """Global metadata dump: an archive, or a folder of archives, of CSV shards; or Parquet."""
+    if any(archive.is_archive(name) for name in archive.archives_at(require(path))):
         return read_archive(spark, path, schemas.META)
     return read_parquet(spark, path)
 
