@@ -18,6 +18,7 @@ from bibspan.plans.datasets import Datasets
 from bibspan.session import configured, fresh_folder
 from bibspan.sources import sinks, tables
 
+PLANS = {}
 QUERIES = {}
 ORACLES = {}
 
@@ -32,6 +33,7 @@ def query(sql: str):
 
         run.__name__ = plan.__name__
         run.__doc__ = inspect.getdoc(plan)
+        PLANS[plan.__name__] = plan
         QUERIES[plan.__name__] = run
         ORACLES[plan.__name__] = statement(sql)
         return plan

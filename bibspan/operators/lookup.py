@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspan import fixed_values as fixed
-from bibspan import schemas
 from bibspan.operators.sizing import broadcast_if_small
 
 
@@ -38,7 +37,11 @@ def label_type_codes(df: DataFrame, labels: DataFrame, column: str) -> DataFrame
 
 def type_mapping(spark: SparkSession) -> DataFrame:
     """The local-to-global type pairs that count as matching; 28 fixed rows."""
-    return spark.createDataFrame(list(fixed.TYPE_MAPPING), schemas.TYPE_MAPPING)
+    pairs = [
+        F.struct(F.lit(local).cast("string").alias("iris_type"), F.lit(name).alias("meta_type"))
+        for local, name in fixed.TYPE_MAPPING
+    ]
+    return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
 def matching_types(iim: DataFrame, mapping: DataFrame) -> DataFrame:
