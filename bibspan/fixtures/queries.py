@@ -268,6 +268,12 @@ def dup_pids_by_scheme(d):
     return groups.duplicates_by_scheme(_per_item(d))
 
 
+@query("""select n_rows, count(*) as n_keys from (select count(*) as n_rows from all_pids group by iris_id)
+    where n_rows > 1 group by n_rows""")
+def ids_per_item_distribution(d):
+    return groups.group_size_distribution(item_ops.extract_pids(d.items), "iris_id")
+
+
 @query("""select iris_type, count(*) as len from (select * from per_item where id like 'pmid:%'
     qualify count(*) over (partition by id) > 1) group by iris_type""")
 def dup_pmids_by_type(d):
@@ -384,19 +390,19 @@ _IN = "in (select omid from omids)"
 @query(f"""select count(*) filter (citing is not null and not citing {_IN}) as citing,
     count(*) filter (cited is not null and not cited {_IN}) as cited from iii""")
 def rq4_external(d):
-    return questions.question_4(d.inputs["index"], d.omids)
+    return questions.question_4(d.inputs["index"], d.in_meta)
 
 
 @query(f"select count(*) filter (citing {_IN} and cited {_IN}) as len from iii")
 def rq5_internal(d):
-    return questions.question_5(d.inputs["index"], d.omids)
+    return questions.question_5(d.inputs["index"], d.in_meta)
 
 
 @query(f"""select count(*) as total, count(*) filter (citing is not null and not citing {_IN}) as citing,
     count(*) filter (cited is not null and not cited {_IN}) as cited,
     count(*) filter (citing {_IN} and cited {_IN}) as "both" from iii""")
 def citation_questions(d):
-    return questions.citation_questions(d.inputs["index"], d.omids)
+    return questions.citation_questions(d.inputs["index"], d.in_meta)
 
 
 @query(f"""select total, round(citing * 100 / total, 2) as pct_citing_outside,
@@ -405,7 +411,7 @@ def citation_questions(d):
         count(*) filter (cited is not null and not cited {_IN}) as cited,
         count(*) filter (citing {_IN} and cited {_IN}) as "both" from iii)""")
 def citation_share(d):
-    return questions.citation_shares(d.inputs["index"], d.omids)
+    return questions.citation_shares(d.inputs["index"], d.in_meta)
 
 
 # Types

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspan.functions import identifiers
+from bibspan.operators.sizing import BROADCAST_BYTES, lookup_side
 
 
 def count_by(df: DataFrame, *keys: str | Column, name: str = "len") -> DataFrame:
@@ -23,16 +24,18 @@ def duplicated_keys(df: DataFrame, *keys: str) -> DataFrame:
     return count_by(df, *keys, name="n_rows").where("n_rows > 1")
 
 
-def duplicate_rows(df: DataFrame, *keys: str) -> DataFrame:
+def duplicate_rows(df: DataFrame, *keys: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """All rows whose key occurs more than once; NULL keys equal each other.
 
     The keys are counted with partial aggregation and the rows come from a semi join
-    with the repeated keys, so adaptive execution can split the rows of a hot key over
-    many tasks.  A count window would put them all into one.
+    with the repeated keys: a broadcast when they are few, else a shuffled join in which
+    adaptive execution splits the rows of a hot key.  A count window would put them all
+    into one task.  `df` is read twice, so give it a written table.
     """
-    repeated = duplicated_keys(df, *keys).alias("repeated")
+    repeated = lookup_side(duplicated_keys(df, *keys).select(*keys), "repeated", limit)
     same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"repeated.{k}")) for k in keys]
-    return df.alias("rows").join(repeated, reduce(lambda a, b: a & b, same), "left_semi")
+    condition = reduce(lambda a, b: a & b, same)
+    return df.alias("rows").join(repeated.alias("repeated"), condition, "left_semi")
 
 
 def group_size_distribution(df: DataFrame, key: str) -> DataFrame:

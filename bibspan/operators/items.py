@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspan.functions import identifiers
+from bibspan.operators.sizing import lookup_side
 
 PID_COLUMNS = ("IDE_DOI", "IDE_ISBN", "IDE_PMID")
 
@@ -75,7 +76,7 @@ def rejected_identifiers(items: DataFrame, column: str) -> DataFrame:
     pid = _NORMALIZERS[column](F.col(column))
     rejects = raw_identifiers(items, column).where(pid.isNull())
     accepted = normalized_identifiers(items, column).select(F.col("iris_id").alias("ITEM_ID"))
-    return rejects.join(accepted.distinct(), "ITEM_ID", "left_anti")
+    return rejects.join(lookup_side(accepted.distinct(), "accepted"), "ITEM_ID", "left_anti")
 
 
 def extract_pids(items: DataFrame) -> DataFrame:

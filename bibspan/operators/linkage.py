@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 
 from bibspan import fixed_values as fixed
 from bibspan.functions import records
-from bibspan.operators.sizing import BROADCAST_BYTES, broadcast_if_small, measured_bytes, written
+from bibspan.operators.sizing import (
+    BROADCAST_BYTES,
+    broadcast_if_small,
+    lookup_side,
+    measured_bytes,
+    written,
+)
 
 WEIGHT_UNIT = 1_000_000
 
@@ -48,22 +54,11 @@ def best_of_two(scored: DataFrame, threshold: Column) -> DataFrame:
     )
 
 
-def word_weights(corpus_words: DataFrame) -> DataFrame:
-    """Weight of every word: rarer words weigh more, in whole millionths.
+def _weight(n_docs: Column, frequency: Column) -> Column:
+    """Weight of a word: rarer words weigh more, in whole millionths.
 
-    `corpus_words` has doc_id and words, the distinct words of each document.  Integer
-    weights make the sums independent of their order, so equal scores are equal.
+    Integers make sums independent of their order, so equal scores are equal.
     """
-    n_docs = corpus_words.agg(F.count(F.lit(1))).scalar()
-    frequency = (
-        corpus_words.select(F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    return frequency.select("word", _weight(n_docs, F.col("df")).alias("weight"))
-
-
-def _weight(n_docs: Column, frequency: Column) -> Column:
     ratio = (n_docs + F.lit(1)) / (frequency + F.lit(1))
     return F.round(F.lit(WEIGHT_UNIT) * F.ln(ratio)).cast("bigint")
 
@@ -103,41 +98,11 @@ def best_match(
     score.  Copies, of queries and of documents, are collapsed beforehand.
     """
     documents = written(_distinct_texts(corpus, "doc_id"), "match-documents")
-    n_docs = documents.agg(F.sum("copies")).scalar()
-    frequency = (
-        documents.select(F.explode("words").alias("word"), "copies")
-        .groupBy("word")
-        .agg(F.sum("copies").alias("df"))
-    )
-
     asked = written(_keyed_texts(queries, "item_id"), "match-queries")
-    query_sets = asked.groupBy("set_id").agg(F.any_value("words").alias("words"))
-    query_words = query_sets.select("set_id", F.explode("words").alias("word"))
-    weighted = query_words.join(frequency, "word", "left").select(
-        "set_id",
-        "word",
-        _weight(n_docs, F.coalesce("df", F.lit(0))).alias("weight"),
-    )
-    cheapest_first = Window.partitionBy("set_id").orderBy(F.col("weight").asc(), F.col("word").asc())
-    whole = Window.partitionBy("set_id")
-    ranked = written(
-        weighted.withColumn(
-            "_upto",
-            F.sum("weight").over(
-                cheapest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        ).withColumn("total", F.sum("weight").over(whole)),
-        "match-words",
-    )
-    probes = ranked.where(F.col("_upto") * 100 > F.col("total") * percent_above).select(
-        F.col("set_id").alias("query_set"), "word"
-    )
-    query_weights = ranked.groupBy(F.col("set_id").alias("query_set")).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"),
-        F.any_value("total").alias("total"),
-    )
+    weighed = written(_weighed_queries(asked, documents, percent_above), "match-weights")
 
     postings = documents.select(F.col("set_id").alias("doc_set"), F.explode("words").alias("word"))
+    probes = weighed.select("query_set", F.explode("probes").alias("word"))
     pairs = (
         postings.join(broadcast_if_small(probes), "word")
         .select("query_set", "doc_set")
@@ -149,7 +114,7 @@ def best_match(
         lambda total, word: total + F.col("weights")[word],
     )
     scored = (
-        pairs.join(query_weights, "query_set")
+        pairs.join(weighed.select("query_set", "weights", "total"), "query_set")
         .join(
             documents.select(F.col("set_id").alias("doc_set"), "doc_id", "copies", "words"),
             "doc_set",
@@ -157,12 +122,39 @@ def best_match(
         .select("query_set", "doc_id", "copies", "total", shared.alias("score"))
         .where(F.col("score") * 100 > F.col("total") * percent_above)
     )
-    best = _best_per_query(scored)
+    best = lookup_side(_best_per_query(scored), "match-best")
     return asked.select("item_id", F.col("set_id").alias("query_set")).join(best, "query_set").select(
         "item_id", "doc_id", "score", "total", "ambiguous_match"
     )
 
 
+def _weighed_queries(asked: DataFrame, documents: DataFrame, percent_above: int) -> DataFrame:
+    """Per distinct set of query words: their weights, the total, and the words to look up."""
+    n_docs = documents.agg(F.sum("copies")).scalar()
+    frequency = (
+        documents.select(F.explode("words").alias("word"), "copies")
+        .groupBy("word")
+        .agg(F.sum("copies").alias("df"))
+    )
+    query_sets = asked.groupBy("set_id").agg(F.any_value("words").alias("words"))
+    query_words = query_sets.select(F.col("set_id").alias("query_set"), F.explode("words").alias("word"))
+    weighted = query_words.join(written(frequency, "match-frequency"), "word", "left").select(
+        "query_set", "word", _weight(n_docs, F.coalesce("df", F.lit(0))).alias("weight")
+    )
+    cheapest_first = Window.partitionBy("query_set").orderBy(F.col("weight").asc(), F.col("word").asc())
+    up_to = F.sum("weight").over(
+        cheapest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    total = F.sum("weight").over(Window.partitionBy("query_set"))
+    ranked = weighted.select("*", up_to.alias("up_to"), total.alias("total"))
+    is_probe = F.col("up_to") * 100 > F.col("total") * percent_above
+    return ranked.groupBy("query_set").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"),
+        F.any_value("total").alias("total"),
+        F.collect_list(F.when(is_probe, F.col("word"))).alias("probes"),
+    )
+
+
 def _best_per_query(scored: DataFrame) -> DataFrame:
     """Highest score, smallest document id, and whether another document scores the same.
 
@@ -204,4 +196,4 @@ def with_items(results: DataFrame, items: DataFrame) -> DataFrame:
 def unprocessed(items: DataFrame, results: DataFrame) -> DataFrame:
     """Items that have no saved result yet."""
     done = results.select(F.col("item_id").alias("ITEM_ID")).distinct()
-    return items.join(done, "ITEM_ID", "left_anti")
+    return items.join(lookup_side(done, "done"), "ITEM_ID", "left_anti")

@@ -72,8 +72,8 @@ def best_candidates(parsed: DataFrame) -> DataFrame:
 
 
 def not_in_meta(pids: DataFrame, matched: DataFrame) -> DataFrame:
-    """Ids of the items that have no record."""
-    return pids.join(matched.select("iris_id").distinct(), "iris_id", "left_anti")
+    """Ids of the items that have no record; both tables have one row per item."""
+    return pids.join(matched.select("iris_id"), "iris_id", "left_anti")
 
 
 def reconciled_ids(best_matches: DataFrame) -> DataFrame:

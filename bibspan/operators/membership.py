@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspan.operators.sizing import BROADCAST_BYTES, measured_bytes
+from bibspan.operators.sizing import BROADCAST_BYTES, lookup_side
 
 
 def members(matched: DataFrame) -> DataFrame:
@@ -16,11 +16,10 @@ def end_flags(index: DataFrame, omids: DataFrame, limit: int = BROADCAST_BYTES)
 
     Both flags come from one scan of the citations.  A member set within the limit is
     broadcast once and used by both joins, without any shuffle of the citations.
-    Beyond it both are shuffled outer joins, which adaptive execution may split when
-    one much-cited record holds a large share of the citations.
+    Beyond it both are shuffled outer joins, which adaptive execution splits where one
+    much-cited record holds a large share of the citations.
     """
-    small = measured_bytes(omids) <= limit
-    side = F.broadcast(omids) if small else omids
+    side = lookup_side(omids, "members", limit)
     return (
         index.join(side.alias("a"), F.col("citing") == F.col("a.omid"), "left")
         .join(side.alias("b"), F.col("cited") == F.col("b.omid"), "left")

@@ -45,3 +45,14 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     path = f"{folder}/{name}" if folder else fresh_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lookup_side(keys: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """An aggregated table made ready to be joined by its key: broadcast, or at least splittable.
+
+    An aggregate leaves its rows partitioned by its key, and a join on that key would use
+    them as they are.  Adaptive execution then cannot split the hot partitions of the
+    other side, as it only does so between two plain shuffles.  A written table is
+    shuffled for the join, so a key with very many rows on the other side is split.
+    """
+    return broadcast_if_small(written(keys, name), limit)

@@ -62,7 +62,8 @@ class Datasets:
 
     @property
     def omids(self) -> DataFrame:
-        return self._once("omids", lambda: membership.members(self.in_meta))
+        """Members of the citation questions; one column of a written table, not written again."""
+        return membership.members(self.in_meta)
 
     @property
     def not_in_meta(self) -> DataFrame:

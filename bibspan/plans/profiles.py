@@ -30,7 +30,7 @@ def type_ranking_side_by_side(meta_types: DataFrame, item_types: DataFrame) -> D
 
     def ranked(df: DataFrame, key: str, count: str) -> DataFrame:
         order = Window.orderBy(F.col(count).desc(), F.col(key).asc_nulls_last())
-        return df.withColumn("position", F.row_number().over(order))
+        return df.withColumn("position", F.row_number().over(order).cast("bigint"))
 
     left = ranked(meta_types.select("meta_type", "len"), "meta_type", "len")
     right = ranked(

@@ -52,7 +52,7 @@ def test_no_python_in_the_plans(data):
 
 
 def test_duplicate_rows_do_not_window_over_raw_rows(data):
-    text = plan(groups.duplicate_rows(data.pids, "id"))
+    text = plan(groups.duplicate_rows(data.pids, "id", limit=0))
     assert "Window" not in text and "LeftSemi" in text
 
 
