@@ -598,6 +598,12 @@ def no_id_duplicates(d):
     return profiles.no_id_duplicates(dedup.titled_no_id(d.no_id))
 
 
+@query("select ITEM_ID, TITLE, DES_ALLPEOPLE from clean_no_id qualify count(*) over (partition by TITLE) > 1")
+def no_id_same_title(d):
+    repeated = groups.duplicate_rows(d.clean_no_id, "TITLE")
+    return repeated.select("ITEM_ID", "TITLE", "DES_ALLPEOPLE")
+
+
 # Items not matched
 
 
