@@ -1,6 +1,7 @@
 """The operators as queries over whole tables, and the SQL that gives the same rows."""
 
 from bibspan.llm.common import table
+from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.set_join import similar_sets
 from bibspan.session import configured
 
@@ -48,3 +49,30 @@ group by d.doc_id, s.n"""
 @query(JACCARD)
 def op2_ngram_jaccard_join(spark, sf_dir):
     return similar_sets(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+WORDS7 = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = rf"""
+with item_words as (select item_id, {WORDS7} as w from benchmark),
+windows as (
+    select distinct item_id, least(len(w), 10) as m, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+        lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as win
+    from item_words where len(w) > 0),
+doc_words as (select doc_id, {WORDS7} as w from documents),
+places as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i
+    from doc_words, (select distinct m from windows) where len(w) >= m),
+found as (select p.doc_id, p.i, p.m, x.item_id from places p join windows x
+    on x.m = p.m and x.win = array_to_string(p.w[p.i:p.i + p.m - 1], ' ')),
+hits as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from found) group by 1),
+held as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+    from (select distinct doc_id, item_id from found) group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words d left join hits using (doc_id) left join held using (doc_id)"""
+
+
+@query(DECONTAMINATION)
+def op7_decontamination(spark, sf_dir):
+    found = contained_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return hit_report(found)
