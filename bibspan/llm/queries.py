@@ -1,5 +1,9 @@
 """The operators as queries over whole tables, and the SQL that gives the same rows."""
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.set_join import similar_sets
@@ -76,3 +80,13 @@ from doc_words d left join hits using (doc_id) left join held using (doc_id)"""
 def op7_decontamination(spark, sf_dir):
     found = contained_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return hit_report(found)
+
+
+@query()
+def op8_bpe(spark, sf_dir, path=None):
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return decode_ids(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

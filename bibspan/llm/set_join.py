@@ -34,8 +34,8 @@ from bibspan.llm.words import WordHasher, mixed, runs
 from bibspan.operators.sizing import broadcast_if_small, lookup_side, written
 
 # The sketch of shingle counts: its size is fixed, whatever the input.
-SKETCH_BITS = 20
-SLICE_BITS = 14
+SKETCH_BITS = 18
+SLICE_BITS = 12
 _COUNTED_AT_ONCE = 1 << 20
 
 
@@ -174,7 +174,8 @@ class SetJoin:
         ones = ones.where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
         entries = ones.select("k", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
         live = entries.groupBy("token").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x != y").select("token")
-        return written(entries.join(lookup_side(live, "live"), "token"), "postings")
+        # About as many tokens live as there are documents, so they are never broadcast.
+        return written(entries.join(written(live, "live"), "token"), "postings")
 
     def lists(self, postings: DataFrame) -> DataFrame:
         # Similar sizes differ by one band at most; the small addend keeps that true in floating point.
@@ -191,22 +192,28 @@ class SetJoin:
     def enough(self, overlap, n, m):
         return overlap.cast("long") * (100 + self.percent) >= (n + m).cast("long") * self.percent
 
-    def answers(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-        """Overlaps of the pairs (a, b), from whole sets."""
-        pairs = written(pairs, "pairs")
-        keys = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        reps = lookup_side(keys.join(firsts, "k").select("k", F.col("first").alias("doc_id")), "compared")
+    def sets_of(self, keys: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Whole sets of some classes, made anew from the text of their first document."""
+        reps = lookup_side(keys.distinct().join(firsts, "k").select("k", F.col("first").alias("doc_id")), "compared")
         ids = broadcast_if_small(reps.select(F.col("doc_id").alias("_id")).distinct())
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
         sets = texts.mapInArrow(_full_sets(self.width), "k binary, shingles array<long>")
-        sets = written(sets.join(reps.select("k"), "k", "left_semi").dropDuplicates(["k"]), "whole-sets")
-        one = sets.select(F.col("k").alias("a"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
-        found = pairs.join(two, "b").join(one, "a").select(
+        return sets.join(reps.select("k"), "k", "left_semi")
+
+    def answers(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Overlaps of the pairs (a, b), from whole sets.
+
+        Only the set of b travels with a pair, to where the set of a is.
+        """
+        pairs = written(pairs, "pairs")
+        one = self.sets_of(pairs.select(F.col("a").alias("k")), firsts).toDF("a", "sa")
+        two = self.sets_of(pairs.select(F.col("b").alias("k")), firsts).toDF("b", "sb")
+        found = two.join(broadcast_if_small(pairs), "b").join(one, "a").select(
             "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o")
         )
         found = found.withColumn("linked", self.enough(F.col("o"), F.col("na"), F.col("nb")))
-        return written(found, "answers")
+        # A doc_id that occurs in several rows answers its pairs several times.
+        return written(found.dropDuplicates(["a", "b"]), "answers")
 
     def run(self) -> DataFrame:
         classes = self.classes()
