@@ -202,6 +202,19 @@ class WordBpe(FragmentBpe):
         return (ord(a.lower()), ord(b.lower())) not in self.joined
 
 
+class ByteBpe(FragmentBpe):
+    """A byte-level vocabulary in which white space belongs to what follows it."""
+
+    simple = re.compile(f"( ?{LATIN}+)({SIGN}*)")
+    pieces = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    unclear = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+    def fragments(self, text: str) -> list[str] | None:
+        if self.unclear.search(text) or any(" " in s for s in self.special):
+            return None
+        return self.pieces.findall(text)
+
+
 def tokenizer(kind, path_text: str):
     """The worker's tokenizer of a kind, made once from its JSON text."""
     made = worker_state("tokenizers")

@@ -7,7 +7,8 @@ from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.set_join import similar_sets
-from bibspan.session import configured
+from bibspan.llm.token_files import read_token_files, write_token_files
+from bibspan.session import configured, fresh_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -90,3 +91,12 @@ def op8_bpe(spark, sf_dir, path=None):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op6_token_files(spark, sf_dir):
+    folder = fresh_folder(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return read_token_files(spark, folder).select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
