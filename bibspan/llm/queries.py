@@ -7,7 +7,9 @@ from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.set_join import similar_sets
+from bibspan.llm.tiles import near_vectors
 from bibspan.llm.token_files import read_token_files, write_token_files
+from bibspan.llm.warc import read_chunks, stored_records, with_record_types, write_archives
 from bibspan.session import configured, fresh_folder
 
 QUERIES = {}
@@ -100,3 +102,39 @@ def op6_token_files(spark, sf_dir):
     write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return read_token_files(spark, folder).select("doc_id", "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as b from pages),
+r as (select sha1(h) as d, b, max(page_id) as target from p where b >= 1000 group by 1, 2)
+select page_id, cast(p.b as bigint) as payload_bytes, sha1(h) as payload_digest,
+    case when target <> page_id then 'revisit' else 'response' end as record_type,
+    case when target <> page_id then target end as refers_to
+from p left join r on r.d = sha1(h) and r.b = p.b"""
+
+
+@query(WARC)
+def op5_warc(spark, sf_dir):
+    folder = fresh_folder(spark, "warc")
+    write_archives(with_record_types(table(spark, sf_dir, "pages")), folder)
+    return stored_records(read_chunks(spark, folder, with_payload=False))
+
+
+NEAR_VECTORS = """
+with recursive v as (
+    select vec_id, cast(embedding as double[]) as e, list_count(embedding) = len(embedding)
+        and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as good
+    from embeddings),
+good as (select vec_id, e from v where good),
+links as (select a.vec_id as x, b.vec_id as y from good a join good b
+    on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reached as (select x, y from links union select r.x, l.y from reached r join links l on l.x = r.y)
+select vec_id, coalesce(n, 0) as n_links, coalesce(least(vec_id, c), vec_id) as component_id,
+    coalesce(least(vec_id, c), vec_id) = vec_id as kept
+from embeddings left join (select x, count(*) as n from links group by x) n on n.x = vec_id
+    left join (select x, min(y) as c from reached group by x) r on r.x = vec_id"""
+
+
+@query(NEAR_VECTORS)
+def op4_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
