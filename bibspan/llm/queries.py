@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
+from bibspan.llm.line_dedup import without_repeated_blocks
 from bibspan.llm.set_join import similar_sets
 from bibspan.llm.tiles import near_vectors
 from bibspan.llm.token_files import read_token_files, write_token_files
@@ -138,3 +139,9 @@ from embeddings left join (select x, count(*) as n from links group by x) n on n
 @query(NEAR_VECTORS)
 def op4_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_blocks(docs, count="n_deleted")

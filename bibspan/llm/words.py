@@ -78,7 +78,12 @@ class WordHasher:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and for each text where its words start."""
-        hashes, places = [], []
+        hashes, places = self.located(data, offsets)
+        return hashes, np.searchsorted(places, offsets)
+
+    def located(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and the byte where each word starts."""
+        hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         at = 0
         while at < len(data):
             stop = min(at + PIECE_BYTES, len(data))
@@ -89,9 +94,7 @@ class WordHasher:
             hashes.append(found)
             places.append(begin + at)
             at = stop
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        return np.concatenate(hashes), np.concatenate(places)
 
     def _cut(self, data, offsets, at, stop) -> int:
         """The last start of a text, or else a separator: a place where no word goes on."""
@@ -118,4 +121,18 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(value + np.uint64(width))
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span; a span ends where the next one starts, the last with the words."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = len(hashes) + 1
+    power, back = np.full(size, _STEP), np.full(size, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    total = np.zeros(size, dtype=np.uint64)
+    np.cumsum(hashes * power[1:], out=total[1:])
+    ends = np.append(starts[1:], len(hashes))
+    return mixed((total[ends] - total[starts]) * back[starts])
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
