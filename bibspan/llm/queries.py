@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from bibspan.llm import toxicity
 from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
@@ -145,3 +146,10 @@ def op4_embedding_near_dedup(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeated_blocks(docs, count="n_deleted")
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predicted(toxicity.with_toxicity(docs, model), 0.3)
