@@ -3,9 +3,11 @@
 The kernel of two words counts the subsequences of three letters they share, each occurrence
 weighted by DECAY for every letter skipped, within SPAN letters; so words with letters put
 in or left out are still alike.  A text is as toxic as its most toxic sentence, and a sentence
-as its most toxic word.  Labels are of documents: in each toxic document of the sample, the word
-(with its sentence) that is most toxic so far is taken as the reason, all words of clean ones as clean, and the
-machine is trained again on those, until the reasons settle.
+as its most toxic word.  Labels are of documents, so the sentences that made a document toxic have to be found: first
+by words and beginnings of words that toxic documents have far more often, then by what the
+machine finds worse than nearly all clean documents.  Two machines find these reasons for
+each other, each in the half of the toxic documents that it has not learnt from; a document
+without any is taken as wrongly labelled.  All words of clean documents are clean.
 
 With landmarks, the decision is linear in the counts of subsequences: landmarks and
 their weights fold into one number per subsequence, and a word is scored by adding these up.
@@ -17,6 +19,7 @@ import math
 import re
 import sys
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ from bibspan.llm.labelled import label_share, training_rows
 # The sample: labelled documents of each class, and words kept of all the clean ones.
 MOST_DOCUMENTS = 1500
 MOST_CLEAN_WORDS = 20_000
-LANDMARKS = 192
-ROUNDS = 6
+LANDMARKS = 160
+ROUNDS = 4
+COST = 3.0
+MOST_OF_A_REASON = 30
+SPOILED = 5
+TELLING = 5.0
 DECAY = 0.6
 SPAN = 8
 _CODES = 32
@@ -66,8 +73,12 @@ class _Letters(dict):
 LETTERS = _Letters(_letter_codes())
 
 
+_DRAWN_OUT = re.compile(rb"(.)\1\1+", re.DOTALL)
+
+
 def coded(words: list[str]) -> list[bytes]:
-    return [w.translate(LETTERS).encode("latin-1") for w in words]
+    """Codes of the letters of words; a letter that comes more than twice in a row comes twice."""
+    return [_DRAWN_OUT.sub(rb"\1\1", w.translate(LETTERS).encode("latin-1")) for w in words]
 
 
 def _subsequences(words: list[bytes]):
@@ -192,23 +203,61 @@ class Model:
         return self.weights, self.bias, self.slope, self.offset
 
 
-def _first_weights(toxic: list[list[bytes]], clean: list[list[bytes]]) -> np.ndarray:
-    """Log odds of subsequences by the documents that have them."""
+def _beginnings(word: bytes) -> set[bytes]:
+    """The word itself, marked by a zero, and its first letters."""
+    return {word + b"\0", word[:4], word[:5]}
 
-    def present(documents):
-        counts = np.zeros(_CODES**3)
-        for words in documents:
-            seen = [np.zeros(1, np.int64)]
-            for number, weight in _subsequences([w for w in words if w][:4000]) if words else ():
-                if weight == 1:
-                    seen.append(np.unique(number))
-            counts[np.unique(np.concatenate(seen))] += 1
-        return counts
 
-    with_it, without = present(toxic), present(clean)
-    odds = np.log((with_it + 0.5) / (len(toxic) + 1)) - np.log((without + 0.5) / (len(clean) + 1))
-    odds[0] = 0
-    return np.where(with_it + without >= 3, odds, 0).astype(np.float32)
+def _telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
+    """Words and beginnings that toxic documents have far more often: by TELLING standard deviations."""
+    counts = []
+    for documents in (toxic, clean):
+        own = {}
+        for words in documents:
+            for part in set().union(*map(_beginnings, words)):
+                own[part] = own.get(part, 0) + 1
+        counts.append(own)
+    ratio = len(toxic) / len(clean)
+    expected = {part: ratio * counts[1].get(part, 0) for part in counts[0]}
+    return {part for part, n in counts[0].items() if n - expected[part] >= TELLING * math.sqrt(expected[part] + 1)}
+
+
+def _first_reasons(documents: list[list[bytes]], telling: set[bytes], known_clean) -> list[bytes]:
+    """Telling words, and words with a telling beginning that no clean document has."""
+    return [
+        w for words in documents for w in words
+        if w + b"\0" in telling or (w not in known_clean and not telling.isdisjoint(_beginnings(w)))
+    ]
+
+
+def _reasons(documents: list[list[bytes]], machine, limit: float, known_clean) -> list[bytes]:
+    """The words of the documents that are worse than the limit and in no clean document."""
+    flat = sorted({w for words in documents for w in words}.difference(known_clean))
+    worse = {w for w, value in zip(flat, decisions(flat, *machine)) if value > limit}
+    return [w for words in documents for w in words if w in worse]
+
+
+def _machine(reasons: list[bytes], negative: list[bytes], rng) -> tuple[np.ndarray, float]:
+    """Weights of subsequences and bias of the machine that parts reasons from clean words."""
+    counts = Counter(reasons)
+    distinct = sorted(counts, key=lambda w: (-counts[w], w))
+    often, rest = distinct[: LANDMARKS // 4], distinct[LANDMARKS // 4 :]
+    marks = often + [rest[k] for k in rng.permutation(len(rest))[: LANDMARKS // 4]]
+    marks += [negative[k] for k in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
+    table = features(marks)
+    values, vectors = np.linalg.eigh((table @ table.T).astype(np.float64))
+    strong = values > values.max() * 1e-6
+    root = vectors[:, strong] / np.sqrt(values[strong])
+    positive = distinct + [spoiled(w, rng) for w in distinct * SPOILED]
+    x = _products([*positive, *negative], table) @ root
+    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+    share = np.array([min(counts[w], MOST_OF_A_REASON) for w in distinct], dtype=np.float64)
+    share = np.concatenate([share, *[share / 2] * SPOILED])
+    cost = np.concatenate([share / share.sum() * len(negative) / 2, np.ones(len(negative))]) * COST
+    w = svm(x, y, cost)
+    weights = (table.T @ (root @ w[:-1])).astype(np.float32)
+    weights[0] = 0
+    return weights, float(w[-1])
 
 
 def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Model:
@@ -224,39 +273,24 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
         model.slope = 0.0
         return model
     everything_clean = sorted({w for words in clean for w in words})
-    known_clean = set(everything_clean)
-    weights, bias = _first_weights(toxic, clean), 0.0
-    candidates = [[w for w in words if w not in known_clean] or words for words in toxic]
-    flat = [w for words in candidates for w in words]
-    ends = np.cumsum([len(words) for words in candidates])
-    pick = rng.permutation(len(everything_clean))[: MOST_CLEAN_WORDS // 2]
-    chosen = {everything_clean[k] for k in pick}
-    reasons: list[bytes] = []
+    place = {w: k for k, w in enumerate(everything_clean)}
+    of_clean = [np.array([place[w] for w in words]) for words in clean]
+    halves = [toxic[0::2], toxic[1::2]] if len(toxic) > 1 else [toxic, toxic]
+    chosen = set(rng.permutation(len(everything_clean))[: MOST_CLEAN_WORDS // 2].tolist())
+    first = [_first_reasons(halves[1 - k], _telling(halves[k], clean), place) for k in (1, 0)]
+    reasons = list(first)
     for _ in range(ROUNDS):
-        values = decisions(flat, weights, bias)
-        starts = np.concatenate(([0], ends[:-1]))
-        now = [flat[a + int(np.argmax(values[a:b]))] for a, b in zip(starts, ends)]
-        hardest = np.argsort(-decisions(everything_clean, weights, bias))[: MOST_CLEAN_WORDS // (2 * ROUNDS)]
-        chosen.update(everything_clean[k] for k in hardest)
-        negative = sorted(chosen)
-        distinct = sorted(set(now))
-        marks = [distinct[k] for k in rng.permutation(len(distinct))[: LANDMARKS // 2]]
-        marks += [negative[k] for k in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
-        table = features(marks)
-        values, vectors = np.linalg.eigh((table @ table.T).astype(np.float64))
-        strong = values > values.max() * 1e-6
-        root = vectors[:, strong] / np.sqrt(values[strong])
-        positive = [*now, *[spoiled(w, rng) for w in now]]
-        x = _products([*positive, *negative], table) @ root
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        cost = np.where(y > 0, len(negative) / len(positive), 1.0) * 0.3
-        w = svm(x, y, cost)
-        weights = (table.T @ (root @ w[:-1])).astype(np.float32)
-        weights[0] = 0
-        bias = float(w[-1])
-        if now == reasons:
-            break
-        reasons = now
+        negative = [everything_clean[k] for k in sorted(chosen)]
+        machines = [_machine(own, negative, rng) if own else None for own in reasons]
+        for k in (0, 1):
+            if machines[k] is None:
+                continue
+            values = decisions(everything_clean, *machines[k])
+            limit = max(0.0, float(np.quantile([values[own].max() for own in of_clean], 0.99)))
+            reasons[1 - k] = first[1 - k] + _reasons(halves[1 - k], machines[k], limit, place)
+            chosen.update(np.argsort(-values)[: MOST_CLEAN_WORDS // (4 * ROUNDS)].tolist())
+    every = reasons[0] + reasons[1]
+    weights, bias = _machine(every, negative, rng) if every else model.plain()[:2]
     model.weights, model.bias = weights, bias
     others = [k for k in range(len(texts)) if k % 3 == 0]
     most = np.array([decisions(documents[k], weights, bias).max(initial=bias) for k in others])
@@ -279,15 +313,14 @@ def scaled(values: np.ndarray, labels: np.ndarray, share: float) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def worst(words: set[str], known: dict, weights: np.ndarray, bias: float) -> float:
-    """The largest decision of some words; `known` remembers those met before."""
-    new = [w for w in words if w not in known]
+def worst(texts: list[set[str]], known: dict, weights: np.ndarray, bias: float) -> list[float]:
+    """The largest decision among the words of each text; `known` remembers words met before."""
+    if len(known) > _REMEMBERED:
+        known.clear()
+    new = list(set().union(*texts).difference(known))
     if new:
-        if len(known) > _REMEMBERED:
-            known.clear()
-            new = list(words)
         known.update(zip(new, decisions(coded(new), weights, bias).tolist()))
-    return max([known[w] for w in words], default=bias)
+    return [max(map(known.__getitem__, words), default=bias) for words in texts]
 
 
 def _scoring(shared, name: str, stamp: str):
@@ -295,7 +328,8 @@ def _scoring(shared, name: str, stamp: str):
         weights, bias, slope, offset = shared.value
         known = worker_state(f"toxicity-{stamp}")
         for batch in pieces(batches):
-            values = [worst(words_of(t or ""), known, weights, bias) for t in batch.column("text").to_pylist()]
+            texts = [words_of(t or "") for t in batch.column("text").to_pylist()]
+            values = worst(texts, known, weights, bias)
             scores = 1 / (1 + np.exp(-np.clip(slope * np.array(values) + offset, -30, 30)))
             columns = [batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*batch.schema.names, name])
