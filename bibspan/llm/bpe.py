@@ -54,33 +54,49 @@ def load(text: str):
 
 
 class Words:
-    """Ids of single words, many at a time: a tokenizer of the same merges that only parts at spaces."""
+    """Ids of single words, many at a time: a tokenizer of the same merges that only parts at spaces.
+
+    The words of a line are told apart by their tokens: the last of a word has the suffix of
+    the vocabulary or, in one without, the first has the space before the word.
+    """
 
     def __init__(self, spec: dict):
         own = json.loads(json.dumps(spec)) | {"normalizer": None, "added_tokens": [], "post_processor": None}
         self.tokenizer = load(json.dumps(own | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
         letter = {b: c for c, b in byte_alphabet().items()}
         self.letters = {code: "".join(letter[b] for b in chr(code).encode()) for code in range(256)}
-
-    def encode(self, words: list[str], at_once: int = 200) -> list[bytes]:
-        """Ids of words of Latin-1 characters; a leading space belongs to the word."""
+        suffix, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.is_edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        marked = (lambda t: t.endswith(suffix)) if suffix else (lambda t: t.startswith(letter[32]))
+        self.is_edge[[k for t, k in vocabulary.items() if marked(t)]] = True
+        self.last = bool(suffix)
+
+    def encode(self, words: list[str], at_once: int = 500) -> list[bytes]:
+        """Ids of words of Latin-1 letters; a space before them belongs to them."""
         groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
-        lines = [" ".join([w.translate(self.letters) for w in group]) for group in groups]
+        lines = [" ".join(group).translate(self.letters | {32: " "}) for group in groups]
+        if not self.last:
+            # Every word has a space before it, which is a letter of its own in the vocabulary.
+            lines = [" ".join([w.translate(self.letters) for w in group]) for group in groups]
         found = []
-        for group, line in zip(groups, self.tokenizer.encode_batch(lines, add_special_tokens=False)):
-            ids, cuts = np.array(line.ids, dtype=np.uint16), np.flatnonzero(np.diff(line.word_ids)) + 1
-            parts = np.split(ids, cuts)
-            if len(parts) != len(group):
+        for group, line in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(line.ids, dtype=np.uint16)
+            edges = np.flatnonzero(self.is_edge[ids])
+            cuts = (edges + 1) * 2 if self.last else np.append(edges[1:], len(ids)) * 2
+            if len(cuts) != len(group):
                 raise ValueError("a word was parted or lost")
-            found.extend(part.tobytes() for part in parts)
+            raw, start = ids.tobytes(), 0
+            for stop in cuts.tolist():
+                found.append(raw[start:stop])
+                start = stop
         return found
 
 
 class FragmentBpe:
     """Encodes fragment by fragment, with a memory of fragments and one of their words."""
 
-    #: A fragment of one word: what comes before, the letters, signs after it.
-    simple: re.Pattern
+    simple: re.Pattern  # fragments of one word
+    remembered = REMEMBERED_FRAGMENTS
 
     def __init__(self, text: str):
         self.spec = json.loads(text)
@@ -102,9 +118,11 @@ class FragmentBpe:
 
     def _learn(self, fragments: list[str]) -> None:
         parted, rest = {}, []
+        simple = self.simple.fullmatch
+        has_special = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
         for fragment in fragments:
-            found = self.simple.fullmatch(fragment)
-            if found and not any(s in fragment for s in self.special):
+            found = simple(fragment)
+            if found and not (has_special and has_special(fragment)):
                 parted[fragment] = self.normal(found[1]), found[2]
             else:
                 rest.append(fragment)
@@ -130,18 +148,24 @@ class FragmentBpe:
         """The text cut at white space, or None if its white space is not clear."""
         raise NotImplementedError
 
-    def encode(self, text: str) -> np.ndarray:
-        fragments = self.fragments(text)
-        if fragments is None:
-            return np.frombuffer(self._library(text), dtype=np.uint16)
-        if len(self.ids) > REMEMBERED_FRAGMENTS:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts; what is new in any of them is learnt at once."""
+        if len(self.ids) > self.remembered:
             self.ids.clear()
         if len(self.word_ids) > REMEMBERED_WORDS:
             self.word_ids.clear()
-        new = set(fragments).difference(self.ids)
+        cut = [self.fragments(text) for text in texts]
+        new = set().union(*[f for f in cut if f]).difference(self.ids)
         if new:
             self._learn(list(new))
-        return np.frombuffer(b"".join([self.ids[f] for f in fragments]), dtype=np.uint16)
+        ids = self.ids.__getitem__
+        return [
+            np.frombuffer(self._library(text) if own is None else b"".join(map(ids, own)), dtype=np.uint16)
+            for text, own in zip(texts, cut)
+        ]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 class WordBpe(FragmentBpe):
@@ -203,17 +227,31 @@ class WordBpe(FragmentBpe):
 
 
 class ByteBpe(FragmentBpe):
-    """A byte-level vocabulary in which white space belongs to what follows it."""
+    """A byte-level vocabulary in which a space belongs to the word after it.
+
+    Texts of ASCII and Latin letters are cut into the pieces that the vocabulary's published
+    pattern parts, between which nothing is merged; other texts are left to the library whole.
+    """
 
-    simple = re.compile(f"( ?{LATIN}+)({SIGN}*)")
-    pieces = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-    unclear = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    simple = re.compile(f" {LATIN}+")
+    remembered = REMEMBERED_FRAGMENTS + REMEMBERED_WORDS
+    pieces = re.compile(
+        rf" ?{LATIN}+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LATIN[1:]}+|\s+(?!\S)|\s+"
+    )
+    unclear = re.compile(f"[^\t\n\r -~{LATIN[1:]}")
 
     def fragments(self, text: str) -> list[str] | None:
-        if self.unclear.search(text) or any(" " in s for s in self.special):
+        if self.unclear.search(text) or any(s in text for s in self.special):
             return None
         return self.pieces.findall(text)
 
+    def _learn(self, fragments: list[str]) -> None:
+        words = [f for f in fragments if self.simple.fullmatch(f)]
+        self.ids.update(zip(words, self.words.encode(words)))
+        rest = [f for f in fragments if f not in self.ids]
+        for fragment, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+            self.ids[fragment] = np.array(found.ids, dtype=np.uint16).tobytes()
+
 
 def tokenizer(kind, path_text: str):
     """The worker's tokenizer of a kind, made once from its JSON text."""
@@ -228,7 +266,7 @@ def _encoding(shared):
     def encode(batches):
         bpe = tokenizer(WordBpe, shared.value)
         for batch in pieces(batches):
-            found = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
+            found = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.zeros(len(found) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))

@@ -122,9 +122,10 @@ def unpacked(blocks: list[bytes], marks: list[bytes], sizes: np.ndarray, table:
 
 def _tokens(shared, end_id: int):
     def encode(batches):
-        bpe, end = tokenizer(ByteBpe, shared.value), np.array([end_id], dtype=np.uint16)
+        bpe, end = tokenizer(ByteBpe, shared.value), np.array([end_id], dtype=np.uint16).tobytes()
         for batch in pieces(batches):
-            ids = [np.concatenate([bpe.encode(t or ""), end]).tobytes() for t in batch.column("text").to_pylist()]
+            found = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
+            ids = [x.tobytes() + end for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return encode
