@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bibspan.llm import toxicity
+from bibspan.llm import quality, toxicity
 from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
@@ -153,3 +153,10 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.predicted(toxicity.with_toxicity(docs, model), 0.3)
+
+
+@query()
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predicted(quality.with_quality(docs, trees), 0.7)
