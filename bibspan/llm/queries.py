@@ -8,6 +8,7 @@ from bibspan.llm.bpe import decode_ids, encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.line_dedup import without_repeated_blocks
+from bibspan.llm.main_text import fit as main_text_of, with_main_text
 from bibspan.llm.set_join import similar_sets
 from bibspan.llm.tiles import near_vectors
 from bibspan.llm.token_files import read_token_files, write_token_files
@@ -160,3 +161,10 @@ def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.predicted(quality.with_quality(docs, trees), 0.7)
+
+
+@query()
+def op9_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = with_main_text(pages, main_text_of(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
