@@ -3,7 +3,8 @@
 Every one is a row_number window cut to rank 1.  Spark plans a window group limit
 before the shuffle, so each map task sends at most one row per key: a key that holds
 a third of all rows costs its reducer one row per task, not the whole group.
-The order always ends in a unique column, so results do not depend on file order.
+Every order ends in all columns of the row, so only rows that are equal altogether tie,
+and results do not depend on the order of files.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,8 @@ from bibspan.functions import identifiers, records
 
 
 def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
+    rest = [F.col(c).asc_nulls_last() for c in sorted(set(df.columns) - set(keys))]
+    window = Window.partitionBy(*keys).orderBy(*order, *rest)
     ranked = df.withColumn("_rank", F.row_number().over(window))
     return ranked.where(F.col("_rank") == 1).drop("_rank")
 
@@ -63,9 +65,7 @@ def one_record_per_pid_strict(matches: DataFrame) -> DataFrame:
 
 def clean_no_id(no_id: DataFrame) -> DataFrame:
     """Titled items, authors in lower case, one per title and author text."""
-    lowered = titled_no_id(no_id)
-    rest = [F.col(c).asc_nulls_last() for c in sorted(set(lowered.columns) - {"ITEM_ID"})]
-    return first_by_key(lowered, ["TITLE", "DES_ALLPEOPLE"], [F.col("ITEM_ID").asc(), *rest])
+    return first_by_key(titled_no_id(no_id), ["TITLE", "DES_ALLPEOPLE"], [F.col("ITEM_ID").asc()])
 
 
 def titled_no_id(no_id: DataFrame) -> DataFrame:

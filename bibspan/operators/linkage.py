@@ -108,18 +108,13 @@ def best_match(
         .select("query_set", "doc_set")
         .distinct()
     )
-    shared = F.aggregate(
-        F.array_intersect(F.map_keys("weights"), F.col("words")),
-        F.lit(0).cast("bigint"),
-        lambda total, word: total + F.col("weights")[word],
-    )
     scored = (
-        pairs.join(weighed.select("query_set", "weights", "total"), "query_set")
+        pairs.join(weighed.select("query_set", "weighted", "total"), "query_set")
         .join(
             documents.select(F.col("set_id").alias("doc_set"), "doc_id", "copies", "words"),
             "doc_set",
         )
-        .select("query_set", "doc_id", "copies", "total", shared.alias("score"))
+        .select("query_set", "doc_id", "copies", "total", _evaluated_once(_shared_weight()).alias("score"))
         .where(F.col("score") * 100 > F.col("total") * percent_above)
     )
     best = lookup_side(_best_per_query(scored), "match-best")
@@ -128,6 +123,31 @@ def best_match(
     )
 
 
+def _shared_weight() -> Column:
+    """Weight of the words of `weighted` that are in `words`, in time linear in both.
+
+    The intersection keeps the order of the query's words, so one walk over these with a
+    pointer into it finds each shared word's weight.
+    """
+    shared = F.array_intersect(F.transform("weighted", lambda x: x["word"]), F.col("words"))
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("at"), shared.alias("shared"))
+
+    def step(s, x):
+        found = (s["at"] < F.size(s["shared"])) & (F.get(s["shared"], s["at"]) == x["word"])
+        return F.struct(
+            (s["sum"] + F.when(found, x["weight"]).otherwise(0)).alias("sum"),
+            (s["at"] + F.when(found, 1).otherwise(0)).alias("at"),
+            s["shared"].alias("shared"),
+        )
+
+    return F.aggregate("weighted", start, step, lambda s: s["sum"])
+
+
+def _evaluated_once(value: Column) -> Column:
+    """The value as the output of a generator: filters on it are not computed below it again."""
+    return F.explode(F.array(value))
+
+
 def _weighed_queries(asked: DataFrame, documents: DataFrame, percent_above: int) -> DataFrame:
     """Per distinct set of query words: their weights, the total, and the words to look up."""
     n_docs = documents.agg(F.sum("copies")).scalar()
@@ -149,7 +169,7 @@ def _weighed_queries(asked: DataFrame, documents: DataFrame, percent_above: int)
     ranked = weighted.select("*", up_to.alias("up_to"), total.alias("total"))
     is_probe = F.col("up_to") * 100 > F.col("total") * percent_above
     return ranked.groupBy("query_set").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"),
+        F.collect_list(F.struct("word", "weight")).alias("weighted"),
         F.any_value("total").alias("total"),
         F.collect_list(F.when(is_probe, F.col("word"))).alias("probes"),
     )

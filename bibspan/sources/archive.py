@@ -103,6 +103,9 @@ class ArchiveCsvReader(DataSourceReader):
                 ]
 
     def _wanted(self, name: str) -> bool:
+        """A pattern from the root (`/a.csv`), a path pattern, or a pattern of names in any folder."""
+        if self.pattern.startswith("/"):
+            return fnmatch.fnmatchcase(f"/{name}", self.pattern) and name.count("/") == self.pattern.count("/") - 1
         compared = name if "/" in self.pattern else posixpath.basename(name)
         return fnmatch.fnmatchcase(compared, self.pattern)
 

@@ -1,7 +1,10 @@
 """Readers for repository tables, dumps, lookups and the written datasets."""
 
+import csv
+import io
 import posixpath
 import zipfile
+from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from bibspan import fixed_values as fixed
 from bibspan import schemas
+from bibspan.session import fresh_folder
 from bibspan.sources import archive, unpacking
 
 # Keeps a quoted empty field as '' and makes only an unquoted one NULL.
@@ -20,7 +24,9 @@ CSV_OPTIONS = {
     "escape": '"',
     "multiLine": True,
     "mode": "PERMISSIVE",
+    "enforceSchema": False,
 }
+HEADER_BYTES = 64 * 1024
 
 REPOSITORY_TABLES = {
     "master": (fixed.MASTER_FILE, schemas.ITEM_MASTER),
@@ -46,9 +52,25 @@ def typed(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
 
 
+def _header(path: str) -> tuple[str, ...]:
+    """Column names of a CSV file, from its first row."""
+    filesystem, name = archive.filesystem_of(path)
+    with filesystem.open_input_stream(name) as file:
+        start = file.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
+    return tuple(next(csv.reader(io.StringIO(start)), ()))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header: columns by name, whatever else the file holds."""
-    return typed(spark.read.options(**CSV_OPTIONS).csv(require(path)), schema)
+    """CSV with a header: columns by name in every file, whatever else the files hold.
+
+    Files of a folder are read in groups of equal headers.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in archive.archives_at(require(path)):
+        groups.setdefault(_header(file), []).append(file)
+    read = spark.read.options(**CSV_OPTIONS)
+    frames = [typed(read.csv(files), schema) for header, files in groups.items() if header]
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
 
 def read_archive(
@@ -86,7 +108,7 @@ def repository_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     subfolder = next((s for r, s in fixed.RELEASE_SUBFOLDERS.items() if r in release), "")
     inside = posixpath.join(subfolder, file)
     if path.endswith(".zip"):
-        return read_archive(spark, path, schema, member=inside)
+        return read_archive(spark, path, schema, member=f"/{inside}")
     return read_csv(spark, posixpath.join(require(path), inside), schema)
 
 
@@ -98,23 +120,31 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Citation dump: a folder of ZIP archives of CSV shards."""
+    """Citation dump: a folder of ZIP archives of CSV shards, or a ZIP of such archives."""
+    if path.lower().endswith(".zip") and _inner_archives(require(path)):
+        path = unpack_archives(spark, path, fresh_folder(spark, "unpacked"))
     return read_archive(spark, path, schemas.INDEX)
 
 
+def _inner_archives(outer: str) -> list[tuple[int, str]]:
+    """Places and names of the ZIP members of a ZIP."""
+    filesystem, name = archive.filesystem_of(outer)
+    with filesystem.open_input_file(name) as file, zipfile.ZipFile(file) as z:
+        return [(k, i.filename) for k, i in enumerate(z.infolist()) if i.filename.lower().endswith(".zip")]
+
+
 def unpack_archives(spark: SparkSession, outer: str, folder: str) -> str:
     """Copy the inner archives of an outer ZIP to a shared folder, one task per archive.
 
     A task writes under a name of its own and renames at the end, so a repeated task
     does no harm.
     """
-    filesystem, name = archive.filesystem_of(require(outer))
-    with filesystem.open_input_file(name) as file:
-        with zipfile.ZipFile(file) as z:
-            inner = [i.filename for i in z.infolist() if i.filename.lower().endswith(".zip")]
-    names = spark.createDataFrame([(i,) for i in inner], "name string")
-    spread = names.repartition(len(inner), "name")
-    copied = spread.mapInArrow(unpacking.copier(outer, folder), "name string")
+    inner = _inner_archives(require(outer))
+    if not inner:
+        raise ValueError(f"no archive in {outer}")
+    names = spark.createDataFrame(inner, "place int, name string")
+    spread = names.repartition(len(inner))
+    copied = spread.mapInArrow(unpacking.copier(outer, folder), "place int, name string")
     copied.write.format("noop").mode("overwrite").save()
     return folder
 

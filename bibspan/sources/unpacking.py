@@ -19,18 +19,22 @@ def _filesystem(path: str):
 
 
 def copier(outer: str, folder: str):
-    """A function over batches of member names that copies each of them into the folder."""
+    """A function over batches of member places and names that copies each member into the folder.
+
+    The place of a member in the archive goes into its new name, so that members of equal
+    basename from different folders stay apart.
+    """
 
     def copy(batches):
         source, outer_name = _filesystem(outer)
         target, target_name = _filesystem(folder)
         target.create_dir(target_name, recursive=True)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                final = posixpath.join(target_name, posixpath.basename(name))
+            for place, name in zip(batch.column("place").to_pylist(), batch.column("name").to_pylist()):
+                final = posixpath.join(target_name, f"{place:06d}-{posixpath.basename(name)}")
                 partial = posixpath.join(target_name, f"_{uuid.uuid4().hex}")
                 with source.open_input_file(outer_name) as file, zipfile.ZipFile(file) as z:
-                    with z.open(name) as inner, target.open_output_stream(partial) as out:
+                    with z.open(z.infolist()[place]) as inner, target.open_output_stream(partial) as out:
                         shutil.copyfileobj(inner, out, COPY_BYTES)
                 target.move(partial, final)
             yield batch

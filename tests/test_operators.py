@@ -344,3 +344,32 @@ def test_title_match_needs_three_words_doi_and_type(spark):
     )
     found = linkage.title_match(items, parsed)
     assert sorted((r["iris_id"], r["omid"]) for r in found.collect()) == [(1, "omid:1"), (1, "omid:2"), (4, "omid:7")]
+
+
+def test_ties_do_not_depend_on_order(spark):
+    """Records that share id and omid, in any order and for sides of any size: the same one stays."""
+    from bibspan.operators import matching
+
+    meta = [("omid:br/1 doi:10.1/a", f"t{k}", "book" if k % 2 else "", f"20{k:02d}") for k in range(8)]
+    meta += [(f"omid:br/{k % 2} doi:10.1/b", f"s{k}", "journal article", None) for k in range(6)]
+    pids = spark.createDataFrame([(1, 35, "doi:10.1/a"), (2, 35, "doi:10.1/b")], "iris_id long, iris_type int, id string")
+    labels = spark.createDataFrame([(35, "1.01 Articolo in rivista")], "OWNING_COLLECTION int, OWNING_COLLECTION_DES string")
+    found, strict = set(), set()
+    for seed in range(4):
+        shuffled = sorted(meta, key=lambda r: hash((seed, r)))
+        records = spark.createDataFrame(shuffled, "id string, title string, type string, pub_date string").repartition(3)
+        for limit in (0, 1 << 20):
+            found.add(tuple(rows(matching.in_meta(records, pids, labels, limit))))
+        strict.add(tuple(rows(dedup.one_record_per_pid_strict(matching.match_meta(records, pids)))))
+    assert len(found) == 1 and len(found.pop()) == 2 and len(strict) == 1
+
+
+def test_best_match_of_long_texts(spark):
+    """Scores of texts of many thousand words are the sums of the weights of shared words."""
+    words = [f"w{k}" for k in range(20_000)]
+    queries = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:300]))], "item_id long, text string")
+    corpus = [(k, " ".join(words[k:])) for k in range(4)] + [(9, "another text")]
+    found = linkage.best_match(queries, spark.createDataFrame(corpus, "doc_id long, text string")).collect()
+    assert {r["item_id"]: (r["doc_id"], r["score"] == r["total"], r["ambiguous_match"]) for r in found} == {
+        1: (0, True, False), 2: (0, True, False),
+    }

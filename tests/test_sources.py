@@ -75,10 +75,42 @@ def test_folder_of_archives_and_outer_archive(spark, tmp_path):
     assert read(spark, inner) == (EXPECTED, 2)
     make_zip(tmp_path / "outer.zip", {p.name: p.read_bytes() for p in inner.iterdir()})
     folder = tables.unpack_archives(spark, str(tmp_path / "outer.zip"), str(tmp_path / "unpacked"))
-    assert sorted(os.listdir(folder)) == ["a.zip", "b.zip", "none.zip"]
+    assert sorted(n.partition("-")[2] for n in os.listdir(folder)) == ["a.zip", "b.zip", "none.zip"]
     assert read(spark, folder) == (EXPECTED, 2)
 
 
+def test_inner_archives_of_equal_name_stay_apart(spark, tmp_path):
+    """Also read as a citation dump directly."""
+    shard = b"id,citing,cited\n%d,omid:br/1,omid:br/2\n"
+    for k in (1, 2):
+        make_zip(tmp_path / f"{k}.zip", {"a.csv": shard % k})
+    inner = {f"p{k}/d.zip": (tmp_path / f"{k}.zip").read_bytes() for k in (1, 2)}
+    make_zip(tmp_path / "outer.zip", inner | {"readme.txt": b"no"})
+    assert [r["id"] for r in tables.read_index(spark, str(tmp_path / "outer.zip")).orderBy("id").collect()] == ["1", "2"]
+    make_zip(tmp_path / "plain.zip", {"a.csv": shard % 3})
+    assert tables.read_index(spark, str(tmp_path / "plain.zip")).first()["id"] == "3"
+    with pytest.raises(ValueError, match="no archive"):
+        tables.unpack_archives(spark, str(tmp_path / "plain.zip"), str(tmp_path / "none"))
+
+
+def test_repository_table_is_one_member_only(spark, tmp_path):
+    text = b"ITEM_ID,LAN_ISO\n%d,ita\n"
+    name = "ODS_L1_IR_ITEM_LANGUAGE.csv"
+    make_zip(tmp_path / "repository.zip", {name: text % 1, f"old/{name}": text % 2})
+    assert [tuple(r) for r in tables.repository_table(spark, str(tmp_path / "repository.zip"), "language").collect()] == [(1, "ita")]
+
+
+def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("iris_type,meta_type\n1,x\n")
+    (folder / "b.csv").write_text("meta_type,iris_type\ny,2\n")
+    (folder / "c.csv").write_text("\ufeffmeta_type,more,iris_type\nz,,3\n")
+    (folder / "d.csv").write_text("iris_type,meta_type\n4,w\n")
+    (folder / "_SUCCESS").write_text("")
+    assert rows(tables.read_lookup(spark, str(folder))) == [("1", "x"), ("2", "y"), ("3", "z"), ("4", "w")]
+
+
 def test_archive_becomes_a_table(spark, tmp_path):
     make_tar(tmp_path / "d.tar.gz", MEMBERS, "w:gz")
     df = tables.archive_to_parquet(spark, str(tmp_path / "d.tar.gz"), schemas.META, str(tmp_path / "table"))
