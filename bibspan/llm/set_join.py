@@ -11,6 +11,7 @@ Exact, by prefixes and by relations between sets:
   answered against it.  That is linear in a list, also where a third of all documents
   share it.  Members linked to the pivot are in one group, so pairs among them need no
   answer any more.
+* A pair is compared set by set only if the rarest shingles of the two overlap enough.
 * The answers for a pivot bound those between its members: from |x∩p|, |y∩p| and the sizes
   follow a lower and an upper bound of |x∩y|.  Pairs of different groups whose upper bound
   is too low are skipped, those whose lower bound suffices are linked, and only the rest
@@ -200,20 +201,42 @@ class SetJoin:
         sets = texts.mapInArrow(_full_sets(self.width), "k binary, shingles array<long>")
         return sets.join(reps.select("k"), "k", "left_semi")
 
-    def answers(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-        """Overlaps of the pairs (a, b), from whole sets.
+    def likely(self, pairs: DataFrame, classes: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Bounds of the overlaps of pairs (a, b) from the rarest shingles of either.
 
-        Only the set of b travels with a pair, to where the set of a is.
+        The set whose rarest shingles end first has all it shares among them in the
+        other's too, so the overlap is at most what they share and all the rest of the
+        larger set.
         """
-        pairs = written(pairs, "pairs")
+        keys = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+        reps = lookup_side(keys.join(firsts, "k").select("k", F.col("first").alias("_first")), "paired")
+        rare = classes.join(reps, "k").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
+        one, two = rare.toDF("a", "na", "pa"), rare.toDF("b", "nb", "pb")
+        both = two.join(broadcast_if_small(pairs), "b").join(one, "a")
+        shared = F.size(F.array_intersect("pa", "pb"))
+        rest = F.ceil(F.greatest("na", "nb") * self.percent / 100) - 1
+        both = both.select("a", "b", "na", "nb", shared.alias("lo"), (shared + rest).cast("long").alias("hi"))
+        return written(both.dropDuplicates(["a", "b"]), "likely")
+
+    def answers(self, pairs: DataFrame, classes: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Overlaps of the pairs (a, b): bounds lo and hi, equal where whole sets were compared.
+
+        Pairs that cannot reach the overlap needed are not compared.  Of the others, only
+        the set of b travels, to where the set of a is.
+        """
+        rough = self.likely(written(pairs, "pairs"), classes, firsts)
+        reach = self.enough(F.col("hi"), F.col("na"), F.col("nb"))
+        pairs = written(rough.where(reach).select("a", "b"), "compared-pairs")
         one = self.sets_of(pairs.select(F.col("a").alias("k")), firsts).toDF("a", "sa")
         two = self.sets_of(pairs.select(F.col("b").alias("k")), firsts).toDF("b", "sb")
         found = two.join(broadcast_if_small(pairs), "b").join(one, "a").select(
-            "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o")
+            "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("lo")
         )
-        found = found.withColumn("linked", self.enough(F.col("o"), F.col("na"), F.col("nb")))
+        found = found.withColumn("hi", F.col("lo")).withColumn("linked", self.enough(F.col("lo"), F.col("na"), F.col("nb")))
         # A doc_id that occurs in several rows answers its pairs several times.
-        return written(found.dropDuplicates(["a", "b"]), "answers")
+        found = found.dropDuplicates(["a", "b"]).select("a", "b", F.col("lo").cast("long"), F.col("hi").cast("long"), "linked")
+        apart = rough.where(~reach).select("a", "b", F.col("lo").cast("long"), "hi", F.lit(False).alias("linked"))
+        return written(found.union(apart), "answers")
 
     def run(self) -> DataFrame:
         classes = self.classes()
@@ -230,11 +253,11 @@ class SetJoin:
         listed = lists.join(pivots, ["token", "band"])
         near = self.possible(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"))
         pairs = listed.where((F.col("k") != F.col("pk")) & near).select(F.col("pk").alias("a"), F.col("k").alias("b"))
-        first = self.answers(pairs.distinct(), firsts)
+        first = self.answers(pairs.distinct(), classes, firsts)
         links = first.where("linked").select("a", "b")
         groups = written(components(links), "groups")
         more, derived = self.across(listed, first, groups)
-        second = self.answers(more, firsts).where("linked").select("a", "b")
+        second = self.answers(more, classes, firsts).where("linked").select("a", "b")
         joined = components(
             groups.select("node", "root").where("node != root").toDF("a", "b").union(second).union(derived)
         )
@@ -244,22 +267,22 @@ class SetJoin:
         """Pairs of one list and different groups: those to compare, those linked by derivation."""
         groups = lookup_side(groups, "members")
         mine, pivot = groups.toDF("k", "g"), groups.toDF("pk", "pg")
-        known = first.select(F.col("a").alias("pk"), F.col("b").alias("k"), "o")
+        known = first.select(F.col("a").alias("pk"), F.col("b").alias("k"), "lo", "hi")
         members = listed.join(mine, "k", "left").join(pivot, "pk", "left").join(known, ["pk", "k"], "left")
         members = members.select(
             "token", "band", "k", "n", "pos", "pn", F.coalesce("g", "k").alias("g"), F.coalesce("pg", "pk").alias("pg"),
-            F.when(F.col("k") == F.col("pk"), F.col("pn")).otherwise(F.col("o")).alias("o"),
+            *[F.when(F.col("k") == F.col("pk"), F.col("pn")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")],
         )
         members = written(members, "list-members")
         x = members.where("g != pg").select(
-            "token", "band", *[F.col(c).alias(f"x{c}") for c in ("k", "n", "pos", "g", "o")]
+            "token", "band", *[F.col(c).alias(f"x{c}") for c in ("k", "n", "pos", "g", "lo", "hi")]
         )
         both = members.join(written(x, "list-others"), ["token", "band"]).where(
             (F.col("g") != F.col("xg")) & ((F.col("g") == F.col("pg")) | (F.col("k") < F.col("xk")))
             & self.possible(F.col("n"), F.col("xn"), F.col("pos"), F.col("xpos"))
         )
-        upper = F.least(F.col("o") + F.col("xn") - F.col("xo"), F.col("xo") + F.col("n") - F.col("o"))
-        lower = F.col("o") + F.col("xo") - F.col("pn")
+        upper = F.least(F.col("hi") + F.col("xn") - F.col("xlo"), F.col("xhi") + F.col("n") - F.col("lo"))
+        lower = F.col("lo") + F.col("xlo") - F.col("pn")
         both = both.where(F.coalesce(self.enough(upper, F.col("n"), F.col("xn")), F.lit(True)))
         sure = F.coalesce(self.enough(lower, F.col("n"), F.col("xn")), F.lit(False))
         both = both.select(F.least("k", "xk").alias("a"), F.greatest("k", "xk").alias("b"), sure.alias("sure"))
