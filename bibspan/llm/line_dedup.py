@@ -127,16 +127,32 @@ def long_runs(steps: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run, words)[run] >= least
 
 
+def _arrays(column: pa.ListArray, fields: tuple[str, ...]):
+    """For every row of a list of structs: arrays of some fields, in order of pos and once for each."""
+    flat = column.flatten()
+    values = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in fields}
+    at = 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        _, places = np.unique(values["pos"][at : at + n], return_index=True)
+        yield {f: v[at : at + n][places] for f, v in values.items()}
+        at += n
+
+
+def _slices(batches, rows: int = 256):
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _partners(least: int):
     def find(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = {"key": [], "first": []}
-            for key, shared in zip(batch.column("key").to_pylist(), batch.column("shared").to_pylist()):
-                shared = sorted({x["pos"]: x for x in shared}.values(), key=lambda x: x["pos"])
-                pos = np.array([x["pos"] for x in shared])
-                keep = long_runs(np.diff(pos) == 1, np.array([x["words"] for x in shared]), least)
+            shared = _arrays(batch.column("shared"), ("pos", "words", "first_id", "first_h"))
+            for key, own in zip(batch.column("key").to_pylist(), shared):
+                keep = long_runs(np.diff(own["pos"]) == 1, own["words"], least)
                 mine = (key["doc_id"], key["h"])
-                firsts = {(x["first"]["doc_id"], x["first"]["h"]) for x, k in zip(shared, keep) if k}
+                firsts = set(zip(own["first_id"][keep].tolist(), own["first_h"][keep].tolist()))
                 for first in sorted(f for f in firsts if f < mine):
                     rows["key"].append(key)
                     rows["first"].append({"doc_id": first[0], "h": first[1]})
@@ -148,20 +164,17 @@ def _partners(least: int):
 
 def _aligning(least: int):
     def align(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keys, gone = [], []
-            columns = [batch.column(c).to_pylist() for c in ("key", "earlier", "shared")]
-            for key, earlier, later in zip(*columns):
-                one, two = ({x["pos"]: x for x in side} for side in (earlier, later))
-                left, right = sorted(one), sorted(two)
-                pairs = aligned([one[p]["line"] for p in left], [two[p]["line"] for p in right])
-                i = np.array([left[a] for a, _ in pairs], dtype=np.int64)
-                j = np.array([right[b] for _, b in pairs], dtype=np.int64)
-                words = np.array([two[p]["words"] for p in j.tolist()])
-                marked = j[long_runs((np.diff(i) == 1) & (np.diff(j) == 1), words, least)]
+            sides = (_arrays(batch.column(c), ("pos", "line", "words")) for c in ("earlier", "shared"))
+            for key, one, two in zip(batch.column("key").to_pylist(), *sides):
+                pairs = aligned(one["line"].tolist(), two["line"].tolist())
+                at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+                i, j = one["pos"][at[:, 0]], two["pos"][at[:, 1]]
+                marked = j[long_runs((np.diff(i) == 1) & (np.diff(j) == 1), two["words"][at[:, 1]], least)]
                 if len(marked):
                     keys.append(key)
-                    gone.append(marked.astype(np.int32).tolist())
+                    gone.append(marked.astype(np.int32))
             kind = batch.schema.field("key").type
             yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
@@ -208,8 +221,8 @@ def without_repeated_blocks(docs: DataFrame, least: int = MIN_BLOCK_WORDS, count
     entries = entries.select("key", "pos", F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
     firsts = entries.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first != last")
     shared = entries.join(written(firsts.select("line", "first"), "shared-lines"), "line")
-    shared = shared.groupBy("key").agg(F.collect_list(F.struct("pos", "line", "words", "first")).alias("shared"))
-    shared = written(shared, "shared")
+    entry = F.struct("pos", "line", "words", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
+    shared = written(shared.groupBy("key").agg(F.collect_list(entry).alias("shared")), "shared")
     pairs = written(
         shared.mapInArrow(_partners(least), f"first struct<doc_id: bigint, h: bigint>, {kind}"), "line-pairs"
     )
