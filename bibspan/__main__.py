@@ -2,7 +2,8 @@
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bibspan.plans import datasets, questions
 from bibspan.session import configured
@@ -15,7 +16,7 @@ def arguments() -> argparse.Namespace:
     build = commands.add_parser("build", help="build datasets")
     build.add_argument("--repository", required=True, help="folder or ZIP of repository tables")
     build.add_argument("--meta", required=True, help="metadata dump (ZIP, TAR or Parquet)")
-    build.add_argument("--index", help="folder of citation archives")
+    build.add_argument("--index", help="folder of citation archives, or a ZIP of them")
     build.add_argument("--out", required=True, help="output folder")
     build.add_argument("--steps", nargs="+", choices=datasets.STEPS, default=list(datasets.STEPS))
     answer = commands.add_parser("answer", help="answer the questions")
@@ -44,9 +45,22 @@ def main() -> None:
         4: lambda: questions.question_4(table("citations"), table("in_meta")),
         5: lambda: questions.question_5(table("citations"), table("in_meta")),
     }
-    for number in [args.question] if args.question else sorted(answers):
-        print(f"Question {number}")
-        answers[number]().show(truncate=False)
+    if args.question:
+        show(args.question, answers[args.question]())
+        return
+    show(1, answers[1]())
+    show(2, answers[2]())
+    # The last three come from one scan of the citations.
+    counts = questions.citation_questions(table("citations"), table("in_meta")).collect()
+    counts = spark.createDataFrame(counts, "total long, citing long, cited long, both long")
+    show(3, counts.select(F.col("total").alias("len")))
+    show(4, counts.select("citing", "cited"))
+    show(5, counts.select(F.col("both").alias("len")))
+
+
+def show(number: int, answer: DataFrame) -> None:
+    print(f"Question {number}")
+    answer.show(truncate=False)
 
 
 if __name__ == "__main__":

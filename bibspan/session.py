@@ -1,5 +1,6 @@
 """Session settings the jobs rely on, and the shared folder for written intermediate tables."""
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,6 +39,28 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+_RUN = uuid.uuid4().hex
+_run_folders: set[str] = set()
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder, for one run."""
-    return f"{shared_folder(spark)}/bibspan/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, in the folder of this run."""
+    run = f"{shared_folder(spark)}/bibspan/run-{_RUN}"
+    _run_folders.add(run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def clear_run_folders() -> None:
+    """Remove the intermediate tables of this run, and of no other, when its program ends.
+
+    A program that is killed leaves them; the folder of a run bears its own identifier.
+    """
+    from bibspan.sources.archive import filesystem_of
+
+    while _run_folders:
+        try:
+            filesystem, name = filesystem_of(_run_folders.pop())
+            filesystem.delete_dir(name)
+        except OSError:
+            pass  # nothing was written, or the store is gone
