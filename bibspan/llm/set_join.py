@@ -300,11 +300,12 @@ class SetJoin:
         lists = self.lists(self.postings(classes, firsts))
         entry = F.struct("pos", "n", "k")
         pivots = lists.groupBy("token", "band").agg(F.min(entry).alias("p"), F.count("*").alias("c")).where("c > 1")
-        pivots = lookup_side(
+        # There are about as many pivots as documents, so they are never broadcast.
+        pivots = written(
             pivots.select("token", "band", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")),
             "pivots",
         )
-        listed = lists.join(pivots, ["token", "band"])
+        listed = written(lists.join(pivots, ["token", "band"]), "listed")
         near = self.possible(F.col("n"), F.col("pn"), F.col("pos"), F.col("pp"))
         pairs = listed.where((F.col("k") != F.col("pk")) & near).select(F.col("pk").alias("a"), F.col("k").alias("b"))
         first = self.answers(pairs.distinct(), classes, firsts)
@@ -322,7 +323,8 @@ class SetJoin:
         groups = lookup_side(groups, "members")
         mine, pivot = groups.toDF("k", "g"), groups.toDF("pk", "pg")
         known = first.select(F.col("a").alias("pk"), F.col("b").alias("k"), "lo", "hi")
-        members = listed.join(mine, "k", "left").join(pivot, "pk", "left").join(known, ["pk", "k"], "left")
+        members = listed.join(mine, "k", "left").join(pivot, "pk", "left")
+        members = members.join(broadcast_if_small(known), ["pk", "k"], "left")
         members = members.select(
             "token", "band", "k", "n", "pos", "pn", F.coalesce("g", "k").alias("g"), F.coalesce("pg", "pk").alias("pg"),
             *[F.when(F.col("k") == F.col("pk"), F.col("pn")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")],
