@@ -7,7 +7,8 @@ A-Z and their white space; lines without words count for nothing.
 Shared lines lead to pairs of documents: each is looked up in the first document that has
 it, so a line in a third of all documents gives one pair for each of them and never all
 pairs.  Only lines in a run of shared lines that is long enough to be deleted lead to
-pairs.  The lines that both documents of a pair share with others are aligned by patience diff,
+pairs.  A block none of whose lines has its first occurrence in an earlier document
+with the whole block is not looked for there.  The lines that both documents of a pair share with others are aligned by patience diff,
 rare lines first: those that occur once in both fix the alignment, the stretches between
 are aligned in the same way.  Common blocks of enough words leave the later document.
 """
@@ -144,16 +145,33 @@ def _slices(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def _firsts(own: dict, mine: tuple, least: int) -> list[tuple]:
+    """The earlier documents that may have a block of a document's shared lines.
+
+    A document that has a line has no earlier first than that line's, so a block it shares
+    is a run of lines whose firsts are not later, one of them itself.
+    """
+    firsts = list(zip(own["first_id"].tolist(), own["first_h"].tolist()))
+    names = sorted(set(firsts))
+    place = {f: k for k, f in enumerate(names)}
+    rank, found = np.array([place[f] for f in firsts]), []
+    for k, first in enumerate(names):
+        if first >= mine:
+            break
+        at = np.flatnonzero(rank <= k)
+        marked = long_runs(np.diff(own["pos"][at]) == 1, own["words"][at], least)
+        if (rank[at][marked] == k).any():
+            found.append(first)
+    return found
+
+
 def _partners(least: int):
     def find(batches):
         for batch in _slices(batches):
             rows = {"key": [], "first": []}
             shared = _arrays(batch.column("shared"), ("pos", "words", "first_id", "first_h"))
             for key, own in zip(batch.column("key").to_pylist(), shared):
-                keep = long_runs(np.diff(own["pos"]) == 1, own["words"], least)
-                mine = (key["doc_id"], key["h"])
-                firsts = set(zip(own["first_id"][keep].tolist(), own["first_h"][keep].tolist()))
-                for first in sorted(f for f in firsts if f < mine):
+                for first in _firsts(own, (key["doc_id"], key["h"]), least):
                     rows["key"].append(key)
                     rows["first"].append({"doc_id": first[0], "h": first[1]})
             kind = batch.schema.field("key").type
