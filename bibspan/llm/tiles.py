@@ -101,13 +101,14 @@ def _cell(threshold: float):
                     counts += np.bincount(b, copies[a], minlength=len(rows))
                 trees.append(forest(a, b, len(rows)))
             node, root = forest(*(np.concatenate(x) for x in zip(*trees)), len(rows))
-            some, names = np.flatnonzero(counts), rows["cid"].to_numpy()
+            some, names = np.flatnonzero(counts), rows["cid"].to_numpy(dtype=object)
             out = {
                 "cid": np.concatenate([names[some], names[node]]),
                 "root": np.concatenate([np.full(len(some), None), names[root]]),
                 "n": np.concatenate([counts[some].astype(np.int64), np.zeros(len(node), np.int64)]),
             }
-        return pd.DataFrame(out)
+        kinds = {"cid": object, "root": object, "n": np.int64}
+        return pd.DataFrame({name: pd.Series(list(out[name]), dtype=kind) for name, kind in kinds.items()})
 
     return compare
 
