@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from bibspan.llm.common import pieces, worker_state
 
 # Fragments and words a worker remembers; beyond that it starts anew.
-REMEMBERED_FRAGMENTS = 200_000
-REMEMBERED_WORDS = 400_000
+REMEMBERED_FRAGMENTS = 150_000
+REMEMBERED_WORDS = 250_000
 LONG_FRAGMENT = 64
 LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 SIGN = "[!-/:-@\\[-`{-~]"
@@ -255,7 +255,7 @@ class ByteBpe(FragmentBpe):
 
 def tokenizer(kind, path_text: str):
     """The worker's tokenizer of a kind, made once from its JSON text."""
-    made = worker_state("tokenizers")
+    made = worker_state("bpe/tokenizers")
     key = (kind.__name__, hash(path_text))
     if key not in made:
         made[key] = kind(path_text)
@@ -278,7 +278,7 @@ def _encoding(shared):
 
 def _decoding(shared):
     def decode(batches):
-        vocabulary = worker_state("vocabulary")
+        vocabulary = worker_state("bpe/vocabulary")
         if hash(shared.value) not in vocabulary:
             known = load(shared.value)
             size = known.get_vocab_size(with_added_tokens=True)

@@ -19,9 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker and is shared by its tasks."""
-    holder = sys.modules.setdefault("_bibspan_worker", types.ModuleType("_bibspan_worker"))
-    return holder.__dict__.setdefault(name, {})
+    """A dict that lives as long as the Python worker and is shared by its tasks.
+
+    A name is an operator, a stroke and what is held.  A worker holds the state of one
+    operator only: that of others goes when it comes to a task of the next.
+    """
+    holder = sys.modules.setdefault("_bibspan_worker", types.ModuleType("_bibspan_worker")).__dict__
+    family = name.partition("/")[0]
+    for other in [k for k in holder if "/" in k and k.partition("/")[0] != family]:
+        del holder[other]
+    return holder.setdefault(name, {})
 
 
 def held_out(doc_id):

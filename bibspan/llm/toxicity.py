@@ -42,7 +42,7 @@ TELLING = 5.0
 DECAY = 0.6
 SPAN = 8
 _CODES = 32
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 _SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s{1,2}){3,}\w(?![^\W_])")
 
 
@@ -326,7 +326,11 @@ def worst(texts: list[set[str]], known: dict, weights: np.ndarray, bias: float)
 def _scoring(shared, name: str, stamp: str):
     def score(batches):
         weights, bias, slope, offset = shared.value
-        known = worker_state(f"toxicity-{stamp}")
+        # What was remembered for another model goes.
+        state = worker_state("toxicity/words")
+        if stamp not in state:
+            state.clear()
+        known = state.setdefault(stamp, {})
         for batch in pieces(batches):
             texts = [words_of(t or "") for t in batch.column("text").to_pylist()]
             values = worst(texts, known, weights, bias)
