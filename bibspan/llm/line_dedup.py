@@ -4,13 +4,14 @@ A line is a line of text or, within one, a sentence: it ends after a line break,
 `.`, `!` or `?` and a space.  Lines are equal when their words are, whatever their case in
 A-Z and their white space; lines without words count for nothing.
 
-Shared lines lead to pairs of documents: each is looked up in the first document that has
-it, so a line in a third of all documents gives one pair for each of them and never all
-pairs.  Only lines in a run of shared lines that is long enough to be deleted lead to
-pairs.  A block none of whose lines has its first occurrence in an earlier document
-with the whole block is not looked for there.  The lines that both documents of a pair share with others are aligned by patience diff,
-rare lines first: those that occur once in both fix the alignment, the stretches between
-are aligned in the same way.  Common blocks of enough words leave the later document.
+Runs of lines lead to pairs of documents: of every line the shortest run of enough words that
+starts with it, and the shortest that ends with it.  Each run is looked up in the first
+document that has it, so a passage in a third of all documents gives one pair for each of
+them and never all pairs.  Any common block of enough words is made up of such runs, so it is
+found whichever earlier document has it.  The lines that both documents of a pair have are
+aligned by patience diff, rare lines first: those that occur once in both fix the alignment,
+the stretches between are aligned in the same way.  Common blocks of enough words leave the
+later document; runs that the alignment leaves, as they stand in another order there, go too.
 """
 
 import sys
@@ -128,71 +129,71 @@ def long_runs(steps: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     return np.bincount(run, words)[run] >= least
 
 
-def _arrays(column: pa.ListArray, fields: tuple[str, ...]):
-    """For every row of a list of structs: arrays of some fields, in order of pos and once for each."""
-    flat = column.flatten()
-    values = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in fields}
-    at = 0
-    for n in column.value_lengths().fill_null(0).to_pylist():
-        _, places = np.unique(values["pos"][at : at + n], return_index=True)
-        yield {f: v[at : at + n][places] for f, v in values.items()}
-        at += n
-
-
 def _slices(batches, rows: int = 256):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
 
 
-def _firsts(own: dict, mine: tuple, least: int) -> list[tuple]:
-    """The earlier documents that may have a block of a document's shared lines.
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all rows of a list of numbers, and where each row starts."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+
 
-    A document that has a line has no earlier first than that line's, so a block it shares
-    is a run of lines whose firsts are not later, one of them itself.
+def shortest_runs(words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the shortest runs of `least` words from every line and up to every line of its text.
+
+    A line of a block of `least` words or more is in a run that lies within the block: in that
+    from the block's first line, from itself, or up to itself.
     """
-    firsts = list(zip(own["first_id"].tolist(), own["first_h"].tolist()))
-    names = sorted(set(firsts))
-    place = {f: k for k, f in enumerate(names)}
-    rank, found = np.array([place[f] for f in firsts]), []
-    for k, first in enumerate(names):
-        if first >= mine:
-            break
-        at = np.flatnonzero(rank <= k)
-        marked = long_runs(np.diff(own["pos"][at]) == 1, own["words"][at], least)
-        if (rank[at][marked] == k).any():
-            found.append(first)
-    return found
-
-
-def _partners(least: int):
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    at, text = np.arange(len(words)), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ahead, back = stop <= offsets[text + 1], start >= offsets[text]
+    both = np.stack([np.concatenate([at[ahead], start[back]]), np.concatenate([stop[ahead], at[back] + 1])])
+    both = np.unique(both, axis=1) if both.size else both
+    return both[0], both[1]
+
+
+def _running(least: int):
     def find(batches):
         for batch in _slices(batches):
-            rows = {"key": [], "first": []}
-            shared = _arrays(batch.column("shared"), ("pos", "words", "first_id", "first_h"))
-            for key, own in zip(batch.column("key").to_pylist(), shared):
-                for first in _firsts(own, (key["doc_id"], key["h"]), least):
-                    rows["key"].append(key)
-                    rows["first"].append({"doc_id": first[0], "h": first[1]})
-            kind = batch.schema.field("key").type
-            yield pa.RecordBatch.from_arrays([pa.array(rows["first"], kind), pa.array(rows["key"], kind)], names=["first", "key"])
+            lines, offsets = _flat(batch.column("lines"))
+            starts, stops = shortest_runs(_flat(batch.column("words"))[0], offsets, least)
+            named = spans(lines.view(np.uint64), starts, stops).view(np.int64)
+            text = np.searchsorted(offsets, starts, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(text)), pa.array(named), pa.array((starts - offsets[text]).astype(np.int32)),
+                 pa.array((stops - offsets[text]).astype(np.int32))], names=["key", "run", "start", "stop"]
+            )
 
     return find
 
 
+def _lists(column: pa.ListArray):
+    flat, offsets = _flat(column)
+    return (flat[a:b] for a, b in zip(offsets, offsets[1:]))
+
+
 def _aligning(least: int):
     def align(batches):
         for batch in _slices(batches):
             keys, gone = [], []
-            sides = (_arrays(batch.column(c), ("pos", "line", "words")) for c in ("earlier", "shared"))
-            for key, one, two in zip(batch.column("key").to_pylist(), *sides):
-                pairs = aligned(one["line"].tolist(), two["line"].tolist())
+            sides = (_lists(batch.column(c)) for c in ("earlier", "lines", "words", "starts", "stops"))
+            for key, one, two, words, starts, stops in zip(batch.column("key").to_pylist(), *sides):
+                left, right = np.flatnonzero(np.isin(one, two)), np.flatnonzero(np.isin(two, one))
+                pairs = aligned(one[left].tolist(), two[right].tolist())
                 at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-                i, j = one["pos"][at[:, 0]], two["pos"][at[:, 1]]
-                marked = j[long_runs((np.diff(i) == 1) & (np.diff(j) == 1), two["words"][at[:, 1]], least)]
-                if len(marked):
-                    keys.append(key)
-                    gone.append(marked.astype(np.int32))
+                i, j = left[at[:, 0]], right[at[:, 1]]
+                marked = np.zeros(len(two) + 1, dtype=np.int64)
+                np.add.at(marked, starts, 1)
+                np.add.at(marked, stops, -1)
+                marked = np.cumsum(marked[:-1]) > 0
+                marked[j[long_runs((np.diff(i) == 1) & (np.diff(j) == 1), words[j], least)]] = True
+                keys.append(key)
+                gone.append(np.flatnonzero(marked).astype(np.int32))
             kind = batch.schema.field("key").type
             yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
@@ -235,17 +236,16 @@ def without_repeated_blocks(docs: DataFrame, least: int = MIN_BLOCK_WORDS, count
     own = docs.where("doc_id is not null").select(key.alias("key"), F.col("text").cast("string"))
     kind = "key struct<doc_id: bigint, h: bigint>"
     described = written(own.mapInArrow(_describing, f"{kind}, lines array<long>, words array<int>"), "lines")
-    entries = described.select("key", F.posexplode(F.arrays_zip("lines", "words")).alias("pos", "x"))
-    entries = entries.select("key", "pos", F.col("x.lines").alias("line"), F.col("x.words").alias("words"))
-    firsts = entries.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first != last")
-    shared = entries.join(written(firsts.select("line", "first"), "shared-lines"), "line")
-    entry = F.struct("pos", "line", "words", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
-    shared = written(shared.groupBy("key").agg(F.collect_list(entry).alias("shared")), "shared")
-    pairs = written(
-        shared.mapInArrow(_partners(least), f"first struct<doc_id: bigint, h: bigint>, {kind}"), "line-pairs"
-    )
-    slim = shared.select("key", F.transform("shared", lambda x: F.struct(x["pos"], x["line"], x["words"])).alias("shared"))
-    both = pairs.join(slim, "key").join(slim.toDF("first", "earlier"), "first").select("key", "earlier", "shared")
+    runs = described.mapInArrow(_running(least), f"{kind}, run long, start int, stop int")
+    firsts = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first != last")
+    shared = runs.join(written(firsts.select("run", "first"), "shared-runs"), "run").where("first < key")
+    lists = (F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    pairs = written(shared.groupBy("key", "first").agg(*lists), "line-pairs")
+    # Rows of one document would pair with those of another; there seldom are any.
+    if described.groupBy("key").count().where("count > 1").limit(1).count():
+        described = described.dropDuplicates(["key"])
+    earlier = described.select(F.col("key").alias("first"), F.col("lines").alias("earlier"))
+    both = pairs.join(described, "key").join(earlier, "first").select("key", "earlier", "lines", "words", "starts", "stops")
     gone = both.mapInArrow(_aligning(least), f"{kind}, gone array<int>")
     gone = gone.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("_gone"))
     gone = broadcast_if_small(written(gone.withColumnRenamed("key", "_key"), "gone"))

@@ -121,8 +121,8 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(value + np.uint64(width))
 
 
-def spans(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the words of each span; a span ends where the next one starts, the last with the words."""
+def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the words of each span; without ends, a span ends where the next one starts, the last with the words."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = len(hashes) + 1
@@ -131,7 +131,7 @@ def spans(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
     total = np.zeros(size, dtype=np.uint64)
     np.cumsum(hashes * power[1:], out=total[1:])
-    ends = np.append(starts[1:], len(hashes))
+    ends = np.append(starts[1:], len(hashes)) if ends is None else ends
     return mixed((total[ends] - total[starts]) * back[starts])
 
 
