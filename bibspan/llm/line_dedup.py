@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment: blocks of lines a document shares with an earlier one go.
 
-A line is a line of text or, within one, a sentence: it ends after a line break, or after
-`.`, `!` or `?` and a space.  Lines are equal when their words are, whatever their case in
-A-Z and their white space; lines without words count for nothing.
+A line is a line of text or, within one, a sentence: it ends after a line break, after `.`,
+`!` or `?` and a space, after a full stop of another script, and after a space between letters
+of scripts that write no full stops (Thai, Lao).  Lines are equal when their words are,
+whatever their case in A-Z and their white space; lines without words count for nothing.
+Scripts without spaces between words count as many words as their letters make up: two
+letters of Chinese and Japanese, four of Thai, Lao, Tibetan, Burmese and Khmer.
 
 Runs of lines lead to pairs of documents: of every line the shortest run of enough words that
 starts with it, and the shortest that ends with it.  Each run is looked up in the first
@@ -29,15 +32,56 @@ from bibspan.operators.sizing import broadcast_if_small, written
 MIN_BLOCK_WORDS = 20
 
 
+# Code points that end a line, and those of scripts without spaces between words with twelfths of a word per byte.
+STOPS = (0x589, 0x61F, 0x6D4, 0x700, 0x701, 0x702, 0x964, 0x965, 0xF0D, 0xF0E, 0x104A, 0x104B, 0x1362, 0x1367, 0x17D4, 0x17D5,
+         0x1803, 0x1809, 0x203C, 0x203D, 0x2047, 0x2048, 0x2049, 0x3002, 0xFE12, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61)
+UNSPACED = [(0xE00, 0xEFF, 1), (0xF00, 0xFFF, 1), (0x1000, 0x109F, 1), (0x1780, 0x17FF, 1), (0x1950, 0x19DF, 1), (0x1A20, 0x1AAF, 1),
+            (0x2E80, 0x2FDF, 2), (0x3005, 0x3007, 2), (0x3021, 0x312F, 2), (0x31A0, 0x31FF, 2), (0x3400, 0x4DBF, 2), (0x4E00, 0x9FFF, 2),
+            (0xF900, 0xFAFF, 2), (0xFF66, 0xFF9D, 2)]
+SHARES = np.zeros(1 << 16, dtype=np.uint8)
+for _from, _to, _share in UNSPACED:
+    SHARES[_from : _to + 1] = _share
+IS_STOP = np.zeros(1 << 16, dtype=bool)
+IS_STOP[list(STOPS)] = True
+
+
+def _other_scripts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places after which a line ends by rules of scripts other than Latin, and twelfths of a word for every byte."""
+    share = np.zeros(len(data), dtype=np.uint8)
+    two, three, four = (np.flatnonzero((data >= a) & (data <= b)) for a, b in ((0xC2, 0xDF), (0xE0, 0xEF), (0xF0, 0xF4)))
+    wide = data.astype(np.int32) & 63 if len(two) + len(three) + len(four) else data
+    points = ((wide[two] & 31) << 6) | wide[two + 1] if len(two) else two
+    ends = [two[IS_STOP[points]] + 1]
+    if len(three):
+        points = ((wide[three] & 15) << 12) | (wide[three + 1] << 6) | wide[three + 2]
+        ends.append(three[IS_STOP[points]] + 2)
+        own = SHARES[points]
+        for k in range(3):
+            share[three + k] = own
+        thai = three[(points >= 0xE00) & (points <= 0xEFF)]
+        starts = np.zeros(len(data) + 4, dtype=bool)
+        starts[thai] = True
+        ends.append(thai[starts[thai + 4] & (data[np.minimum(thai + 3, len(data) - 1)] == 32)] + 3)
+    # Beyond the first plane, ideographs lie in planes 2 and 3.
+    for at in four[(data[four] == 0xF0) & (data[np.minimum(four + 1, len(data) - 1)] >= 0xA0)]:
+        share[at : at + 3] = 2
+    return np.concatenate(ends), share
+
+
 def _lines(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher):
     """Start byte, hash, number of words and text of every line with words."""
     before = np.concatenate((np.zeros(1, np.uint8), data[:-1])) if len(data) else data
     ends = (data == 10) | ((data == 32) & np.isin(before, np.frombuffer(b".!?", np.uint8)))
-    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(ends) + 1]))
+    others, share = _other_scripts(data)
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(ends) + 1, others + 1]))
     starts = starts[starts < len(data)]
-    hashes, places = hasher.located(data, offsets)
+    # A line may end without a space, so a word ends with its line.
+    hashes, places = hasher.located(data, np.append(starts, len(data)))
     first = np.searchsorted(places, starts)
-    count = np.diff(np.append(first, len(places)))
+    total = np.concatenate(([0], np.cumsum(share, dtype=np.int64)))
+    weights = np.maximum(np.diff(total[np.append(places, len(data))]) // 12, 1)
+    total = np.concatenate(([0], np.cumsum(weights)))
+    count = np.diff(total[np.append(first, len(places))])
     named = spans(hashes, first)
     worded = count > 0
     text = np.searchsorted(offsets, starts[worded], side="right") - 1
