@@ -13,12 +13,17 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
-_PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|</?[a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+_UNREAD = r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+_PART = re.compile(rf"{_UNREAD}|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|</?[a-zA-Z][^>]*>", re.DOTALL | re.IGNORECASE)
+#: Elements whose inside is no text of the page, if they end.
+SKIPPED = frozenset("template svg iframe canvas audio video".split())
+#: What cannot be inside of svg, other than in foreignObject, and ends it.
+_LEAVES_SVG = "blockquote|body|center|dd|div|dl|dt|embed|h[1-6]|head|hr|img|li|main|article|section|nav|aside|header|footer|menu|ol|p|pre|table|ul"
+_HIDING = re.compile(
+    rf"{_UNREAD}|<(/?)({'|'.join(sorted(SKIPPED))}|foreignobject|{_LEAVES_SVG})(?=[\s/>])({_ATTRIBUTES})>", re.DOTALL | re.IGNORECASE
 )
+_HIDES = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})[\s/>]", re.IGNORECASE)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -44,6 +49,29 @@ def _opened(stack: list, tag: str) -> None:
             break
 
 
+def _hidden(page: str) -> dict[int, int]:
+    """Where elements start whose inside is skipped, and where the page goes on: each start with its own end only."""
+    found: dict[int, int] = {}
+    if not _HIDES.search(page):
+        return found
+    started: dict[str, list[int]] = {tag: [] for tag in (*SKIPPED, "foreignobject")}
+    for part in _HIDING.finditer(page):
+        if not part[3]:
+            continue
+        tag = part[3].lower()
+        own = started.get(tag)
+        if own is None:
+            svg, foreign = started["svg"], started["foreignobject"]
+            while svg and not part[2] and (not foreign or svg[-1] > foreign[-1]):
+                found[svg.pop()] = part.start()
+        elif part[2]:
+            if own:
+                found[own.pop()] = part.end()
+        elif not (tag == "svg" and part[4].endswith("/")):
+            own.append(part.start())
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, tuple, float]]:
     """Blocks in page order: text, path of (tag, words of class, id and role), share of link text.
 
@@ -66,12 +94,18 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             held.append(text)
             linked += len(text) if in_link else 0
 
+    hidden = _hidden(page)
     for part in _PART.finditer(page):
+        if part.start() < at:
+            continue
         keep(page[at : part.start()])
         at = part.end()
         if not part[3]:
             continue
         tag = part[3].lower()
+        if tag in SKIPPED and (part[2] or part.start() in hidden or tag == "svg" and part[4].endswith("/")):
+            at = hidden.get(part.start(), at)
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if part[2] else 1
