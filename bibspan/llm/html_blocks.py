@@ -4,6 +4,7 @@ import html
 import re
 import sys
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark import cloudpickle
@@ -32,8 +33,40 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
          "option": {"option"}, "body": {"head"}}
 _SCOPE = frozenset("ul ol dl table article section main div body nav aside header footer form".split())
 
-PATH_WIDTH, WORD_WIDTH, NUMBERS, DEPTH = 64, 16, 9, 8
-WIDTH = PATH_WIDTH + WORD_WIDTH + NUMBERS
+PATH_WIDTH, WORD_WIDTH, NUMBERS, NEAR = 64, 64, 9, 8
+WIDTH = 2 * PATH_WIDTH + WORD_WIDTH + NUMBERS
+
+
+class Path(Sequence):
+    """Open elements from the outermost on, as (tag, words of class, id and role); inner paths share the outer ones."""
+
+    __slots__ = ("outer", "last", "size", "sums", "row")
+
+    def __init__(self, outer: "Path | None" = None, last: tuple | None = None):
+        self.outer, self.last, self.sums, self.row = outer, last, None, None
+        self.size = outer.size + 1 if outer is not None else 0
+
+    def __len__(self):
+        return self.size
+
+    def __reversed__(self):
+        while self.size:
+            yield self.last
+            self = self.outer
+
+    def __iter__(self):
+        return iter(list(reversed(self))[::-1])
+
+    def __getitem__(self, k):
+        if k == -1 and self.size:
+            return self.last
+        return tuple(self)[k]
+
+    def __eq__(self, other):
+        return tuple(self) == tuple(other)
+
+    def __hash__(self):
+        return hash(tuple(self))
 
 
 def _opened(stack: list, tag: str) -> None:
@@ -72,19 +105,20 @@ def _hidden(page: str) -> dict[int, int]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, tuple, float]]:
+def blocks(page: str) -> list[tuple[str, Path, float]]:
     """Blocks in page order: text, path of (tag, words of class, id and role), share of link text.
 
     Markup need not be well formed: paragraphs, items and cells end where the next begins,
     ends without a start are ignored, elements that never end reach to the end of the page.
     """
     found, stack, held, linked, in_link, at = [], [], [], 0, 0, 0
+    paths = [Path()]
 
     def flush():
         nonlocal linked, in_link
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         if text:
-            found.append((text, tuple(stack[-DEPTH:]), min(linked / max(len(text), 1), 1.0)))
+            found.append((text, paths[-1], min(linked / max(len(text), 1), 1.0)))
         held.clear()
         linked = 0
 
@@ -119,11 +153,14 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
+            del paths[len(stack) + 1 :]
         else:
             _opened(stack, tag)
+            del paths[len(stack) + 1 :]
             if tag not in VOID:
                 names = " ".join(a or b or c for a, b, c in _NAMES.findall(part[4])) if part[4] else ""
                 stack.append((tag, tuple(_WORD.findall(names.lower()))))
+                paths.append(Path(paths[-1], stack[-1]))
     keep(page[at:])
     flush()
     return found
@@ -134,26 +171,55 @@ def _spot(name: str, width: int) -> tuple[int, float]:
     return code % width, 1.0 if code & 0x10000 else -1.0
 
 
-def vectors(found: list[tuple[str, tuple, float]], known: dict) -> np.ndarray:
-    """A row per block: hashed tag path, hashed words, and numbers about its text and place."""
+def _own(element: tuple, known: dict) -> np.ndarray:
+    """Hashed tag and names of one element."""
+    row = known.get(element)
+    if row is None:
+        row = known[element] = np.zeros(PATH_WIDTH, dtype=np.float32)
+        for name in (f"<{element[0]}", *element[1]):
+            spot, sign = _spot(name, PATH_WIDTH)
+            row[spot] += sign
+    return row
+
+
+def _path_row(path: Path, known: dict) -> np.ndarray:
+    """Hashed elements of a path: sums over the innermost few, and damped sums over all of them."""
+    if path.row is None:
+        new = []
+        at = path
+        while at.sums is None and at.size:
+            new.append(at)
+            at = at.outer
+        for inner in reversed(new):
+            outer = inner.outer.sums if inner.outer.size else 0
+            inner.sums = outer + _own(inner.last, known)
+        near = np.zeros(PATH_WIDTH, dtype=np.float32)
+        for element, _ in zip(reversed(path), range(NEAR)):
+            near += _own(element, known)
+        if path.size:
+            spot, sign = _spot(f"last <{path.last[0]}", PATH_WIDTH)
+            near[spot] += sign
+        every = path.sums if path.size else np.zeros(PATH_WIDTH, dtype=np.float32)
+        path.row = np.concatenate([near, np.sign(every) * np.log2(1 + np.abs(every))])
+    return path.row
+
+
+def _word(word: str, known: dict) -> int:
+    code = known.get(word)
+    if code is None:
+        spot, sign = _spot(word, WORD_WIDTH)
+        code = known[word] = spot if sign > 0 else spot + WORD_WIDTH
+    return code
+
+
+def vectors(found: list[tuple[str, Path, float]], known: dict) -> np.ndarray:
+    """A row per block: hashed tag path, all words hashed, and numbers about its text and place."""
     rows = np.zeros((len(found), WIDTH), dtype=np.float32)
     for k, (text, path, linked) in enumerate(found):
-        row = known.get(path)
-        if row is None:
-            row = np.zeros(PATH_WIDTH, dtype=np.float32)
-            for tag, names in path:
-                for name in (f"<{tag}", *names):
-                    spot, sign = _spot(name, PATH_WIDTH)
-                    row[spot] += sign
-            if path:
-                spot, sign = _spot(f"last <{path[-1][0]}", PATH_WIDTH)
-                row[spot] += sign
-            known[path] = row
-        rows[k, :PATH_WIDTH] = row
+        rows[k, : 2 * PATH_WIDTH] = _path_row(path, known)
         words = text.lower().split()
-        for word in words[:1] + words[-1:] if len(words) > 30 else words:
-            spot, sign = _spot(word, WORD_WIDTH)
-            rows[k, PATH_WIDTH + spot] += sign / len(words) ** 0.5
+        counts = np.bincount([_word(w, known) for w in words], minlength=2 * WORD_WIDTH) if words else np.zeros(2 * WORD_WIDTH)
+        rows[k, 2 * PATH_WIDTH : -NUMBERS] = (counts[:WORD_WIDTH] - counts[WORD_WIDTH:]) / max(len(words), 1) ** 0.5
         n = len(text)
         rows[k, -NUMBERS:] = (
             np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, text[-1] in ".!?…", sum(map(text.count, ".,;")) / max(len(words), 1),

@@ -22,7 +22,8 @@ from bibspan.llm.html_blocks import WIDTH, blocks, vectors
 # The sample: pages to take texts from, and layouts made of them.
 MOST_PAGES = 300
 LAYOUTS = 900
-_MOST_BLOCKS = 60
+# Blocks the labeller learns from at once: longer pages are read in several windows, from start to end.
+WINDOW = 240
 
 # Names of containers.
 ASIDE = frozenset(
@@ -41,7 +42,7 @@ _SAID = {
 }
 
 
-def plainly_main(path: tuple) -> bool | None:
+def plainly_main(path) -> bool | None:
     """What the containers say: the innermost telling one counts; None if there is none."""
     for tag, names in reversed(path):
         if tag in ASIDE_TAGS or not ASIDE.isdisjoint(names):
@@ -133,6 +134,11 @@ class Layouts:
         return self.made
 
 
+def windows(values: np.ndarray) -> list[np.ndarray]:
+    """All values of a page in windows of about equal length."""
+    return np.array_split(values, -(-len(values) // WINDOW)) if len(values) else []
+
+
 def train(pages: list[str], seed: int = 5) -> dict[str, np.ndarray] | None:
     """A labeller from some pages; None if they hold no text."""
     rng = np.random.default_rng(seed)
@@ -141,16 +147,18 @@ def train(pages: list[str], seed: int = 5) -> dict[str, np.ndarray] | None:
     if not texts:
         return None
     rows, labels, known = [], [], {}
+
+    def add(x, y):
+        for own, into in ((x, rows), (y, labels)):
+            into.extend(windows(own))
+
     for page in found:
         told = [plainly_main(path) for _, path, _ in page]
         if any(told):
-            rows.append(vectors(page, known)[:_MOST_BLOCKS])
-            labels.append(np.array([bool(t) for t in told], dtype=np.float32)[:_MOST_BLOCKS])
+            add(vectors(page, known), np.array([bool(t) for t in told], dtype=np.float32))
     layouts = Layouts(texts, rng)
     for _ in range(LAYOUTS):
-        x, y = layouts.page()
-        rows.append(x[:_MOST_BLOCKS])
-        labels.append(y[:_MOST_BLOCKS])
+        add(*layouts.page())
     return recurrent.train(rows, labels, WIDTH)
 
 

@@ -1,8 +1,10 @@
 """Blocks of pages whose markup could hide the rest of the page."""
 
+import numpy as np
 import pytest
 
-from bibspan.llm.html_blocks import blocks
+from bibspan.llm.html_blocks import blocks, vectors
+from bibspan.llm.main_text import windows
 
 
 def texts(page):
@@ -25,3 +27,21 @@ def test_what_is_skipped_and_what_is_judged():
     found = blocks("<article><p>so <math><mi>e</mi></math> is</p><object><p>shown</p></object><noscript><p>said</p></noscript></article>")
     assert " ".join(t for t, _, _ in found).split() == ["so", "e", "is", "shown", "said"]
     assert found[-1][1][-2][0] == "noscript" and len(texts("<svg>" * 50_000 + "<p>end")) == 1
+
+
+def test_vectors_hold_the_whole_block_and_path():
+    def row(page):
+        return vectors(blocks(page), {})[0]
+
+    said = [f"word{k}" for k in range(60)]
+    other = [*said[:30], "elsewhere", *said[31:]]
+    assert (row(f"<p>{' '.join(said)}</p>") != row(f"<p>{' '.join(other)}</p>"))[:-9].any()
+    deep = "<div>" * 30 + "<p>text"
+    assert (row(f"<div class=comments>{deep}") != row(f"<div class=content>{deep}")).any()
+    assert len(blocks("<div>x" * 30_000)) == 30_000 and vectors(blocks("<div>x" * 3000), {}).max() < 20
+
+
+def test_windows_cover_whole_pages():
+    x = np.arange(1001)
+    assert np.concatenate(windows(x)).tolist() == x.tolist() and max(map(len, windows(x))) <= 240 and windows(x[:0]) == []
+    assert len(windows(x[:240])) == 1
