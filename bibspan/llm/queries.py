@@ -9,7 +9,10 @@ from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.line_dedup import without_repeated_blocks
 from bibspan.llm.main_text import fit as main_text_of, with_main_text
+from bibspan.llm.mixing import MOST_COPIES, mixed, taken_words
+from bibspan.llm.search import ranked_documents
 from bibspan.llm.set_join import similar_sets
+from bibspan.llm.spelling import spelling_variants
 from bibspan.llm.tiles import near_vectors
 from bibspan.llm.token_files import read_token_files, write_token_files
 from bibspan.llm.warc import read_chunks, stored_records, with_record_types, write_archives
@@ -168,3 +171,71 @@ def op9_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = with_main_text(pages, main_text_of(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+RANKED = rf"""
+with words as (
+    select doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+held as (select doc_id, t, count(*) as tf from words group by all),
+lengths as (select doc_id, count(*) as n from words group by all),
+corpus as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from lengths),
+asked as (
+    select item_id, t, count(*) as times from (
+        select item_id, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)
+    group by all),
+weights as (
+    select t, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from held, corpus group by t, n_docs),
+scores as (
+    select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) as bigint) as score
+    from asked join held using (t) join weights using (t) join lengths using (doc_id), corpus group by all)
+select item_id, cast(row_number() over w as integer) as rank, doc_id, score from scores where score > 0
+window w as (partition by item_id order by score desc, doc_id) qualify rank <= 10"""
+
+
+@query(RANKED)
+def op11_ranked_search(spark, sf_dir):
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MIXED = rf"""
+with sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, coalesce(md5(text), '') as digest
+    from documents),
+counted as (select *, count(*) as copies from sized group by all),
+parts as (select *, unnest(range(0, (copies - 1) // {MOST_COPIES} + 1)) as part from counted),
+sources as (
+    select source, cast(sum(size) as bigint) as words, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+    from sized group by source),
+ordered as (
+    select *, coalesce(sum(words * 3) over before, 0) as cap_before, coalesce(sum(weight) over before, 0) as weight_before,
+        sum(words) over () as all_words, sum(weight) over () as all_weights
+    from sources window before as (order by words * 3 / weight, weight rows between unbounded preceding and 1 preceding)),
+level as (
+    select any_value(all_words) - coalesce(sum(words * 3) filter (above), 0) as left_words,
+        any_value(all_weights) - coalesce(sum(weight) filter (above), 0) as left_weights
+    from (select *, weight * (all_words - cap_before) / (all_weights - weight_before) > words * 3 as above from ordered)),
+targets as (
+    select source, words, case when share > words * 3 then cast(words * 3 as double) else share end as target
+    from (select *, weight * left_words / greatest(left_weights, 1) as share from sources, level)),
+streams as (
+    select p.*, t.words as source_size, target, least(cast(round(target) as bigint), t.words * 3) as wanted, size * least(copies - part * {MOST_COPIES}, {MOST_COPIES}) as own_words,
+        sum(own_words) over (partition by p.source order by md5(concat_ws(':', coalesce(cast(doc_id as varchar), ''), digest, cast(part as varchar))),
+            doc_id, digest) - own_words as start
+    from parts p join targets t on p.source is not distinct from t.source),
+taken as (
+    select *, cast(greatest(0, least(wanted - start, own_words)) + greatest(0, least(wanted - source_size - start, own_words))
+        + greatest(0, least(wanted - 2 * source_size - start, own_words)) as bigint) as words, least(copies - part * {MOST_COPIES}, {MOST_COPIES}) as own_copies
+    from streams)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
+    cast(words // own_copies + case when copy <= words % own_copies then 1 else 0 end as bigint) as taken
+from (select *, unnest(range(1, own_copies + 1)) as copy from taken)"""
+
+
+@query(MIXED)
+def op12_source_mixing(spark, sf_dir):
+    return taken_words(mixed(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
