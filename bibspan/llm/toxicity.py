@@ -1,25 +1,30 @@
-"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
-
-The kernel of two words counts the subsequences of three letters they share, each occurrence
-weighted by DECAY for every letter skipped, within SPAN letters; so words with letters put
-in or left out are still alike.  A text is as toxic as its most toxic sentence, and a sentence
-as its most toxic word.  Labels are of documents, so the sentences that made a document toxic have to be found: first
-by words and beginnings of words that toxic documents have far more often, then by what the
-machine finds worse than nearly all clean documents.  Two machines find these reasons for
-each other, each in the half of the toxic documents that it has not learnt from; a document
-without any is taken as wrongly labelled.  All words of clean documents are clean.
-
-With landmarks, the decision is linear in the counts of subsequences: landmarks and
-their weights fold into one number per subsequence, and a word is scored by adding these up.
-Letters spelled out one by one ("i d i o t") and signs between letters ("id.iot") are read
-as one word.
+"""Toxicity: a subsequence string-kernel SVM with Nyström landmarks over sentences.
+
+The kernel of two strings counts the subsequences of four letters they share, each occurrence
+weighted by DECAY for every place skipped, within SPAN places.  A string is a sentence, or a stretch of
+a long one; the beginning of a word is a place of its own, which a subsequence may start with or
+skip.  So words with letters put in or left out are still alike, also when they are
+parted by a space, and sentences are alike that have several such words.  The kernel is not
+sized by length: what a sentence holds adds up.
+
+Labels are of documents, so the sentences that made a document toxic have to be found: first
+those with words or beginnings of words that toxic documents have far more often, then those that
+the machine finds worse than nearly all clean documents.  Two machines find them for each other, each in
+the half of the toxic documents that it has not learnt from.  Sentences of clean documents are
+clean whatever they hold, and a beginning that toxic documents have over and over and clean
+ones by chance still counts for as much as its shares tell.  A document is judged by its worst sentence and
+by the sum of its bad ones, those worse than most clean ones, for its length.
+
+With landmarks, the decision is linear in the counts of subsequences: landmarks and their weights
+fold into one number per subsequence (by a hash of fixed size), and a sentence is scored by adding these up
+at its places.
 """
 
 import math
-import re
 import sys
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,135 +35,194 @@ from pyspark.sql import functions as F
 from bibspan.llm.common import held_out, pieces, worker_state
 from bibspan.llm.labelled import label_share, training_rows
 
-# The sample: labelled documents of each class, and words kept of all the clean ones.
-MOST_DOCUMENTS = 1500
-MOST_CLEAN_WORDS = 20_000
-LANDMARKS = 160
-ROUNDS = 4
-COST = 3.0
-MOST_OF_A_REASON = 30
-SPOILED = 5
-TELLING = 5.0
+# The sample: labelled documents of each class, and sentences kept of all the clean ones.
+MOST_DOCUMENTS = 2500
+MOST_CLEAN_SENTENCES = 16_000
+LANDMARKS = 320
+ROUNDS = 2
+COST = 1.0
+# Sentences worse than this share of the clean ones are bad.
+LEVEL = 0.99
+# What tells: by so many standard deviations more toxic documents, and sentences of them, in at least so many.
+TELLING = 2.5
+TELLING_AGAIN = 8.0
+LEAST_DOCUMENTS = 4
+MOST_OF_A_DOCUMENT = 5
+# Telling words of at least so many letters are also learnt with a letter or a space put in, so many times.
+LEAST_SPOILED = 4
+SPOILED = 12
+MOST_SPOILED = 2000
 DECAY = 0.6
-SPAN = 8
-_CODES = 32
-_REMEMBERED = 200_000
-_SPELLED = re.compile(r"(?<!\S)(?:\w[^\w\s]?\s{1,2}){3,}\w(?![^\W_])")
-
-
-def _letter_codes() -> dict:
-    """Codes of characters by code point: 1-26 letters without accents, 27 digits, None for signs."""
-    codes = {}
+SPAN = 6
+# Longer sentences are cut into stretches of so many words.
+WORDS_AT_ONCE = 12
+HASH_BITS = 20
+# Codes of places: letters from 1 on, the beginning of a word, nothing.
+_BEGINS, _NOTHING = 63, 0
+
+
+def _letter_codes() -> np.ndarray:
+    """Codes by code point below U+0250: letters 1-26, letters with accents 27-58, digits 59, others 60-62, 0 for signs."""
+    codes = np.zeros(0x250, dtype=np.uint8)
+    accented = {}
     for point in range(0x250):
-        c = chr(point)
-        base = unicodedata.normalize("NFKD", c.lower())[:1] or c
-        base = {"ß": "s", "æ": "a", "œ": "o", "ø": "o"}.get(base, base)
-        if "a" <= base <= "z":
-            codes[point] = chr(ord(base) - 96)
-        elif base.isdigit():
-            codes[point] = chr(27)
-        elif c.isalnum():
-            codes[point] = chr(28 + point % 4)
-        else:
-            codes[point] = None
+        c = chr(point).lower()[:1]
+        if "a" <= c <= "z":
+            codes[point] = ord(c) - 96
+        elif c.isdigit():
+            codes[point] = 59
+        elif c.isalpha():
+            base = unicodedata.normalize("NFKD", c)[0]
+            own = c if 0xDF <= ord(c) <= 0xFF else base
+            codes[point] = accented.setdefault(own, 27 + len(accented) % 32) if not "a" <= own <= "z" else ord(own) - 96
     return codes
 
 
-class _Letters(dict):
-    def __missing__(self, point: int):
-        self[point] = chr(28 + point % 4) if chr(point).isalnum() else None
-        return self[point]
-
-
-LETTERS = _Letters(_letter_codes())
-
-
-_DRAWN_OUT = re.compile(rb"(.)\1\1+", re.DOTALL)
-
-
-def coded(words: list[str]) -> list[bytes]:
-    """Codes of the letters of words; a letter that comes more than twice in a row comes twice."""
-    return [_DRAWN_OUT.sub(rb"\1\1", w.translate(LETTERS).encode("latin-1")) for w in words]
-
-
-def _subsequences(words: list[bytes]):
-    """For words of about equal length: numbers and weights of their subsequences, as matrices."""
-    width = max(map(len, words), default=0)
-    codes = np.zeros((len(words), width + SPAN), dtype=np.int32)
-    for k, word in enumerate(words):
-        codes[k, : len(word)] = np.frombuffer(word, np.uint8)
-    for far in range(2, SPAN):
-        for near in range(1, far):
-            a, b, c = codes[:, :width], codes[:, near : near + width], codes[:, far : far + width]
-            yield np.where(c > 0, (a * _CODES + b) * _CODES + c, 0), DECAY ** (far - 2)
-
-
-def _sizes() -> np.ndarray:
-    """Square root of the sum of squared weights of a word's subsequences, by length."""
-    squares = [0.0, 0.0, 0.0]
-    for n in range(3, 4096):
-        squares.append(sum(max(n - far, 0) * (far - 1) * DECAY ** (2 * (far - 2)) for far in range(2, SPAN)))
-    return np.sqrt(np.array(squares))
-
-
-SIZES = _sizes()
-
-
-def _sized(words: list[bytes]) -> np.ndarray:
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    beyond = SIZES[-1] * np.sqrt(np.maximum(n, len(SIZES)) / len(SIZES))
-    return np.where(n < len(SIZES), SIZES[np.minimum(n, len(SIZES) - 1)], beyond)
-
-
-def _by_length(words: list[bytes], cells: int = 1 << 18):
-    """Places of words in groups of similar length and bounded size."""
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    start = 0
-    while start < len(order):
-        stop = start + 1
-        while stop < len(order) and (stop + 1 - start) * (len(words[order[stop]]) + SPAN) <= cells:
-            stop += 1
-        yield order[start:stop]
-        start = stop
-
+CODES = _letter_codes()
+IS_SPACE = np.zeros(0x250, dtype=bool)
+IS_SPACE[[p for p in range(0x250) if chr(p).isspace()]] = True
+IS_STOP = np.zeros(0x250, dtype=bool)
+IS_STOP[[ord(c) for c in ".!?\n"]] = True
 
-def decisions(words: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Values of the machine for words; those too short for a subsequence have the bias."""
-    values = np.full(len(words), bias, dtype=np.float64)
-    sizes = _sized(words)
-    for group in _by_length(words):
-        total = np.zeros(len(group))
-        for number, weight in _subsequences([words[k] for k in group]):
-            total += weight * weights[number].sum(axis=1)
-        own = sizes[group]
-        values[group] += np.divide(total, own, out=np.zeros(len(group)), where=own > 0)
-    return values
 
+def places(texts: list[str]):
+    """Codes of the places of some texts laid end to end, and the sentence and the text of each sentence.
 
-def features(words: list[bytes]) -> np.ndarray:
-    """Sized counts of subsequences of a few words."""
-    found = np.zeros((len(words), _CODES**3), dtype=np.float32)
-    for group in _by_length(words):
-        own = [words[k] for k in group]
-        rows = np.array(group)[:, None]
-        for number, weight in _subsequences(own):
-            np.add.at(found, (np.broadcast_to(rows, number.shape), number), weight)
-    found[:, 0] = 0
-    sizes = _sized(words)
-    return found / np.where(sizes > 0, sizes, 1)[:, None]
-
-
-def _products(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of many words with the landmarks."""
-    right = np.ascontiguousarray(landmarks.T)
-    found = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    sizes = _sized(words)
-    for group in _by_length(words, 1 << 12):
-        total = np.zeros((len(group), len(landmarks)), dtype=np.float32)
-        for number, weight in _subsequences([words[k] for k in group]):
-            total += weight * right[number].sum(axis=1)
-        own = sizes[group]
-        found[group] = total / np.where(own > 0, own, 1)[:, None]
+    Signs within words are left out, letters spelled out one by one are one word, a letter that
+    comes more than twice in a row comes twice, and a word that comes over and over in a row comes once.  Between texts lie empty places, so that no
+    subsequence goes over the end of one.  Returns codes, number of the sentence of each place,
+    text of each sentence and words of each sentence.
+    """
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
+    low = np.minimum(points, 0x24F)
+    wide = points >= 0x250
+    code = CODES[low]
+    if wide.any():
+        letters = np.array([chr(p).isalnum() for p in points[wide].tolist()])
+        code = code.copy()
+        code[wide] = np.where(letters, 60 + points[wide] % 3, 0)
+    space = IS_SPACE[low] & ~wide
+    if wide.any():
+        space[wide] = [chr(p).isspace() for p in points[wide].tolist()]
+    letter = np.flatnonzero(code)
+    if not len(letter):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n_spaces = np.cumsum(space)
+    n_stops = np.cumsum(IS_STOP[low] & ~wide)
+    codes, own, text = code[letter], n_spaces[letter], text[letter]
+    begins = np.concatenate(([True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])))
+    once = ~_repeats(codes, begins, text)
+    letter, codes, begins, text = letter[once], codes[once], begins[once], text[once]
+    word = np.cumsum(begins) - 1
+    first = np.flatnonzero(begins)
+    of_word = text[first]
+    ends = np.append(first[1:], len(codes)) - 1
+    # A sentence ends where a full stop is followed by a space before the next word.
+    stopped = np.concatenate(([True], (n_stops[letter[first[1:]]] != n_stops[letter[ends[:-1]]]) | (of_word[1:] != of_word[:-1])))
+    head = np.maximum.accumulate(np.where(stopped, np.arange(len(first)), 0))
+    sentence_of_word = np.cumsum((np.arange(len(first)) - head) % WORDS_AT_ONCE == 0) - 1
+    n_words = np.bincount(sentence_of_word)
+    of_sentence = of_word[np.flatnonzero(np.diff(sentence_of_word, prepend=-1))]
+    # Words of one letter after each other are one word.
+    alone = ends == first
+    spelled = np.concatenate(([False], alone[1:] & alone[:-1] & (sentence_of_word[1:] == sentence_of_word[:-1])))
+    marked = begins.copy()
+    marked[first[spelled]] = False
+    keep = np.ones(len(codes), dtype=bool)
+    same = np.concatenate(([False], (codes[1:] == codes[:-1]) & ~marked[1:]))
+    keep[2:] = ~(same[2:] & same[1:-1])
+    new_text = np.concatenate(([False], text[1:] != text[:-1]))
+    room = keep + marked.astype(np.int64) + new_text * SPAN
+    at = np.cumsum(room) - 1
+    out = np.zeros(int(at[-1]) + 1 + SPAN, dtype=np.uint8)
+    out[at[keep]] = codes[keep]
+    out[at[marked] - 1] = _BEGINS
+    where = np.zeros(len(out), dtype=np.int64)
+    where[at] = sentence_of_word[word]
+    where[at[marked] - 1] = sentence_of_word[word[marked]]
+    return out, np.maximum.accumulate(where), of_sentence, n_words
+
+
+def _repeats(codes: np.ndarray, begins: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Marks the letters of words that are the same as the word before them."""
+    first, word = np.flatnonzero(begins), np.cumsum(begins) - 1
+    power = np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    named = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * power[(np.arange(len(codes)) - first[word]) % 64], first)
+    size = np.diff(np.append(first, len(codes)))
+    same = (named[1:] == named[:-1]) & (size[1:] == size[:-1]) & (text[first[1:]] == text[first[:-1]])
+    return np.concatenate(([False], same))[word]
+
+
+def subsequences(codes: np.ndarray):
+    """Hashes and weights of the subsequences that start at each place but the last ones."""
+    n = max(len(codes) - SPAN, 0)
+    c = codes.astype(np.uint32)
+    inner = np.where(c == _BEGINS, 0, c)
+    starts = c[:n]
+    for far in range(3, SPAN):
+        d = inner[far : far + n]
+        for j in range(1, far - 1):
+            b = inner[j : j + n]
+            for k in range(j + 1, far):
+                m = inner[k : k + n]
+                number = ((starts * 64 + b) * 64 + m) * 64 + d
+                number = (number * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
+                number[(starts == 0) | (b == 0) | (m == 0) | (d == 0)] = 0
+                yield number, DECAY ** (far - 3)
+
+
+def decisions(codes: np.ndarray, sentence: np.ndarray, n: int, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Values of the machine for sentences."""
+    total = np.zeros(max(len(codes) - SPAN, 0), dtype=np.float32)
+    for number, weight in subsequences(codes):
+        total += np.float32(weight) * weights[number]
+    return bias + np.bincount(sentence[: len(total)], total, minlength=n)
+
+
+def laid(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings end to end, an empty stretch after each, and the number of the string of each place."""
+    empty = np.zeros(SPAN, np.uint8)
+    codes = np.concatenate([empty[:0], *(x for s in strings for x in (s, empty))])
+    return codes, np.repeat(np.arange(len(strings)), [len(s) + SPAN for s in strings])
+
+
+def spoiled(word: np.ndarray, rng) -> np.ndarray:
+    """The word with a letter put in, or parted by a space."""
+    at = int(rng.integers(2, len(word) - 1))
+    new = _BEGINS if rng.random() < 0.4 else int(rng.integers(1, 27))
+    return np.concatenate((word[:at], [np.uint8(new)], word[at:])).astype(np.uint8)
+
+
+def _features(strings: list[np.ndarray]):
+    """Subsequences in use in some strings, and their counts as a matrix: one row per string."""
+    codes, own = laid(strings)
+    found = [(number, own[: len(number)], np.full(len(number), weight)) for number, weight in subsequences(codes)]
+    number, row, weight = (np.concatenate(x) for x in zip(*found))
+    some = number > 0
+    used, column = np.unique(number[some], return_inverse=True)
+    table = np.zeros((len(strings), len(used)), dtype=np.float32)
+    np.add.at(table, (row[some], column), weight[some])
+    return used, table
+
+
+def _products(codes, sentence, n: int, used: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Kernel values of sentences with the landmarks."""
+    slot = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    slot[used] = np.arange(len(used))
+    right = np.ascontiguousarray(table.T)
+    found = np.zeros((n, len(table)), dtype=np.float32)
+    for number, weight in subsequences(codes):
+        at = slot[number]
+        some = np.flatnonzero(at >= 0)
+        for k in range(0, len(some), 1 << 15):
+            part = some[k : k + (1 << 15)]
+            own = sentence[part]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            found[own[first]] += np.float32(weight) * np.add.reduceat(right[at[part]], first, axis=0)
     return found
 
 
@@ -179,164 +243,207 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.
     return w
 
 
-def words_of(text: str) -> set[str]:
-    """The words of a text, and letters spelled out as one word."""
-    text = text.lower()
-    found = set(text.split())
-    found.update(re.sub(r"\s", "", m[0]) for m in _SPELLED.finditer(text))
-    return found
+class Model:
+    """Weights of subsequences and bias, and what turns the sentences of a document into a score."""
 
+    def __init__(self):
+        self.weights, self.bias = np.zeros(1 << HASH_BITS, np.float32), -1.0
+        self.level, self.slopes, self.offset = 0.0, np.zeros(2), 0.0
 
-def spoiled(word: bytes, rng) -> bytes:
-    """The word with a letter put in."""
-    at = int(rng.integers(1, max(len(word), 2)))
-    return word[:at] + bytes([int(rng.integers(1, 28))]) + word[at:]
+    def plain(self):
+        return self.weights, self.bias, self.level, self.slopes, self.offset
 
 
-class Model:
-    """Weights of subsequences, bias, and slope and offset that turn a decision into a score."""
+class Sentences:
+    """Sentences of documents: places, the document of each, and their words."""
 
-    def __init__(self):
-        self.weights, self.bias, self.slope, self.offset = np.zeros(_CODES**3, np.float32), -1.0, 1.0, 0.0
+    def __init__(self, texts: list[str]):
+        self.codes, self.sentence, self.document, self.n_words = places(texts)
+        self.n, self.n_documents = len(self.document), len(texts)
+        edges = np.flatnonzero(np.diff(self.sentence, prepend=-1))
+        self.start = edges
+        self.stop = np.append(edges[1:], len(self.codes))
+        self.bounds = np.searchsorted(self.document, np.arange(len(texts) + 1))
 
-    def plain(self):
-        return self.weights, self.bias, self.slope, self.offset
+    def string(self, k: int) -> np.ndarray:
+        own = self.codes[self.start[k] : self.stop[k]]
+        return own[: len(own) - SPAN] if k + 1 == self.n else own
+
+    def words(self, k: int) -> list[bytes]:
+        return [w for w in self.string(k).tobytes().replace(b"\0", b"").split(bytes([_BEGINS])) if w]
+
+    def some(self, chosen: np.ndarray):
+        """Places of some sentences only, with their new numbers; an empty stretch after each."""
+        return laid([self.string(int(k)) for k in chosen])
 
+    def decided(self, weights, bias) -> np.ndarray:
+        return decisions(self.codes, self.sentence, self.n, weights, bias)
 
-def _beginnings(word: bytes) -> set[bytes]:
+
+def _parts(word: bytes) -> set[bytes]:
     """The word itself, marked by a zero, and its first letters."""
     return {word + b"\0", word[:4], word[:5]}
 
 
-def _telling(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
-    """Words and beginnings that toxic documents have far more often: by TELLING standard deviations."""
-    counts = []
-    for documents in (toxic, clean):
-        own = {}
-        for words in documents:
-            for part in set().union(*map(_beginnings, words)):
-                own[part] = own.get(part, 0) + 1
-        counts.append(own)
-    ratio = len(toxic) / len(clean)
-    expected = {part: ratio * counts[1].get(part, 0) for part in counts[0]}
-    return {part for part, n in counts[0].items() if n - expected[part] >= TELLING * math.sqrt(expected[part] + 1)}
-
-
-def _first_reasons(documents: list[list[bytes]], telling: set[bytes], known_clean) -> list[bytes]:
-    """Telling words, and words with a telling beginning that no clean document has."""
-    return [
-        w for words in documents for w in words
-        if w + b"\0" in telling or (w not in known_clean and not telling.isdisjoint(_beginnings(w)))
-    ]
-
-
-def _reasons(documents: list[list[bytes]], machine, limit: float, known_clean) -> list[bytes]:
-    """The words of the documents that are worse than the limit and in no clean document."""
-    flat = sorted({w for words in documents for w in words}.difference(known_clean))
-    worse = {w for w, value in zip(flat, decisions(flat, *machine)) if value > limit}
-    return [w for words in documents for w in words if w in worse]
-
-
-def _machine(reasons: list[bytes], negative: list[bytes], rng) -> tuple[np.ndarray, float]:
-    """Weights of subsequences and bias of the machine that parts reasons from clean words."""
-    counts = Counter(reasons)
-    distinct = sorted(counts, key=lambda w: (-counts[w], w))
-    often, rest = distinct[: LANDMARKS // 4], distinct[LANDMARKS // 4 :]
-    marks = often + [rest[k] for k in rng.permutation(len(rest))[: LANDMARKS // 4]]
-    marks += [negative[k] for k in rng.permutation(len(negative))[: LANDMARKS - len(marks)]]
-    table = features(marks)
+def _telling(documents: list[dict[bytes, int]], toxic: np.ndarray) -> dict[bytes, float]:
+    """Words and beginnings that toxic documents have more often, and over and over, with by how many standard deviations.
+
+    `documents` has the number of sentences with each of its parts.  Parts of a few documents only say nothing of others.
+    """
+    counts = {}
+    for parts, label in zip(documents, toxic.astype(int)):
+        for part, n in parts.items():
+            own = counts.setdefault(part, [0, 0, 0, 0])
+            own[label] += 1
+            own[2 + label] += min(n, MOST_OF_A_DOCUMENT)
+    ratio = max(toxic.sum(), 1) / max((~toxic).sum(), 1)
+
+    def beyond(clean, bad):
+        return (bad - ratio * clean) / math.sqrt(ratio * clean + 1)
+
+    return {
+        part: beyond(clean_n, bad_n) for part, (clean, bad, clean_n, bad_n) in counts.items()
+        if bad >= LEAST_DOCUMENTS and beyond(clean, bad) >= TELLING and beyond(clean_n, bad_n) >= TELLING_AGAIN
+    }
+
+
+def _landmarks(telling: dict, bad: Sentences, reasons: np.ndarray, clean: Sentences, rng) -> list[np.ndarray]:
+    """Telling words and beginnings by how telling they are, words of bad sentences, and words of clean ones."""
+    marks = [bytes([_BEGINS]) + p.removesuffix(b"\0") for p in sorted(telling, key=lambda p: (-telling[p], p))[: LANDMARKS // 2]]
+    for source, chosen, most in ((bad, reasons, LANDMARKS // 4), (clean, np.arange(clean.n), LANDMARKS // 4)):
+        for k in rng.permutation(chosen)[:most]:
+            words = source.words(int(k))
+            if words:
+                marks.append(bytes([_BEGINS]) + words[int(rng.integers(len(words)))])
+    return [np.frombuffer(m, np.uint8) for m in dict.fromkeys(marks)]
+
+
+def _machine(marks: list[np.ndarray], bad: Sentences, reasons: np.ndarray, clean: Sentences, negative: np.ndarray, spoilt=()):
+    """Weights of subsequences and bias of the machine that parts bad sentences, and spoilt words, from clean ones."""
+    used, table = _features(marks)
     values, vectors = np.linalg.eigh((table @ table.T).astype(np.float64))
     strong = values > values.max() * 1e-6
     root = vectors[:, strong] / np.sqrt(values[strong])
-    positive = distinct + [spoiled(w, rng) for w in distinct * SPOILED]
-    x = _products([*positive, *negative], table) @ root
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    share = np.array([min(counts[w], MOST_OF_A_REASON) for w in distinct], dtype=np.float64)
-    share = np.concatenate([share, *[share / 2] * SPOILED])
-    cost = np.concatenate([share / share.sum() * len(negative) / 2, np.ones(len(negative))]) * COST
-    w = svm(x, y, cost)
-    weights = (table.T @ (root @ w[:-1])).astype(np.float32)
+    x = [
+        _products(*found, n, used, table)
+        for found, n in ((bad.some(reasons), len(reasons)), (laid(list(spoilt)), len(spoilt)), (clean.some(negative), len(negative)))
+    ]
+    y = np.concatenate([np.ones(len(reasons) + len(spoilt)), -np.ones(len(negative))])
+    shares = [np.full(n, len(negative) / max(n, 1) / 4) for n in (len(reasons), len(spoilt))]
+    cost = np.concatenate([*shares, np.ones(len(negative))]) * COST
+    w = svm(np.concatenate(x) @ root, y, cost)
+    weights = np.zeros(1 << HASH_BITS, np.float32)
+    weights[used] = table.T @ (root @ w[:-1])
     weights[0] = 0
     return weights, float(w[-1])
 
 
+def judged(values: np.ndarray, document: np.ndarray, n_words: np.ndarray, n: int, level: float) -> np.ndarray:
+    """How far the worst sentence of each document is beyond the level, and all that are, for its length."""
+    worst = np.zeros(n)
+    np.maximum.at(worst, document, np.minimum(values - level, 3))
+    total = np.bincount(document, np.maximum(values - level, 0), minlength=n)
+    words = np.bincount(document, n_words, minlength=n)
+    dense = np.sqrt(total * WORDS_AT_ONCE / np.maximum(words, WORDS_AT_ONCE))
+    return np.stack([worst, dense], axis=1)
+
+
 def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Model:
-    """Fit on documents; a third of them only sets how decisions become scores."""
-    model = Model()
-    rng = np.random.default_rng(seed)
-    documents = [sorted({w for w in coded(sorted(words_of(t))) if 3 <= len(w) <= 64}) for t in texts]
-    kept = [k for k in range(len(texts)) if k % 3]
-    toxic = [documents[k] for k in kept if labels[k] and documents[k]]
-    clean = [documents[k] for k in kept if not labels[k] and documents[k]]
-    if not toxic or not clean:
+    """Fit on documents; a quarter of them only sets how sentences become scores."""
+    model, rng = Model(), np.random.default_rng(seed)
+    toxic = np.array(labels, dtype=bool)
+    held = np.arange(len(texts)) % 4 == 0
+    bad, clean = (Sentences([texts[k] for k in np.flatnonzero((toxic == kind) & ~held)]) for kind in (True, False))
+    if not bad.n or not clean.n:
         model.offset = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
-        model.slope = 0.0
         return model
-    everything_clean = sorted({w for words in clean for w in words})
-    place = {w: k for k, w in enumerate(everything_clean)}
-    of_clean = [np.array([place[w] for w in words]) for words in clean]
-    halves = [toxic[0::2], toxic[1::2]] if len(toxic) > 1 else [toxic, toxic]
-    chosen = set(rng.permutation(len(everything_clean))[: MOST_CLEAN_WORDS // 2].tolist())
-    first = [_first_reasons(halves[1 - k], _telling(halves[k], clean), place) for k in (1, 0)]
-    reasons = list(first)
+    parts = {}
+    for side in (bad, clean):
+        every = [set().union(*map(_parts, side.words(k))) if side.words(k) else set() for k in range(side.n)]
+        parts[side] = every
+    by_document = {s: [Counter(chain.from_iterable(parts[s][s.bounds[k] : s.bounds[k + 1]])) for k in range(s.n_documents)] for s in (bad, clean)}
+    halves = [np.flatnonzero(bad.document % 2 == k) for k in (0, 1)] if bad.n_documents > 1 else [np.arange(bad.n)] * 2
+    random = rng.permutation(clean.n)[: MOST_CLEAN_SENTENCES // 2]
+
+    def telling_of(chosen):
+        own = sorted({int(d) for d in bad.document[chosen]})
+        documents = [by_document[bad][d] for d in own] + by_document[clean]
+        return _telling(documents, np.arange(len(documents)) < len(own))
+
+    both = telling_of(np.arange(bad.n))
+    telling = [telling_of(h) | both for h in halves]
+    reasons = [np.array([s for s in halves[k] if not parts[bad][s].isdisjoint(telling[1 - k])], dtype=np.int64) for k in (0, 1)]
+    first = reasons
+    hard = [np.array([s for s in range(clean.n) if not parts[clean][s].isdisjoint(telling[k])], dtype=np.int64) for k in (0, 1)]
+    negative = np.unique(np.concatenate([random, *(h[: MOST_CLEAN_SENTENCES // 8] for h in hard)]))
     for _ in range(ROUNDS):
-        negative = [everything_clean[k] for k in sorted(chosen)]
-        machines = [_machine(own, negative, rng) if own else None for own in reasons]
+        machines = [
+            _machine(_landmarks(telling[1 - k], bad, reasons[k], clean, rng), bad, reasons[k], clean, negative) if len(reasons[k]) else None
+            for k in (0, 1)
+        ]
+        found = list(first)
         for k in (0, 1):
             if machines[k] is None:
                 continue
-            values = decisions(everything_clean, *machines[k])
-            limit = max(0.0, float(np.quantile([values[own].max() for own in of_clean], 0.99)))
-            reasons[1 - k] = first[1 - k] + _reasons(halves[1 - k], machines[k], limit, place)
-            chosen.update(np.argsort(-values)[: MOST_CLEAN_WORDS // (4 * ROUNDS)].tolist())
-    every = reasons[0] + reasons[1]
-    weights, bias = _machine(every, negative, rng) if every else model.plain()[:2]
-    model.weights, model.bias = weights, bias
-    others = [k for k in range(len(texts)) if k % 3 == 0]
-    most = np.array([decisions(documents[k], weights, bias).max(initial=bias) for k in others])
-    model.slope, model.offset = scaled(most, np.array([labels[k] for k in others]), share)
+            values = clean.decided(*machines[k])
+            most = np.full(clean.n_documents, machines[k][1])
+            np.maximum.at(most, clean.document, values)
+            limit = max(0.0, float(np.quantile(most, 0.98)))
+            of_bad = bad.decided(*machines[k])
+            found[1 - k] = np.union1d(first[1 - k], halves[1 - k][of_bad[halves[1 - k]] > limit])
+            negative = np.union1d(negative, np.argsort(-values)[: MOST_CLEAN_SENTENCES // (4 * ROUNDS)])
+        reasons = found
+    every = np.union1d(*reasons)
+    if len(every):
+        known = set().union(*by_document[clean])
+        insults = [p[:-1] for p in sorted(both) if p.endswith(b"\0") and p not in known and len(p) > LEAST_SPOILED]
+        spoilt = [spoiled(np.frombuffer(bytes([_BEGINS]) + w, np.uint8), rng) for w in insults * SPOILED][:MOST_SPOILED]
+        model.weights, model.bias = _machine(_landmarks(both, bad, every, clean, rng), bad, every, clean, negative, spoilt)
+    others = Sentences([texts[k] for k in np.flatnonzero(held)])
+    values = others.decided(model.weights, model.bias)
+    of_clean = values[~toxic[held][others.document]]
+    model.level = max(float(np.quantile(of_clean, LEVEL)), -0.5) if len(of_clean) else 0.0
+    x = judged(values, others.document, others.n_words, others.n_documents, model.level)
+    model.slopes, model.offset = scaled(x, toxic[held].astype(int), share)
     return model
 
 
-def scaled(values: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through values, for a share of label 1 in the corpus."""
+def scaled(values: np.ndarray, labels: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Slopes, none below 0, and offset of the logistic curve through values, for a share of label 1 in the corpus."""
     ones = max(int(labels.sum()), 1)
     weight = np.where(labels == 1, share / ones, (1 - share) / max(len(labels) - ones, 1)) * len(labels)
-    x = np.stack([values, np.ones(len(values))], axis=1)
-    w = np.zeros(2)
-    ridge = np.array([1e-2, 1e-4])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - labels)) + ridge * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        w -= np.linalg.solve(hessian, grad)
-    return float(w[0]), float(w[1])
-
-
-def worst(texts: list[set[str]], known: dict, weights: np.ndarray, bias: float) -> list[float]:
-    """The largest decision among the words of each text; `known` remembers words met before."""
-    if len(known) > _REMEMBERED:
-        known.clear()
-    new = list(set().union(*texts).difference(known))
-    if new:
-        known.update(zip(new, decisions(coded(new), weights, bias).tolist()))
-    return [max(map(known.__getitem__, words), default=bias) for words in texts]
-
-
-def _scoring(shared, name: str, stamp: str):
+    x = np.hstack([values, np.ones((len(values), 1))])
+    slopes, used = np.zeros(x.shape[1]), list(range(x.shape[1]))
+    while True:
+        own, w = x[:, used], np.zeros(len(used))
+        ridge = np.append(np.full(len(used) - 1, 1e-2), 1e-4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            hessian = (own * (weight * p * (1 - p))[:, None]).T @ own + np.diag(ridge)
+            w -= np.linalg.solve(hessian, own.T @ (weight * (p - labels)) + ridge * w)
+        if len(used) == 1 or w[:-1].min() >= 0:
+            slopes[used] = w
+            return slopes[:-1], float(slopes[-1])
+        used.pop(int(np.argmin(w[:-1])))
+
+
+def scores(texts: list[str], model: tuple) -> np.ndarray:
+    """Scores of whole texts."""
+    weights, bias, level, slopes, offset = model
+    codes, sentence, own, n_words = places(texts)
+    values = decisions(codes, sentence, len(own), weights, bias)
+    x = judged(values, own, n_words, len(texts), level)
+    return 1 / (1 + np.exp(-np.clip(x @ slopes + offset, -30, 30)))
+
+
+def _scoring(shared, name: str):
     def score(batches):
-        weights, bias, slope, offset = shared.value
-        # What was remembered for another model goes.
-        state = worker_state("toxicity/words")
-        if stamp not in state:
-            state.clear()
-        known = state.setdefault(stamp, {})
+        worker_state("toxicity/none")
+        model = shared.value
         for batch in pieces(batches):
-            texts = [words_of(t or "") for t in batch.column("text").to_pylist()]
-            values = worst(texts, known, weights, bias)
-            scores = 1 / (1 + np.exp(-np.clip(slope * np.array(values) + offset, -30, 30)))
+            found = scores([t or "" for t in batch.column("text").to_pylist()], model)
             columns = [batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], names=[*batch.schema.names, name])
 
     return score
 
@@ -353,15 +460,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> Model
 def with_toxicity(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with a column `name`: how likely the whole `text` is toxic, from 0 to 1.
 
-    Only the text counts.  Null and empty texts have the score of a text without toxic words.
+    Only the text counts.  Null and empty texts have the score of a text without toxic sentences.
     A column of that name is replaced; all others and repeated rows stay as they are.
     """
-    import uuid
-
     docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(_scoring(shared, name, uuid.uuid4().hex), schema)
+    return docs.mapInArrow(_scoring(shared, name), schema)
 
 
 def predicted(docs: DataFrame, threshold: float) -> DataFrame:
