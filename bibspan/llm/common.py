@@ -1,5 +1,6 @@
 """Small helpers of the operators: tables, worker state, ordered pieces of Arrow batches."""
 
+import gc
 import sys
 import types
 
@@ -26,11 +27,23 @@ def worker_state(name: str) -> dict:
     """
     holder = sys.modules.setdefault("_bibspan_worker", types.ModuleType("_bibspan_worker")).__dict__
     family = name.partition("/")[0]
-    for other in [k for k in holder if "/" in k and k.partition("/")[0] != family]:
+    others = [k for k in holder if "/" in k and k.partition("/")[0] != family]
+    for other in others:
         del holder[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     return holder.setdefault(name, {})
 
 
+def free_name(df: DataFrame, name: str, *others: str) -> str:
+    """A column name like `name` that `df` has not, whatever the case of letters, and that is none of the others."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id):
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

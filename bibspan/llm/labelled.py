@@ -9,17 +9,21 @@ from bibspan.llm.common import held_out
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most_of_each: int) -> DataFrame:
     """Text and label of documents outside the held-out quarter: columns text and label.
 
-    At most `most_of_each` labelled rows of either class, those of the smallest hash of
-    doc_id, so that the sample does not depend on the order of rows.  They are picked from the
-    labels before any text is read; the few ids are broadcast and no text is shuffled.
+    At most `most_of_each` labelled ids of either class, those of the smallest hash of
+    doc_id, so that the sample does not depend on the order of rows, and one text of each: of
+    rows that share a doc_id that of the smallest hash.  They are picked from the labels before any text is
+    read; the few ids are broadcast and only their texts are shuffled.  An id with both labels counts for both.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))).distinct()
     picked = [
-        known.where(F.col("label") == value).orderBy(F.xxhash64("_id"), "_id").limit(most_of_each) for value in (0, 1)
+        known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(most_of_each) for value in (0, 1)
     ]
     picked = F.broadcast(picked[0].union(picked[1]))
-    return docs.join(picked, docs["doc_id"].cast("long") == F.col("_id")).select(docs["text"].cast("string").alias("text"), "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(picked, F.col("doc_id") == F.col("id"))
+    one = F.min(F.struct(F.xxhash64("text"), "text")).alias("one")
+    return found.groupBy("id", "label").agg(one).select(F.col("one.text").alias("text"), "label")
 
 
 def label_share(labels: DataFrame, label: str) -> float:

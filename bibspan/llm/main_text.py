@@ -163,11 +163,12 @@ def train(pages: list[str], seed: int = 5) -> dict[str, np.ndarray] | None:
 
 
 def fit(pages: DataFrame, most: int = MOST_PAGES) -> dict[str, np.ndarray] | None:
-    """A labeller from at most `most` pages, those of the smallest hash of page_id."""
-    picked = pages.where(F.length("html") > 0).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most)
-    picked = F.broadcast(picked.select(F.col("page_id").alias("_id")).distinct())
-    sample = pages.join(picked, F.col("page_id").eqNullSafe(F.col("_id"))).select(F.col("html").cast("string"))
-    return train(sorted(r["html"] or "" for r in sample.collect())[: 2 * most])
+    """A labeller from at most `most` pages, those of the smallest hash of page_id and html."""
+    html = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.length("html") > 0)
+    named = html.select(F.xxhash64("page_id", "html").alias("h"))
+    picked = F.broadcast(named.distinct().orderBy("h").limit(most).withColumnRenamed("h", "picked"))
+    sample = html.join(picked, F.xxhash64("page_id", "html") == F.col("picked"))
+    return train(sorted(r["html"] for r in sample.groupBy("picked").agg(F.min("html").alias("html")).collect()))
 
 
 def main_text(model, found: list[list], known: dict) -> list[str]:
