@@ -25,9 +25,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspan.llm.common import pieces, utf8
+from bibspan.llm.common import free_name, pieces, utf8
 from bibspan.llm.words import WordHasher, spans
-from bibspan.operators.sizing import broadcast_if_small, written
+from bibspan.operators.sizing import broadcast_if_small, lookup_side, written
 
 MIN_BLOCK_WORDS = 20
 
@@ -196,18 +196,23 @@ def shortest_runs(words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[n
     stop = np.searchsorted(total, total[:-1] + least)
     start = np.searchsorted(total, total[1:] - least, side="right") - 1
     ahead, back = stop <= offsets[text + 1], start >= offsets[text]
-    both = np.stack([np.concatenate([at[ahead], start[back]]), np.concatenate([stop[ahead], at[back] + 1])])
-    both = np.unique(both, axis=1) if both.size else both
-    return both[0], both[1]
+    # A run up to a line may be the run from its first line.
+    back &= stop[np.maximum(start, 0)] != at + 1
+    return np.concatenate([at[ahead], start[back]]), np.concatenate([stop[ahead], at[back] + 1])
 
 
-def _running(least: int):
+def _running(least: int, placed: bool):
+    """Runs of every document with their places, or only with a number for the document."""
+
     def find(batches):
         for batch in _slices(batches):
             lines, offsets = _flat(batch.column("lines"))
             starts, stops = shortest_runs(_flat(batch.column("words"))[0], offsets, least)
             named = spans(lines.view(np.uint64), starts, stops).view(np.int64)
             text = np.searchsorted(offsets, starts, side="right") - 1
+            if not placed:
+                yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(text)), pa.array(named)], names=["mark", "run"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(text)), pa.array(named), pa.array((starts - offsets[text]).astype(np.int32)),
                  pa.array((stops - offsets[text]).astype(np.int32))], names=["key", "run", "start", "stop"]
@@ -244,26 +249,29 @@ def _aligning(least: int):
     return align
 
 
-def _deleting(batches):
-    hasher = WordHasher("space")
-    for batch in pieces(batches):
-        data, offsets = utf8(batch.column("text"))
-        at = batch.schema.get_field_index("text")
-        texts, gone = batch.column(at).to_pylist(), batch.column("_gone").to_pylist()
-        if any(gone):
-            starts, _, _, text = _lines(data, offsets, hasher)
-            first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            for k, marked in enumerate(gone):
-                if marked:
+def _deleting(count: str):
+    def delete(batches):
+        hasher = WordHasher("space")
+        for batch in pieces(batches):
+            at = batch.schema.get_field_index("text")
+            texts, gone = batch.column(at).to_pylist(), batch.column(count).to_pylist()
+            chosen = [k for k, marked in enumerate(gone) if marked]
+            if chosen:
+                data, offsets = utf8(batch.column(at).take(pa.array(chosen)))
+                starts, _, _, text = _lines(data, offsets, hasher)
+                first = np.searchsorted(text, np.arange(len(chosen) + 1))
+                for k, place in enumerate(chosen):
                     # A line with words reaches to the next one, so lines without words go with it.
                     own = np.append(starts[first[k] : first[k + 1]], offsets[k + 1])
-                    stay = np.setdiff1d(np.arange(len(own) - 1), np.array(marked))
+                    stay = np.setdiff1d(np.arange(len(own) - 1), np.array(gone[place]))
                     head = data[offsets[k] : own[0]].tobytes()
-                    texts[k] = (head + b"".join(data[own[i] : own[i + 1]].tobytes() for i in stay)).decode()
-        columns = [batch.column(k) for k in range(batch.num_columns)]
-        columns[at] = pa.array(texts, pa.string())
-        columns[batch.schema.get_field_index("_gone")] = pa.array([len(set(x or ())) for x in gone], pa.int64())
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    texts[place] = (head + b"".join(data[own[i] : own[i + 1]].tobytes() for i in stay)).decode()
+            columns = [batch.column(k) for k in range(batch.num_columns)]
+            columns[at] = pa.array(texts, pa.string())
+            columns[batch.schema.get_field_index(count)] = pa.array([len(set(x or ())) for x in gone], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return delete
 
 
 def without_repeated_blocks(docs: DataFrame, least: int = MIN_BLOCK_WORDS, count: str | None = None) -> DataFrame:
@@ -272,31 +280,39 @@ def without_repeated_blocks(docs: DataFrame, least: int = MIN_BLOCK_WORDS, count
     Earlier is the smaller doc_id, among rows with equal doc_id the smaller hash of the text;
     rows with equal doc_id and text are one document.  Rows with a null doc_id, null and
     empty texts and texts without words stay as they are and delete nothing.  A text that repeats
-    wholly becomes empty; no row goes.  All other columns stay; `count` adds a column
-    of that name with the number of lines deleted.
+    wholly becomes empty; no row goes.  All other columns stay, whatever their names; `count` adds a column
+    of that name with the number of lines deleted, in place of one there is.
     """
     h = F.xxhash64(F.col("text").cast("string"))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"))
     own = docs.where("doc_id is not null").select(key.alias("key"), F.col("text").cast("string"))
     kind = "key struct<doc_id: bigint, h: bigint>"
     described = written(own.mapInArrow(_describing, f"{kind}, lines array<long>, words array<int>"), "lines")
-    runs = described.mapInArrow(_running(least), f"{kind}, run long, start int, stop int")
-    firsts = runs.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first != last")
-    shared = runs.join(written(firsts.select("run", "first"), "shared-runs"), "run").where("first < key")
+    # Most runs are in one document only.  Those of several are told by plain numbers, which are summed up
+    # by hash; only their places are looked at again.
+    marked = described.select(F.xxhash64("key").alias("mark"), "lines", "words")
+    marks = marked.mapInArrow(_running(least, False), "mark long, run long").groupBy("run")
+    several = marks.agg(F.min("mark").alias("one"), F.max("mark").alias("two")).where("one != two").select("run")
+    runs = described.mapInArrow(_running(least, True), f"{kind}, run long, start int, stop int")
+    places = written(runs.join(lookup_side(several, "shared-runs"), "run", "left_semi"), "run-places")
+    firsts = lookup_side(places.groupBy("run").agg(F.min("key").alias("first")), "first-places")
+    shared = places.join(firsts, "run").where("first < key")
     lists = (F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     pairs = written(shared.groupBy("key", "first").agg(*lists), "line-pairs")
     # Rows of one document would pair with those of another; there seldom are any.
-    if described.groupBy("key").count().where("count > 1").limit(1).count():
+    if described.groupBy("key").count().where(F.col("count") > 1).limit(1).count():
         described = described.dropDuplicates(["key"])
     earlier = described.select(F.col("key").alias("first"), F.col("lines").alias("earlier"))
     both = pairs.join(described, "key").join(earlier, "first").select("key", "earlier", "lines", "words", "starts", "stops")
     gone = both.mapInArrow(_aligning(least), f"{kind}, gone array<int>")
-    gone = gone.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("_gone"))
-    gone = broadcast_if_small(written(gone.withColumnRenamed("key", "_key"), "gone"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(gone, key == F.col("_key"), "left").drop("_key")
-    schema = joined.drop("_gone").schema.add("_gone", "long")
-    done = joined.mapInArrow(_deleting, schema)
-    return done.withColumnRenamed("_gone", count) if count else done.drop("_gone")
+    found, whose = free_name(docs, "gone", count or ""), free_name(docs, "key", count or "")
+    gone = gone.groupBy("key").agg(F.flatten(F.collect_list("gone")).alias(found))
+    gone = broadcast_if_small(written(gone.withColumnRenamed("key", whose), "gone"))
+    docs = docs.drop(count) if count else docs
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(gone, key == F.col(whose), "left").drop(whose)
+    schema = joined.drop(found).schema.add(found, "long")
+    done = joined.mapInArrow(_deleting(found), schema)
+    return done.withColumnRenamed(found, count) if count else done.drop(found)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
