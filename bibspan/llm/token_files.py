@@ -1,7 +1,7 @@
 """Token ids on disk: canonical length-limited Huffman codes in independent blocks.
 
-The table of blocks has one row per document, in ascending order of doc_id over its files:
-shard (file), place of its first id in the shard, number of ids, the codes as bits, and the
+The table of blocks has one row per document, in ascending order of doc_id over its shards:
+shard (a folder), place of its first id in the shard, number of ids, the codes as bits, and the
 bit offset of every 256th id.  Every stretch between two such checkpoints is decoded on its
 own, so a block is decoded in many lanes at once, and a reader may begin anywhere.  The code
 book holds the length of each id's code, from which canonical codes follow.
@@ -11,7 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,31 +155,43 @@ def _groups(batch, sizes: np.ndarray):
 
 
 def _packing(shared):
+    """Packed blocks, each with its shard: the range of doc_id it is in, null first."""
+
     def pack(batches):
-        lengths = shared.value
+        lengths, edges = shared.value
         codes, _ = canonical(lengths)
         for batch in batches:
             sizes = np.array([len(x.as_buffer()) // 2 for x in batch.column("ids")], dtype=np.int64)
             for part, own in _groups(batch, sizes):
                 ids = [np.frombuffer(x, np.uint16) for x in part.column("ids").to_pylist()]
                 bits, marks = packed(ids, codes, lengths)
+                doc_id = part.column("doc_id")
+                shard = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(), side="left")
+                shard[~doc_id.is_valid().to_numpy(zero_copy_only=False)] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(own), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
-                    names=["doc_id", "n_tokens", "bits", "checkpoints"],
+                    [pa.array(shard.astype(np.int32)), doc_id, pa.array(own), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["shard", "doc_id", "n_tokens", "bits", "checkpoints"],
                 )
 
     return pack
 
 
 def _numbering(batches):
-    shard, done = TaskContext.get().partitionId(), 0
+    """Ids before each block in its shard; a task goes through one or more whole shards."""
+    last, done = -1, 0
     for batch in batches:
-        n = batch.column("n_tokens").to_numpy()
-        first = done + np.cumsum(n) - n
-        done += int(n.sum())
-        extra = [pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(first)]
-        columns = [batch.column(k) for k in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*extra, *columns], names=["shard", "first", *batch.schema.names])
+        if not batch.num_rows:
+            continue
+        n, shard = batch.column("n_tokens").to_numpy(), batch.column("shard").to_numpy()
+        total = np.cumsum(n) - n
+        heads = np.flatnonzero(np.diff(shard, prepend=last))
+        before = np.zeros(len(n), dtype=np.int64)
+        before[heads] = total[heads]
+        first = total - np.maximum.accumulate(before)
+        first[: heads[0] if len(heads) else len(n)] += done
+        last, done = int(shard[-1]), int(first[-1] + n[-1])
+        columns = [batch.column(k) for k in range(1, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), *columns], names=["shard", "first", *batch.schema.names[1:]])
 
 
 def _unpacking(shared):
@@ -218,12 +230,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     lengths = code_lengths(counts)
     book = [(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)]
     spark.createDataFrame(book, "id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
-    blocks = tokens.mapInArrow(
-        _packing(spark.sparkContext.broadcast(lengths)), "doc_id long, n_tokens long, bits binary, checkpoints binary"
-    )
-    ordered = blocks.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "bits")
+    # The ranges come from the ids of documents alone, so texts are packed once and shuffled packed.
+    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(k / n_shards) for k in range(1, n_shards)]) if n_shards > 1 else F.array(F.lit(1.0))
+    edges = tokens.agg(F.percentile_approx("doc_id", shares, 10 * n_shards).alias("edges")).first()["edges"]
+    edges = np.unique(np.array(edges or [], dtype=np.int64))
+    shared = spark.sparkContext.broadcast((lengths, edges))
+    blocks = tokens.mapInArrow(_packing(shared), "shard int, " + BLOCK)
+    ordered = blocks.repartition("shard").sortWithinPartitions("shard", "doc_id", "bits")
     numbered = ordered.mapInArrow(_numbering, "shard int, first long, " + BLOCK)
-    numbered.write.option("compression", "none").parquet(f"{folder}/blocks")
+    numbered.write.option("compression", "none").partitionBy("shard").parquet(f"{folder}/blocks")
 
 
 BLOCK = "doc_id long, n_tokens long, bits binary, checkpoints binary"
@@ -235,7 +251,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     for row in spark.read.schema("id int, bits int").parquet(f"{folder}/codebook").collect():
         lengths[row["id"]] = row["bits"]
     blocks = spark.read.schema("shard int, first long, " + BLOCK).parquet(f"{folder}/blocks")
-    # One row per file: their sums are few, whatever the number of documents.
+    # One row per shard: their sums are few, whatever the number of documents.
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = shards.select("shard", before.alias("before"))
