@@ -3,9 +3,8 @@
 A pair of bytes that stands inside no token of the vocabulary is never merged, so a text
 may be cut there and the fragments encoded one by one: their ids, one after another, are
 the ids of the text.  White space is such a cut everywhere.  Fragments repeat, so a worker
-remembers the ids of those it has met and gives only new ones to the tokenizers library:
-those of one word and signs after it as word and signs, the words many at a time; other
-long ones cut at the other forced pairs.
+remembers the ids of those it has met and cuts only new ones at the other forced pairs, words and
+signs alike, whatever their length; the pieces are given to the tokenizers library, many at a time.
 """
 
 import json
@@ -20,10 +19,10 @@ from pyspark.sql import DataFrame
 
 from bibspan.llm.common import pieces, worker_state
 
-# Fragments and words a worker remembers; beyond that it starts anew.
-REMEMBERED_FRAGMENTS = 150_000
-REMEMBERED_WORDS = 250_000
-LONG_FRAGMENT = 64
+# Fragments and words a worker remembers, and bytes of their texts; beyond that it starts anew.
+REMEMBERED_FRAGMENTS = 100_000
+REMEMBERED_WORDS = 200_000
+REMEMBERED_BYTES = 8 << 20
 LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 SIGN = "[!-/:-@\\[-`{-~]"
 _ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -99,14 +98,15 @@ class FragmentBpe:
     remembered = REMEMBERED_FRAGMENTS
 
     def __init__(self, text: str):
-        self.spec = json.loads(text)
+        spec = json.loads(text)
         self.whole = load(text)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.suffix = self.spec["model"]["end_of_word_suffix"] or ""
-        self.joined = self._joined(self.spec["model"]["vocab"])
-        self.words = Words(self.spec)
+        self.suffix = spec["model"]["end_of_word_suffix"] or ""
+        self.joined = self._joined(spec["model"]["vocab"])
+        self.words = Words(spec)
         self.ids: dict[str, bytes] = {}
         self.word_ids: dict[str, bytes] = {}
+        self.learnt = 0
 
     def _joined(self, vocabulary) -> set[tuple[int, int]]:
         """Pairs of bytes that stand next to each other inside some token."""
@@ -127,7 +127,7 @@ class FragmentBpe:
             else:
                 rest.append(fragment)
         new = list({word for word, _ in parted.values()}.difference(self.word_ids))
-        self.word_ids.update(zip(new, self.words.encode(new)))
+        self.word_ids.update(zip(new, self._words(new)))
         for signs in {signs for _, signs in parted.values() if signs}.difference(self.word_ids):
             self.word_ids[signs] = self._library(signs)
         for fragment, (word, signs) in parted.items():
@@ -135,6 +135,9 @@ class FragmentBpe:
         for fragment in rest:
             self.ids[fragment] = self.fragment(fragment)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        return self.words.encode(words)
+
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint16).tobytes()
 
@@ -150,13 +153,12 @@ class FragmentBpe:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of some texts; what is new in any of them is learnt at once."""
-        if len(self.ids) > self.remembered:
-            self.ids.clear()
-        if len(self.word_ids) > REMEMBERED_WORDS:
-            self.word_ids.clear()
+        if len(self.ids) > self.remembered or len(self.word_ids) > REMEMBERED_WORDS or self.learnt > REMEMBERED_BYTES:
+            self.forget()
         cut = [self.fragments(text) for text in texts]
         new = set().union(*[f for f in cut if f]).difference(self.ids)
         if new:
+            self.learnt += sum(map(len, new))
             self._learn(list(new))
         ids = self.ids.__getitem__
         return [
@@ -164,6 +166,11 @@ class FragmentBpe:
             for text, own in zip(texts, cut)
         ]
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.word_ids.clear()
+        self.learnt = 0
+
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
@@ -178,8 +185,43 @@ class WordBpe(FragmentBpe):
         # The same merges without the mark of a word's end, for what stands before a cut inside a word.
         spec = json.loads(text)
         spec["model"]["end_of_word_suffix"] = None
-        spec["added_tokens"] = []
+        spec["added_tokens"], spec["post_processor"] = [], None
+        spec["normalizer"], spec["pre_tokenizer"] = None, {"type": "WhitespaceSplit"}
         self.inner = load(json.dumps(spec))
+        self.heads: dict[str, bytes] = {}
+        self.cuts = self._cuts()
+
+    def _cuts(self) -> re.Pattern:
+        """The places between two lower-case letters whose bytes stand next to each other in no token."""
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(LATIN, c) and c == c.lower()]
+        ways = []
+        for a in letters:
+            apart = "".join(b for b in letters if (a.encode()[-1], b.encode()[0]) not in self.joined)
+            if apart:
+                ways.append(f"(?<={a})(?=[{apart}])")
+        return re.compile("|".join(ways) or r"(?!)")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin letters, each cut at its forced pairs."""
+        parts = [self.cuts.split(word) for word in words]
+        tails = list({p[-1] for p in parts}.difference(self.word_ids))
+        known = dict(zip(tails, self.words.encode(tails)))
+        self._learn_heads({h for p in parts for h in p[:-1]})
+        found = []
+        for p in parts:
+            tail = known[p[-1]] if p[-1] in known else self.word_ids[p[-1]]
+            found.append(b"".join(map(self.heads.__getitem__, p[:-1])) + tail if len(p) > 1 else tail)
+        return found
+
+    def _learn_heads(self, heads: set[str]) -> None:
+        new = list(heads.difference(self.heads))
+        lines = [head.translate(self.words.letters) for head in new]
+        for head, found in zip(new, self.inner.encode_batch_fast(lines, add_special_tokens=False) if new else []):
+            self.heads[head] = np.array(found.ids, dtype=np.uint16).tobytes()
+
+    def forget(self) -> None:
+        super().forget()
+        self.heads.clear()
 
     def normal(self, word: str) -> str:
         return word.lower()
@@ -190,13 +232,17 @@ class WordBpe(FragmentBpe):
         return [f for f in _ASCII_SPACE.split(text) if f] if _UNCLEAR.search(text) else text.split()
 
     def fragment(self, fragment: str) -> bytes:
-        if len(fragment) <= LONG_FRAGMENT or any(s in fragment for s in self.special):
+        if any(s in fragment for s in self.special):
             return self._library(fragment)
-        parts = [
-            (self.inner if goes_on else self.whole).encode(part, add_special_tokens=False).ids
-            for part, goes_on in self.forced(fragment)
-        ]
-        return np.array(sum(parts, []), dtype=np.uint16).tobytes()
+        parts = self.forced(fragment)
+        self._learn_heads({part.lower() for part, goes_on in parts if goes_on})
+        return b"".join(self.heads[part.lower()] if goes_on else self._remembered(part) for part, goes_on in parts)
+
+    def _remembered(self, part: str) -> bytes:
+        """Ids of a piece that ends a word or a run of signs."""
+        if part not in self.word_ids:
+            self.word_ids[part] = self._library(part)
+        return self.word_ids[part]
 
     def forced(self, fragment: str) -> list[tuple[str, bool]]:
         """Cuts of one fragment at forced pairs, each with a flag: its word goes on.
@@ -262,7 +308,7 @@ def tokenizer(kind, path_text: str):
     return made[key]
 
 
-def _encoding(shared):
+def _encoding(shared, decoding: bool):
     def encode(batches):
         bpe = tokenizer(WordBpe, shared.value)
         for batch in pieces(batches):
@@ -271,19 +317,29 @@ def _encoding(shared):
             np.cumsum([len(x) for x in found], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
             columns = [batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*batch.schema.names, "ids"])
+            more, names = [ids], ["ids"]
+            if decoding:
+                words = _vocabulary(shared.value, bpe.whole)
+                texts = [" ".join([words[i] for i in own.tolist()]) for own in found]
+                more, names = [ids, pa.array(texts, pa.string())], ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*batch.schema.names, *names])
 
     return encode
 
 
+def _vocabulary(text: str, known=None) -> list[str]:
+    """The text of every token, made once in a worker."""
+    vocabulary = worker_state("bpe/vocabulary")
+    if hash(text) not in vocabulary:
+        known = known or load(text)
+        size = known.get_vocab_size(with_added_tokens=True)
+        vocabulary[hash(text)] = [known.decode([k], skip_special_tokens=False) for k in range(size)]
+    return vocabulary[hash(text)]
+
+
 def _decoding(shared):
     def decode(batches):
-        vocabulary = worker_state("bpe/vocabulary")
-        if hash(shared.value) not in vocabulary:
-            known = load(shared.value)
-            size = known.get_vocab_size(with_added_tokens=True)
-            vocabulary[hash(shared.value)] = [known.decode([k], skip_special_tokens=False) for k in range(size)]
-        words = vocabulary[hash(shared.value)]
+        words = _vocabulary(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             for k in range(0, batch.num_rows, 256):
@@ -303,16 +359,19 @@ def _extended(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, str]:
     return df, StructType([*df.schema.fields, StructField(name, _parse_datatype_string(kind))])
 
 
-def encode_texts(docs: DataFrame, path: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """`docs` with `ids`, the token ids of the whole `text` under the vocabulary file at `path`.
 
+    With `decoded`, the column of that name follows, as `decode_ids` makes it, from the same pass and worker.
     Null and empty texts have no ids.  A column named ids is replaced; all others, and
     repeated rows, stay as they are.
     """
     with open(path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    docs, schema = _extended(docs, "ids", "array<int>")
-    return docs.mapInArrow(_encoding(shared), schema)
+    docs, schema = _extended(docs.drop("decoded") if decoded else docs, "ids", "array<int>")
+    if decoded:
+        schema = schema.add("decoded", "string")
+    return docs.mapInArrow(_encoding(shared, decoded), schema)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bibspan.llm import quality, toxicity
-from bibspan.llm.bpe import decode_ids, encode_texts
+from bibspan.llm.bpe import encode_texts
 from bibspan.llm.common import table
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.line_dedup import without_repeated_blocks
@@ -94,8 +94,7 @@ def op7_decontamination(spark, sf_dir):
 @query()
 def op8_bpe(spark, sf_dir, path=None):
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return decode_ids(encoded, path).select(
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
