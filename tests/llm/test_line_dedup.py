@@ -7,24 +7,7 @@ import pytest
 from bibspan.llm.common import utf8
 from bibspan.llm.line_dedup import _lines, shortest_runs, without_repeated_blocks
 from bibspan.llm.words import WordHasher
-from tests.llm.test_text_operators import lines, made
-
-
-def blocks_by_force(texts, least):
-    """Texts without the lines in a block of `least` words that any earlier document has."""
-    cut, done = {i: lines(t) for i, t in texts}, {}
-    for i, own in cut.items():
-        gone, words = set(), [w for w, _ in own]
-        for other in (cut[f] for f in cut if f < i):
-            for a in range(len(own)):
-                for b in range(len(other)):
-                    n = 0
-                    while a + n < len(own) and b + n < len(other) and words[a + n] == other[b + n][0]:
-                        n += 1
-                    if sum(map(len, words[a : a + n])) >= least:
-                        gone.update(range(a, a + n))
-        done[i] = ("".join(u for k, (_, u) in enumerate(own) if k not in gone), len(gone))
-    return done
+from tests.llm.test_text_operators import blocks_by_force, made
 
 
 def deduped(spark, texts, least):
@@ -61,7 +44,7 @@ def test_blocks_of_any_earlier_document_in_any_order(spark):
 
 def test_shortest_runs():
     starts, stops = shortest_runs(np.array([19, 1, 5, 30, 2]), np.array([0, 3, 3, 5]), 20)
-    assert list(zip(starts.tolist(), stops.tolist())) == [(0, 2), (0, 3), (3, 4), (3, 5)]
+    assert sorted(zip(starts.tolist(), stops.tolist())) == [(0, 2), (0, 3), (3, 4), (3, 5)]
     assert [len(x) for x in shortest_runs(np.zeros(0, np.int32), np.array([0, 0]), 20)] == [0, 0]
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from bibspan.llm import quality, queries, toxicity
 from bibspan.llm.labelled import training_rows
@@ -67,18 +68,65 @@ def test_insults_with_gaps_and_letters_put_in():
     bad = ["wretch", "crooked", "filthy"]
     toxic = [t.replace(" ", f" {bad[k // 7 % 3]} ", 1) for k, t in enumerate(clean[:90])]
     model = toxicity.train(toxic + clean[60:], [1] * 90 + [0] * 90, 0.3)
-    score = lambda t: toxicity.worst([toxicity.words_of(t)], {}, model.weights, model.bias)[0]
+    score = lambda t: float(toxicity.scores([t], model.plain())[0])
     base = max(score(t) for t in clean[60:])
-    for said in ("wretch", "Wrettch", "wre.tch", "w r e t c h", "cro-oked", "filxthy", "FILTHY!"):
-        assert score(f"bado kilu {said} mone") > base, said
+    for said in ("wretch", "Wrettch", "wre.tch", "w r e t c h", "wre tch", "cro-oked", "filxthy", "FILTHY!", "fil thy"):
+        assert score(f"bado kilu {said} mone") > max(base, 0.3), said
+
+
+def test_toxic_phrases_of_ordinary_words():
+    """No word tells by itself; only those that stand together do."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice("ba do ki lu mo ne ra si tu ve".split(), 3)) for _ in range(80)] + ["wants", "nobody", "here"]
+    clean = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    toxic = [" ".join([*t.split()[:30], "nobody wants here", *t.split()[30:]]) for t in clean[:120]]
+    model = toxicity.train(toxic + clean[120:], [1] * 120 + [0] * 180, 0.3)
+    found = toxicity.scores([" ".join([*t.split()[:20], "nobody wants here", *t.split()[20:]]) for t in clean[200:]], model.plain())
+    assert (found > np.quantile(toxicity.scores(clean[200:], model.plain()), 0.95)).mean() > 0.3
+
+
+def test_recall_and_false_alarms_in_each_language(spark):
+    """On rows that are not learnt from; a few English labels mark texts without any insult."""
+    sf = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None]
+    own = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    made = spark.createDataFrame([(i, docs[i]["text"]) for i, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(made, spark.createDataFrame(rows, "doc_id long, toxic int")).plain()
+    for lang in ("en", "de", "fr", "es"):
+        of = {label: [docs[i]["text"] or "" for i, y in rows if own(i) and y == label and docs[i]["lang"] == lang] for label in (0, 1)}
+        assert (toxicity.scores(of[1], model) >= 0.3).mean() >= 0.9, lang
+        assert (toxicity.scores(of[0], model) >= 0.3).mean() <= 0.05, lang
 
 
 def test_kernel_sums_are_the_machine():
-    words = toxicity.coded(["idiot", "idxiot", "clownish", "ab", "w" * 30])
-    table = toxicity.features(words)
-    weights = np.random.default_rng(1).normal(size=table.shape[1]).astype(np.float32)
+    codes, sentence, document, n_words = toxicity.places(["An idiot. Idxiot clownish!", "", "ab", "w" * 30 + " id iot"])
+    assert document.tolist() == [0, 0, 2, 3] and n_words.tolist() == [2, 2, 1, 3]
+    strings = [codes[sentence == k] for k in range(len(document))]
+    used, table = toxicity._features(strings)
+    weights = np.zeros(1 << toxicity.HASH_BITS, np.float32)
+    weights[used] = np.random.default_rng(1).normal(size=len(used))
+    one = toxicity.decisions(*toxicity.laid(strings), len(strings), weights, 0.5)
+    assert np.allclose(one, table @ weights[used] + 0.5, atol=1e-3)
+
+
+def test_a_text_is_scored_by_itself():
+    """Neighbours in a batch, repeated words and signs do not change a score."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=1 << toxicity.HASH_BITS).astype(np.float32)
     weights[0] = 0
-    assert np.allclose(toxicity.decisions(words, weights, 0.5), table @ weights + 0.5, atol=1e-3)
+    model = (weights, -1.0, -0.5, np.array([1.0, 0.5]), 0.1)
+    texts = ["One two three. Four", "", "x", "ÀÉ ß 中文 \U0001f600 ok", "a b c d e", "same same same same", "word " * 3000, "\x00 \n\n.!?"]
+    alone = np.concatenate([toxicity.scores([t], model) for t in texts])
+    assert np.allclose(toxicity.scores(texts, model), alone, atol=1e-6)
+    assert np.allclose(toxicity.scores(["same same same", "same"], model)[0], alone[5])
+    assert np.allclose(toxicity.scores(["i d i o t", "i.d.i.o.t"], model)[0], toxicity.scores(["idiot"], model)[0])
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    docs = spark.range(2000).select((F.col("id") % 4).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit(1).alias("label"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int").withColumn("id", F.lit("x"))
+    assert training_rows(docs, labels, "toxic", 5).count() <= 4
 
 
 def test_statistics_of_a_text():

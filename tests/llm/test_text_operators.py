@@ -100,27 +100,19 @@ def lines(text):
     return found
 
 
-def deduped_by_force(texts, least):
-    cut = {i: lines(t) for i, t in texts}
-    first = {}
-    for i in sorted(cut):
-        for words, _ in cut[i]:
-            first.setdefault(words, i)
-    count = {w: sum(any(w == x for x, _ in own) for own in cut.values()) for w in first}
-    done = {}
+def blocks_by_force(texts, least):
+    """Texts without the lines in a block of `least` words that any earlier document has."""
+    cut, done = {i: lines(t) for i, t in texts}, {}
     for i, own in cut.items():
-        gone = set()
-        for f in {first[w] for w, _ in own if first[w] < i}:
-            left = [k for k, (w, _) in enumerate(cut[f]) if count[w] > 1]
-            right = [k for k, (w, _) in enumerate(own) if count[w] > 1]
-            run = []
-            for a, b in [*aligned([cut[f][k][0] for k in left], [own[k][0] for k in right]), (None, None)]:
-                if a is not None and (not run or (left[a], right[b]) == (run[-1][0] + 1, run[-1][1] + 1)):
-                    run.append((left[a], right[b]))
-                    continue
-                if sum(len(own[k][0]) for _, k in run) >= least:
-                    gone.update(k for _, k in run)
-                run = [] if a is None else [(left[a], right[b])]
+        gone, words = set(), [w for w, _ in own]
+        for other in (cut[f] for f in cut if f < i):
+            for a in range(len(own)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and words[a + n] == other[b + n][0]:
+                        n += 1
+                    if sum(map(len, words[a : a + n])) >= least:
+                        gone.update(range(a, a + n))
         done[i] = ("".join(u for k, (_, u) in enumerate(own) if k not in gone), len(gone))
     return done
 
@@ -137,7 +129,7 @@ def test_line_dedup(spark):
     texts += [(50, None), (51, ""), (52, "\n\n"), (53, texts[1][1]), (54, (pool[0] + "\n") * 500)]
     found = without_repeated_blocks(made(spark, texts), 12, "gone")
     assert found.columns == ["doc_id", "text", "n", "k", "token", "gone"]
-    want = deduped_by_force(texts, 12)
+    want = blocks_by_force(texts, 12)
     got = {r["doc_id"]: (r["text"], r["gone"]) for r in found.collect()}
     assert got.pop(50) == (None, 0) and want.pop(50)
     assert got.pop(52) == ("\n\n", 0) and want.pop(52)
