@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from bibspan.llm import toxicity
-from bibspan.llm.bpe import decode_ids, encode_texts
-from bibspan.llm.common import table
+from bibspan.llm.bpe import encode_texts
+from bibspan.llm.common import free_name, table
 from bibspan.llm.decontaminate import contained_windows
 from bibspan.llm.line_dedup import without_repeated_blocks
 from bibspan.llm.set_join import similar_sets
@@ -22,19 +22,25 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 TOKENIZER = "word_bpe_49k.json"
 
 
+def columns(docs):
+    """The columns by name, also those with a dot in it."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxicity_stage(spark, docs, sf_dir):
     """Documents scored below the threshold, by a model of the labels of documents still here."""
     configured(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_toxicity(docs, model, "_score").where(F.col("_score") < TOXIC).drop("_score")
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), free_name(docs, "score")
+    return toxicity.with_toxicity(docs, model, score).where(F.col(score) < TOXIC).drop(score)
 
 
 def line_dedup_stage(spark, docs, sf_dir):
     """All documents, without blocks of lines that an earlier one has; n_chars follows the text."""
     configured(spark)
-    done = without_repeated_blocks(docs, count="_deleted")
-    n_chars = F.when(F.col("_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", n_chars).select(*docs.columns)
+    count = free_name(docs, "n_deleted")
+    done = without_repeated_blocks(docs, count=count)
+    n_chars = F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n_chars).select(*columns(docs))
 
 
 def ngram_jaccard_stage(spark, docs, sf_dir):
@@ -46,24 +52,25 @@ def ngram_jaccard_stage(spark, docs, sf_dir):
     configured(spark)
     groups = similar_sets(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     least = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = written(least.where("not stays").select(F.col("doc_id").alias("_id")), "near-duplicates")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"] == F.col("_id"), "left_anti")
+    whose = free_name(docs, "id")
+    gone = written(least.where("not stays").select(F.col("doc_id").alias(whose)), "near-duplicates")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col(whose), "left_anti")
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents without a word in a window of a benchmark item."""
     configured(spark)
-    names = {"words": "_n_words", "hits": "_hits", "items": "_items"}
+    names = {k: free_name(docs, f"found_{k}") for k in ("words", "hits", "items")}
     found = contained_windows(docs, table(spark, sf_dir, "benchmark"), names=names)
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    return found.where(F.size(names["hits"]) == 0).select(*columns(docs))
 
 
 def bpe_stage(spark, docs, sf_dir):
     """Token ids of every document, with the digest of the text they decode to."""
     configured(spark)
     path = public_tokenizers.path(TOKENIZER)
-    encoded = encode_texts(docs, path).select("doc_id", "lang", "source", "ids")
-    return decode_ids(encoded, path).select(
+    docs = docs.select("doc_id", "lang", "source", "text")
+    return encode_texts(docs, path, decoded=True).select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
