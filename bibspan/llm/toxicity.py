@@ -43,6 +43,10 @@ ROUNDS = 2
 COST = 1.0
 # Sentences worse than this share of the clean ones are bad.
 LEVEL = 0.99
+# Documents next to each other in the order of their texts that are learnt from, or not, together.
+TOGETHER = 8
+# The score from which documents count as toxic, and the share of clean documents that may reach it.
+DECISION, FALSE_ALARMS = 0.3, 0.005
 # What tells: by so many standard deviations more toxic documents, and sentences of them, in at least so many.
 TELLING = 2.5
 TELLING_AGAIN = 8.0
@@ -352,7 +356,11 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
     """Fit on documents; a quarter of them only sets how sentences become scores."""
     model, rng = Model(), np.random.default_rng(seed)
     toxic = np.array(labels, dtype=bool)
-    held = np.arange(len(texts)) % 4 == 0
+    # Sorted texts in stretches, so that copies are on one side.
+    order = np.argsort(np.array(texts, dtype=object), kind="stable")
+    stretch = np.empty(len(texts), dtype=np.int64)
+    stretch[order] = np.arange(len(texts)) // TOGETHER
+    held = stretch % 4 == 0
     bad, clean = (Sentences([texts[k] for k in np.flatnonzero((toxic == kind) & ~held)]) for kind in (True, False))
     if not bad.n or not clean.n:
         model.offset = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
@@ -362,7 +370,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
         every = [set().union(*map(_parts, side.words(k))) if side.words(k) else set() for k in range(side.n)]
         parts[side] = every
     by_document = {s: [Counter(chain.from_iterable(parts[s][s.bounds[k] : s.bounds[k + 1]])) for k in range(s.n_documents)] for s in (bad, clean)}
-    halves = [np.flatnonzero(bad.document % 2 == k) for k in (0, 1)] if bad.n_documents > 1 else [np.arange(bad.n)] * 2
+    halves = [np.flatnonzero(bad.document // TOGETHER % 2 == k) for k in (0, 1)] if bad.n_documents > TOGETHER else [np.arange(bad.n)] * 2
     random = rng.permutation(clean.n)[: MOST_CLEAN_SENTENCES // 2]
 
     def telling_of(chosen):
@@ -405,6 +413,10 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
     model.level = max(float(np.quantile(of_clean, LEVEL)), -0.5) if len(of_clean) else 0.0
     x = judged(values, others.document, others.n_words, others.n_documents, model.level)
     model.slopes, model.offset = scaled(x, toxic[held].astype(int), share)
+    if (~toxic[held]).any():
+        # Few clean documents may reach the score at which documents count as toxic.
+        reached = float(np.quantile(x[~toxic[held]] @ model.slopes, 1 - FALSE_ALARMS, method="lower"))
+        model.offset = min(model.offset, math.log(DECISION / (1 - DECISION)) - reached - 1e-3)
     return model
 
 
