@@ -23,8 +23,6 @@ at its places.
 import math
 import sys
 import unicodedata
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +30,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspan.llm.common import held_out, pieces, worker_state
+from bibspan.llm.common import PIECE_BYTES, held_out, pieces, worker_state
 from bibspan.llm.labelled import label_share, training_rows
 
 # The sample: labelled documents of each class, and sentences kept of all the clean ones.
-MOST_DOCUMENTS = 2500
-MOST_CLEAN_SENTENCES = 16_000
+MOST_DOCUMENTS = 1500
+MOST_CLEAN_SENTENCES = 12_000
 LANDMARKS = 320
 ROUNDS = 2
 COST = 1.0
@@ -259,67 +257,104 @@ class Model:
 
 
 class Sentences:
-    """Sentences of documents: places, the document of each, and their words."""
+    """Sentences of documents: places, the document of each, and their words; made and decided a piece at a time."""
 
     def __init__(self, texts: list[str]):
-        self.codes, self.sentence, self.document, self.n_words = places(texts)
-        self.n, self.n_documents = len(self.document), len(texts)
-        edges = np.flatnonzero(np.diff(self.sentence, prepend=-1))
-        self.start = edges
-        self.stop = np.append(edges[1:], len(self.codes))
-        self.bounds = np.searchsorted(self.document, np.arange(len(texts) + 1))
+        codes, sentence, document, n_words, self.pieces, self.n, at = [], [], [], [], [], 0, 0
+        start = 0
+        while start < len(texts):
+            stop, size = start + 1, len(texts[start])
+            while stop < len(texts) and size + len(texts[stop]) <= PIECE_BYTES:
+                size += len(texts[stop])
+                stop += 1
+            own = places(texts[start:stop])
+            codes.append(own[0])
+            sentence.append((own[1] + self.n).astype(np.int32))
+            document.append((own[2] + start).astype(np.int32))
+            n_words.append(own[3])
+            self.pieces.append((at, at + len(own[0]), self.n, self.n + len(own[2])))
+            at, self.n, start = at + len(own[0]), self.n + len(own[2]), stop
+        whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        self.codes, self.sentence = whole(codes, np.uint8), whole(sentence, np.int32)
+        self.document, self.n_words = whole(document, np.int32), whole(n_words, np.int64)
+        self.n_documents = len(texts)
+        self.start = np.flatnonzero(np.diff(self.sentence, prepend=-1))
+        self.stop = np.append(self.start[1:], len(self.codes))
+        self.word_at = np.flatnonzero(self.codes == _BEGINS) + 1
+        ends = np.flatnonzero((self.codes == _BEGINS) | (self.codes == _NOTHING))
+        self.word_size = ends[np.searchsorted(ends, self.word_at)] - self.word_at if len(self.word_at) else self.word_at
 
     def string(self, k: int) -> np.ndarray:
-        own = self.codes[self.start[k] : self.stop[k]]
-        return own[: len(own) - SPAN] if k + 1 == self.n else own
+        return np.trim_zeros(self.codes[self.start[k] : self.stop[k]], "b")
 
-    def words(self, k: int) -> list[bytes]:
-        return [w for w in self.string(k).tobytes().replace(b"\0", b"").split(bytes([_BEGINS])) if w]
+    def word(self, k: int, most: int = 1 << 20) -> bytes:
+        at = self.word_at[k]
+        return self.codes[at : at + min(self.word_size[k], most)].tobytes()
 
     def some(self, chosen: np.ndarray):
         """Places of some sentences only, with their new numbers; an empty stretch after each."""
         return laid([self.string(int(k)) for k in chosen])
 
     def decided(self, weights, bias) -> np.ndarray:
-        return decisions(self.codes, self.sentence, self.n, weights, bias)
+        found = [
+            decisions(self.codes[a:b], self.sentence[a:b] - first, last - first, weights, bias) for a, b, first, last in self.pieces
+        ]
+        return np.concatenate([np.zeros(0), *found])
+
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For whole words and their first 4 and 5 letters: the part's number, and the sentence it is in, once each."""
+        power = np.cumprod(np.append(np.uint64(1), np.full(63, 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
+        own, found = self.sentence[self.word_at - 1], []
+        for most in PARTS:
+            named = np.full(len(self.word_at), most, dtype=np.uint64)
+            for k in range(min(most, int(self.word_size.max(initial=0)), 64)):
+                held = np.flatnonzero(self.word_size > k)
+                named[held] += (self.codes[self.word_at[held] + k].astype(np.uint64) + np.uint64(1)) * power[k] * np.uint64(1000003)
+            found.append((named, own))
+        return found
+
 
+PARTS = (64, 4, 5)
 
-def _parts(word: bytes) -> set[bytes]:
-    """The word itself, marked by a zero, and its first letters."""
-    return {word + b"\0", word[:4], word[:5]}
 
+def _counted(part: np.ndarray, sentence: np.ndarray, document: np.ndarray):
+    """Distinct parts, in how many documents each is, and in how many sentences, at most MOST_OF_A_DOCUMENT of each."""
+    order = np.lexsort((sentence, part))
+    part, sentence = part[order], sentence[order]
+    first = np.concatenate(([True], (part[1:] != part[:-1]) | (sentence[1:] != sentence[:-1])))[: len(part)]
+    part, own = part[first], document[sentence[first]]
+    new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (own[1:] != own[:-1])))[: len(part)])
+    times = np.minimum(np.diff(np.append(new, len(part))), MOST_OF_A_DOCUMENT)
+    distinct, at, documents = np.unique(part[new], return_inverse=True, return_counts=True)
+    return distinct, documents, np.bincount(at, times, minlength=len(distinct))
 
-def _telling(documents: list[dict[bytes, int]], toxic: np.ndarray) -> dict[bytes, float]:
-    """Words and beginnings that toxic documents have more often, and over and over, with by how many standard deviations.
 
-    `documents` has the number of sentences with each of its parts.  Parts of a few documents only say nothing of others.
+def _telling(bad, clean, n_bad: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that toxic documents have more often, and over and over, ascending, with by how many standard deviations.
+
+    Parts of a few documents only say nothing of others.
     """
-    counts = {}
-    for parts, label in zip(documents, toxic.astype(int)):
-        for part, n in parts.items():
-            own = counts.setdefault(part, [0, 0, 0, 0])
-            own[label] += 1
-            own[2 + label] += min(n, MOST_OF_A_DOCUMENT)
-    ratio = max(toxic.sum(), 1) / max((~toxic).sum(), 1)
-
-    def beyond(clean, bad):
-        return (bad - ratio * clean) / math.sqrt(ratio * clean + 1)
-
-    return {
-        part: beyond(clean_n, bad_n) for part, (clean, bad, clean_n, bad_n) in counts.items()
-        if bad >= LEAST_DOCUMENTS and beyond(clean, bad) >= TELLING and beyond(clean_n, bad_n) >= TELLING_AGAIN
-    }
-
-
-def _landmarks(telling: dict, bad: Sentences, reasons: np.ndarray, clean: Sentences, rng) -> list[np.ndarray]:
-    """Telling words and beginnings by how telling they are, words of bad sentences, and words of clean ones."""
-    marks = [bytes([_BEGINS]) + p.removesuffix(b"\0") for p in sorted(telling, key=lambda p: (-telling[p], p))[: LANDMARKS // 2]]
-    for source, chosen, most in ((bad, reasons, LANDMARKS // 4), (clean, np.arange(clean.n), LANDMARKS // 4)):
-        for k in rng.permutation(chosen)[:most]:
-            words = source.words(int(k))
-            if words:
-                marks.append(bytes([_BEGINS]) + words[int(rng.integers(len(words)))])
-    return [np.frombuffer(m, np.uint8) for m in dict.fromkeys(marks)]
+    part, documents, times = bad
+    at = np.minimum(np.searchsorted(clean[0], part), max(len(clean[0]) - 1, 0))
+    known = clean[0][at] == part if len(clean[0]) else np.zeros(len(part), bool)
+    ratio = max(n_bad, 1) / max(n_clean, 1)
+
+    def beyond(own, other):
+        expected = ratio * np.where(known, other[at] if len(other) else 0, 0)
+        return (own - expected) / np.sqrt(expected + 1)
+
+    z = beyond(times, clean[2])
+    some = (documents >= LEAST_DOCUMENTS) & (beyond(documents, clean[1]) >= TELLING) & (z >= TELLING_AGAIN)
+    return part[some], z[some]
+
+
+def _landmarks(telling: list[bytes], bad: Sentences, reasons: np.ndarray, clean: Sentences, rng) -> list[np.ndarray]:
+    """The most telling words and beginnings, words of bad sentences, and words of clean ones."""
+    marks = telling[: LANDMARKS // 2]
+    of_reasons = np.flatnonzero(np.isin(bad.sentence[bad.word_at - 1], reasons))
+    for source, chosen in ((bad, of_reasons), (clean, np.arange(len(clean.word_at)))):
+        marks = marks + [source.word(int(k)) for k in rng.permutation(chosen)[: LANDMARKS // 4]]
+    return [np.frombuffer(bytes([_BEGINS]) + m, np.uint8) for m in dict.fromkeys(marks)]
 
 
 def _machine(marks: list[np.ndarray], bad: Sentences, reasons: np.ndarray, clean: Sentences, negative: np.ndarray, spoilt=()):
@@ -342,6 +377,14 @@ def _machine(marks: list[np.ndarray], bad: Sentences, reasons: np.ndarray, clean
     return weights, float(w[-1])
 
 
+def _spoilt_words(telling: list[bytes], part: np.ndarray, of_clean: np.ndarray, bad: Sentences, rng) -> list[np.ndarray]:
+    """Telling words that no clean document has, with a letter or a space put in."""
+    unknown = np.flatnonzero(~np.isin(part, of_clean))
+    insults = sorted({bad.word(int(k)) + b"\0" for k in unknown} & set(telling))
+    insults = [w[:-1] for w in insults if len(w) > LEAST_SPOILED]
+    return [spoiled(np.frombuffer(bytes([_BEGINS]) + w, np.uint8), rng) for w in insults * SPOILED][:MOST_SPOILED]
+
+
 def judged(values: np.ndarray, document: np.ndarray, n_words: np.ndarray, n: int, level: float) -> np.ndarray:
     """How far the worst sentence of each document is beyond the level, and all that are, for its length."""
     worst = np.zeros(n)
@@ -365,28 +408,39 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
     if not bad.n or not clean.n:
         model.offset = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return model
-    parts = {}
-    for side in (bad, clean):
-        every = [set().union(*map(_parts, side.words(k))) if side.words(k) else set() for k in range(side.n)]
-        parts[side] = every
-    by_document = {s: [Counter(chain.from_iterable(parts[s][s.bounds[k] : s.bounds[k + 1]])) for k in range(s.n_documents)] for s in (bad, clean)}
+    parts = {side: side.parts() for side in (bad, clean)}
+    counted = [_counted(*own, clean.document) for own in parts[clean]]
     halves = [np.flatnonzero(bad.document // TOGETHER % 2 == k) for k in (0, 1)] if bad.n_documents > TOGETHER else [np.arange(bad.n)] * 2
-    random = rng.permutation(clean.n)[: MOST_CLEAN_SENTENCES // 2]
 
-    def telling_of(chosen):
-        own = sorted({int(d) for d in bad.document[chosen]})
-        documents = [by_document[bad][d] for d in own] + by_document[clean]
-        return _telling(documents, np.arange(len(documents)) < len(own))
+    def telling_of(chosen: np.ndarray) -> list[bytes]:
+        """Telling words (with a zero at the end) and beginnings of some of the toxic sentences' documents, the most telling first."""
+        found = {}
+        n = len(np.unique(bad.document[chosen]))
+        for (part, own), of_clean, most in zip(parts[bad], counted, PARTS):
+            inside = np.isin(own, chosen)
+            names, z = _telling(_counted(part[inside], own[inside], bad.document), of_clean, n, clean.n_documents)
+            for name, by in zip(names, z):
+                text = bad.word(int(np.flatnonzero(part == name)[0]), most) + (b"\0" if most == PARTS[0] else b"")
+                found[text] = max(by, found.get(text, 0.0))
+        return sorted(found, key=lambda t: (-found[t], t))
+
+    def holding(side: Sentences, telling: list[bytes]) -> np.ndarray:
+        """Sentences with a telling word or beginning."""
+        wanted = set(telling)
+        held = [k for k in range(len(side.word_at)) if side.word(k) + b"\0" in wanted or side.word(k, 4) in wanted or side.word(k, 5) in wanted]
+        return np.unique(side.sentence[side.word_at[np.array(held, dtype=np.int64)] - 1]).astype(np.int64)
 
     both = telling_of(np.arange(bad.n))
-    telling = [telling_of(h) | both for h in halves]
-    reasons = [np.array([s for s in halves[k] if not parts[bad][s].isdisjoint(telling[1 - k])], dtype=np.int64) for k in (0, 1)]
-    first = reasons
-    hard = [np.array([s for s in range(clean.n) if not parts[clean][s].isdisjoint(telling[k])], dtype=np.int64) for k in (0, 1)]
-    negative = np.unique(np.concatenate([random, *(h[: MOST_CLEAN_SENTENCES // 8] for h in hard)]))
+    telling = [list(dict.fromkeys(both + telling_of(h))) for h in halves]
+    # A half's first reasons are told by what the other half has more often, or all documents by far.
+    first = [np.intersect1d(holding(bad, telling[1 - k]), halves[k]) for k in (0, 1)]
+    hard = [rng.permutation(holding(clean, t))[: MOST_CLEAN_SENTENCES // 8] for t in telling]
+    negative = np.unique(np.concatenate([rng.permutation(clean.n)[: MOST_CLEAN_SENTENCES // 2], *hard]))
+    marks_of = [[t.removesuffix(b"\0") for t in own] for own in telling]
+    reasons = first
     for _ in range(ROUNDS):
         machines = [
-            _machine(_landmarks(telling[1 - k], bad, reasons[k], clean, rng), bad, reasons[k], clean, negative) if len(reasons[k]) else None
+            _machine(_landmarks(marks_of[1 - k], bad, reasons[k], clean, rng), bad, reasons[k], clean, negative) if len(reasons[k]) else None
             for k in (0, 1)
         ]
         found = list(first)
@@ -403,10 +457,8 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
         reasons = found
     every = np.union1d(*reasons)
     if len(every):
-        known = set().union(*by_document[clean])
-        insults = [p[:-1] for p in sorted(both) if p.endswith(b"\0") and p not in known and len(p) > LEAST_SPOILED]
-        spoilt = [spoiled(np.frombuffer(bytes([_BEGINS]) + w, np.uint8), rng) for w in insults * SPOILED][:MOST_SPOILED]
-        model.weights, model.bias = _machine(_landmarks(both, bad, every, clean, rng), bad, every, clean, negative, spoilt)
+        spoilt = _spoilt_words(both, parts[bad][0][0], counted[0][0], bad, rng)
+        model.weights, model.bias = _machine(_landmarks([t.removesuffix(b"\0") for t in both], bad, every, clean, rng), bad, every, clean, negative, spoilt)
     others = Sentences([texts[k] for k in np.flatnonzero(held)])
     values = others.decided(model.weights, model.bias)
     of_clean = values[~toxic[held][others.document]]
