@@ -280,7 +280,7 @@ class ByteBpe(FragmentBpe):
     """
 
     simple = re.compile(f" {LATIN}+")
-    remembered = REMEMBERED_FRAGMENTS + REMEMBERED_WORDS
+    remembered = 6 * REMEMBERED_FRAGMENTS
     pieces = re.compile(
         rf" ?{LATIN}+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LATIN[1:]}+|\s+(?!\S)|\s+"
     )
