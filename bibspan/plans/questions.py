@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bibspan import fixed_values as fixed
 from bibspan.functions import records
 from bibspan.operators import groups, membership
+from bibspan.operators.sizing import written
 
 
 def question_1(in_meta: DataFrame) -> DataFrame:
@@ -41,9 +42,10 @@ def _outside(end: str) -> Column:
     return F.col(end).isNotNull() & ~F.col(f"{end}_in")
 
 
-def _citation_counts(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
-    flagged = membership.end_flags(citations, membership.members(in_meta))
-    return flagged.where("citing_in or cited_in").agg(
+def _citation_counts(citations: DataFrame, in_meta: DataFrame | None, omids: DataFrame | None) -> DataFrame:
+    if omids is None:
+        omids = written(membership.members(in_meta), "members")
+    return membership.end_flags(citations, omids).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(_outside("citing")).alias("citing"),
         F.count_if(_outside("cited")).alias("cited"),
@@ -51,27 +53,36 @@ def _citation_counts(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
     )
 
 
-def citation_questions(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
+def citation_questions(
+    citations: DataFrame, in_meta: DataFrame | None = None, omids: DataFrame | None = None
+) -> DataFrame:
     """Questions 3, 4 and 5 together: one scan of the citations, one row of counts.
 
     `citations` may be the filtered dataset or the whole dump; rows without a member
-    end do not count.
+    end do not count.  With `omids`, the written dataset of members, one row each, the
+    members are not taken from the matched items again; so it is with the other questions.
     """
-    return _citation_counts(citations, in_meta)
+    return _citation_counts(citations, in_meta, omids)
 
 
-def question_4(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
+def question_4(
+    citations: DataFrame, in_meta: DataFrame | None = None, omids: DataFrame | None = None
+) -> DataFrame:
     """Citations whose citing, or cited, end is no matched item."""
-    return _citation_counts(citations, in_meta).select("citing", "cited")
+    return _citation_counts(citations, in_meta, omids).select("citing", "cited")
 
 
-def question_5(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
+def question_5(
+    citations: DataFrame, in_meta: DataFrame | None = None, omids: DataFrame | None = None
+) -> DataFrame:
     """Citations with both ends among the matched items."""
-    return _citation_counts(citations, in_meta).select(F.col("both").alias("len"))
+    return _citation_counts(citations, in_meta, omids).select(F.col("both").alias("len"))
 
 
-def citation_shares(citations: DataFrame, in_meta: DataFrame) -> DataFrame:
-    counts = _citation_counts(citations, in_meta)
+def citation_shares(
+    citations: DataFrame, in_meta: DataFrame | None = None, omids: DataFrame | None = None
+) -> DataFrame:
+    counts = _citation_counts(citations, in_meta, omids)
     total = F.col("total")
     return counts.select(
         "total",
