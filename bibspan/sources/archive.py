@@ -10,9 +10,17 @@ Options
     member   name pattern of the members to read, default `*.csv`; a pattern without a
              slash is compared with the last part of the member's name
     format   zip, tar or auto (by file name)
+    keep     conditions on columns, as JSON: rows that do not meet them all are dropped in the reader
 
 All fields are read as text: an unquoted empty field is NULL, a quoted one is ''.
-Columns are found by name, and only those of the given schema are converted.
+Columns are found by name, and only those of the given schema are converted.  The conditions in `keep` are
+applied batch by batch.  They are options and not the filters Spark itself would push down
+(pushFilters), because Spark 4.1.2 goes on applying those of one query to later ones on the same
+DataFrame that have none of their own.
+
+Damaged members are read as Spark reads damaged CSV files: a row with too few fields is filled up with NULL,
+one with too many is cut, bytes that are not UTF-8 become replacement characters, and a
+row may be of any length.
 
 A compressed TAR has no index, so it is one partition; `sources.tables.archive_to_parquet`
 turns such an archive into a splittable table once.
@@ -20,8 +28,11 @@ turns such an archive into a splittable table once.
 This module needs nothing but PyArrow, so it can be sent to the executors as it is.
 """
 
+import contextlib
+import csv
 import fnmatch
 import io
+import json
 import posixpath
 import sys
 import tarfile
@@ -31,12 +42,32 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.csv as pacsv
 import pyarrow.fs as pafs
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 BLOCK_BYTES = 16 * 1024 * 1024
+MOST_BLOCK_BYTES = 1024 * 1024 * 1024
+HEADER_BYTES = 64 * 1024
 READ_BYTES = 1024 * 1024
 LISTING_THREADS = 16
 COMPRESSED_TAR_SUFFIXES = (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")
@@ -44,11 +75,11 @@ COMPRESSED_TAR_SUFFIXES = (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".
 
 @dataclass
 class Member(InputPartition):
-    """One CSV member; a compressed TAR is a single partition with no member name."""
+    """One CSV member, of a ZIP by its place in the listing, of a TAR by its bytes; a compressed TAR is one partition."""
 
     path: str
     kind: str
-    name: str | None = None
+    place: int = 0
     offset: int = 0
     size: int = 0
 
@@ -73,6 +104,7 @@ class ArchiveCsvReader(DataSourceReader):
         self.pattern = options.get("member", "*.csv")
         self.kind = options.get("format", "auto")
         self.columns = columns
+        self.filters: list[Filter] = [asked(*given) for given in json.loads(options.get("keep", "[]"))]
 
     def partitions(self) -> list[Member]:
         archives = archives_at(self.path)
@@ -91,13 +123,13 @@ class ArchiveCsvReader(DataSourceReader):
             if kind == "zip":
                 with zipfile.ZipFile(file) as z:
                     return [
-                        Member(archive, "zip", i.filename)
-                        for i in z.infolist()
+                        Member(archive, "zip", place)
+                        for place, i in enumerate(z.infolist())
                         if not i.is_dir() and self._wanted(i.filename)
                     ]
             with tarfile.open(fileobj=file, mode="r:") as tar:
                 return [
-                    Member(archive, "tar", i.name, i.offset_data, i.size)
+                    Member(archive, "tar", 0, i.offset_data, i.size)
                     for i in tar
                     if i.isfile() and self._wanted(i.name)
                 ]
@@ -110,17 +142,69 @@ class ArchiveCsvReader(DataSourceReader):
         return fnmatch.fnmatchcase(compared, self.pattern)
 
     def read(self, member: Member) -> Iterator[pa.RecordBatch]:
-        with open_file(member.path) as file:
-            if member.kind == "zip":
-                with zipfile.ZipFile(file) as z, z.open(member.name) as content:
-                    yield from csv_batches(content, self.columns)
-            elif member.kind == "tar":
-                yield from csv_batches(Slice(file, member.offset, member.size), self.columns)
-            else:
-                with tarfile.open(fileobj=file, mode="r|*") as tar:
-                    for info in tar:
-                        if info.isfile() and self._wanted(info.name):
-                            yield from csv_batches(tar.extractfile(info), self.columns)
+        for batch in self._rows(member):
+            for given in self.filters:
+                batch = batch.filter(condition(given)(batch))
+            if batch.num_rows:
+                yield batch
+
+    def _rows(self, member: Member) -> Iterator[pa.RecordBatch]:
+        if member.kind in ("zip", "tar"):
+            yield from csv_batches(lambda: opened(member), self.columns)
+            return
+        with open_file(member.path) as file, tarfile.open(fileobj=file, mode="r|*") as tar:
+            for info in tar:
+                if info.isfile() and self._wanted(info.name):
+                    # The stream does not go back, so its rows are bounded by one block, a larger one.
+                    content = tar.extractfile(info)
+                    yield from _blocks(lambda: contextlib.nullcontext(content), self.columns, 8 * BLOCK_BYTES)
+
+
+@contextlib.contextmanager
+def opened(member: Member):
+    """The content of a member as a stream."""
+    with open_file(member.path) as file:
+        if member.kind == "zip":
+            with zipfile.ZipFile(file) as z, z.open(z.infolist()[member.place]) as content:
+                yield content
+        else:
+            yield Slice(file, member.offset, member.size)
+
+
+def asked(column: str, comparison: str, value=None) -> Filter:
+    """A condition as it is written in `keep`: column, comparison and, for most, a text."""
+    kind = COMPARISONS[comparison]
+    return kind((column,)) if kind in (IsNull, IsNotNull) else kind((column,), tuple(value) if kind is In else value)
+
+
+def condition(given: Filter):
+    """A function from a batch to the rows that pass a filter; a NULL value passes none but `is null`."""
+    (name,) = given.attribute
+    if isinstance(given, (IsNull, IsNotNull)):
+        found = pc.is_null if isinstance(given, IsNull) else pc.is_valid
+        return lambda batch: found(batch.column(name))
+    if isinstance(given, In):
+        return lambda batch: pc.is_in(batch.column(name), pa.array(given.value, pa.string()))
+    return lambda batch: TESTS[type(given)](batch.column(name), given.value)
+
+
+COMPARISONS = {
+    "=": EqualTo, "<=>": EqualNullSafe, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual,
+    "in": In, "is null": IsNull, "is not null": IsNotNull,
+    "starts with": StringStartsWith, "ends with": StringEndsWith, "contains": StringContains,
+}
+
+TESTS = {
+    EqualTo: pc.equal,
+    EqualNullSafe: lambda column, value: pc.fill_null(pc.equal(column, value), False),
+    GreaterThan: pc.greater,
+    GreaterThanOrEqual: pc.greater_equal,
+    LessThan: pc.less,
+    LessThanOrEqual: pc.less_equal,
+    StringStartsWith: lambda column, value: pc.starts_with(column, value),
+    StringEndsWith: lambda column, value: pc.ends_with(column, value),
+    StringContains: lambda column, value: pc.match_substring(column, value),
+}
 
 
 class Slice:
@@ -152,30 +236,130 @@ class Slice:
         self.closed = True
 
 
-def csv_batches(stream, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Stream a CSV as batches of text columns; a missing column is NULL."""
-    try:
-        reader = pacsv.open_csv(
-            pa.PythonFile(stream, mode="r"),
-            read_options=pacsv.ReadOptions(block_size=BLOCK_BYTES),
-            parse_options=pacsv.ParseOptions(newlines_in_values=True),
-            convert_options=pacsv.ConvertOptions(
-                include_columns=columns,
-                include_missing_columns=True,
-                column_types={c: pa.string() for c in columns},
-                null_values=[""],
-                strings_can_be_null=True,
-                quoted_strings_can_be_null=False,
-            ),
-        )
-    except pa.ArrowInvalid as error:
-        if "Empty CSV file" in str(error):
+class Replayed:
+    """A stream of which the beginning has been looked at."""
+
+    closed = False
+
+    def __init__(self, stream):
+        self.stream = stream
+        self.head = b""
+        while len(self.head) < HEADER_BYTES and (more := stream.read(HEADER_BYTES - len(self.head))):
+            self.head += more
+        self.kept = self.head
+
+    def read(self, n: int = -1) -> bytes:
+        if self.kept:
+            n = len(self.kept) if n is None or n < 0 else n
+            found, self.kept = self.kept[:n], self.kept[n:]
+            return found
+        return self.stream.read(n)
+
+    def readable(self) -> bool:
+        return True
+
+    def writable(self) -> bool:
+        return False
+
+    def seekable(self) -> bool:
+        return False
+
+    def close(self) -> None:
+        self.closed = True
+
+
+def csv_batches(source, columns: list[str], block: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stream a CSV as batches of text columns; a missing column is NULL.
+
+    `source` opens the stream.  A row that is longer than a block makes it start again with larger
+    blocks, without the rows it has given.
+    """
+    given = 0
+    while True:
+        try:
+            for batch in _blocks(source, columns, block):
+                if batch.num_rows <= given:
+                    given -= batch.num_rows
+                    continue
+                yield batch.slice(given)
+                given = 0
+            return
+        except TooLong as error:
+            if block >= MOST_BLOCK_BYTES:
+                raise ValueError(f"a row of more than {block} bytes") from error
+            given, block = error.rows, block * 8
+
+
+class TooLong(Exception):
+    def __init__(self, rows: int):
+        super().__init__(rows)
+        self.rows = rows
+
+
+def _blocks(source, columns: list[str], block: int) -> Iterator[pa.RecordBatch]:
+    """Batches of a stream, after each the rows of it that had not as many fields as the header."""
+    damaged: list[str] = []
+    rows = 0
+
+    def set_aside(row) -> str:
+        damaged.append(row.text)
+        return "skip"
+
+    with source() as stream:
+        stream = Replayed(stream)
+        header = next(csv.reader(io.StringIO(stream.head.decode("utf-8-sig", errors="replace"))), [])
+        if not header:
             return
-        raise
-    schema = pa.schema([(c, pa.string()) for c in columns])
-    for batch in reader:
-        if batch.num_rows:
-            yield batch.select(columns).cast(schema)
+        schema = pa.schema([(c, pa.string()) for c in columns])
+        try:
+            reader = pacsv.open_csv(
+                pa.PythonFile(stream, mode="r"),
+                read_options=pacsv.ReadOptions(block_size=block),
+                parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=set_aside),
+                convert_options=pacsv.ConvertOptions(
+                    include_columns=columns,
+                    include_missing_columns=True,
+                    column_types={c: pa.binary() for c in columns},
+                    null_values=[""],
+                    strings_can_be_null=True,
+                    quoted_strings_can_be_null=False,
+                ),
+            )
+            for batch in reader:
+                found = [as_text(batch.column(c)) for c in columns]
+                if batch.num_rows:
+                    rows += batch.num_rows
+                    yield pa.RecordBatch.from_arrays(found, schema=schema)
+                if damaged:
+                    rows += len(damaged)
+                    yield mended(damaged, header, schema)
+                    damaged.clear()
+            if damaged:
+                yield mended(damaged, header, schema)
+        except pa.ArrowInvalid as error:
+            if "Empty CSV file" in str(error):
+                return
+            if "straddling" in str(error):
+                raise TooLong(rows) from error
+            raise
+
+
+def as_text(column: pa.Array) -> pa.Array:
+    """Bytes as text; what is not UTF-8 becomes replacement characters."""
+    if pa.types.is_null(column.type):
+        return column.cast(pa.string())
+    try:
+        return column.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x if x is None else x.decode("utf-8", errors="replace") for x in column.to_pylist()], pa.string())
+
+
+def mended(rows: list[str], header: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows with too few fields filled up with NULL, those with too many cut."""
+    place = {name: k for k, name in reversed(list(enumerate(header)))}
+    fields = [next(csv.reader(io.StringIO(row, newline=""), quoting=csv.QUOTE_NOTNULL), []) for row in rows]
+    of = lambda row, c: row[place[c]] if c in place and place[c] < len(row) else None
+    return pa.RecordBatch.from_arrays([pa.array([of(row, c) for row in fields], pa.string()) for c in schema.names], schema=schema)
 
 
 def filesystem_of(path: str) -> tuple[pafs.FileSystem, str]:

@@ -2,12 +2,13 @@
 
 import csv
 import io
+import json
 import posixpath
 import zipfile
 from functools import reduce
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -15,6 +16,7 @@ from bibspan import fixed_values as fixed
 from bibspan import schemas
 from bibspan.session import fresh_folder
 from bibspan.sources import archive, unpacking
+from bibspan.sources.sinks import current_version
 
 # Keeps a quoted empty field as '' and makes only an unquoted one NULL.
 CSV_OPTIONS = {
@@ -74,15 +76,27 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_archive(
-    spark: SparkSession, path: str, schema: str, member: str = "*.csv", kind: str = "auto"
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    member: str = "*.csv",
+    kind: str = "auto",
+    columns: tuple[str, ...] | None = None,
+    keep: tuple = (),
 ) -> DataFrame:
-    """CSV members of one archive or of a folder of archives."""
+    """CSV members of one archive or of a folder of archives.
+
+    With `columns` only these are converted.  `keep` has conditions on them as texts, such as
+    ("type", "=", "book") or ("pub_date", "starts with", "19"); rows that do not meet them all are
+    dropped in the reader, before they come to Spark.
+    """
     require(path)
     if kind == "auto":
         for name in archive.archives_at(path):
             archive.archive_kind(name)
     spark.dataSource.register(archive.ArchiveCsvSource)
-    names = [f.name for f in StructType.fromDDL(schema).fields]
+    fields = [f for f in StructType.fromDDL(schema).fields if columns is None or f.name in columns]
+    schema, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields]
     as_text = StructType([StructField(n, StringType()) for n in names])
     raw = (
         spark.read.format("archive_csv")
@@ -90,6 +104,7 @@ def read_archive(
         .option("path", path)
         .option("member", member)
         .option("format", kind)
+        .option("keep", json.dumps(keep))
         .load()
     )
     return typed(raw, schema)
@@ -112,11 +127,26 @@ def repository_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_csv(spark, posixpath.join(require(path), inside), schema)
 
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Global metadata dump: an archive, or a folder of archives, of CSV shards; or Parquet."""
+def read_meta(
+    spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, keep: tuple = ()
+) -> DataFrame:
+    """Global metadata dump: an archive, or a folder of archives, of CSV shards; or Parquet.
+
+    `columns` and `keep` cut it in the reader, whichever it is.
+    """
     if any(archive.is_archive(name) for name in archive.archives_at(require(path))):
-        return read_archive(spark, path, schemas.META)
-    return read_parquet(spark, path)
+        return read_archive(spark, path, schemas.META, columns=columns, keep=keep)
+    found = read_parquet(spark, path)
+    for column, comparison, *value in keep:
+        found = found.where(KEPT[comparison](F.col(column), *value))
+    return found.select(*columns) if columns else found
+
+
+KEPT = {
+    "=": Column.__eq__, "<=>": Column.eqNullSafe, ">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__,
+    "in": Column.isin, "is null": Column.isNull, "is not null": Column.isNotNull,
+    "starts with": Column.startswith, "ends with": Column.endswith, "contains": Column.contains,
+}
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +180,8 @@ def unpack_archives(spark: SparkSession, outer: str, folder: str) -> str:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(require(path))
+    """A Parquet table; of a published one the current version."""
+    return spark.read.parquet(current_version(require(path)))
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str = schemas.TYPE_MAPPING) -> DataFrame:
