@@ -9,11 +9,11 @@ from bibspan import fixed_values as fixed
 from bibspan import schemas
 from bibspan.fixtures import archives
 from bibspan.fixtures.sql import statement
-from bibspan.fixtures.views import Inputs
+from bibspan.fixtures.views import LABELS, Inputs
 from bibspan.functions import records
 from bibspan.operators import dedup, groups, items as item_ops, linkage, lookup, matching, membership
 from bibspan.operators.sizing import written
-from bibspan.plans import profiles, questions
+from bibspan.plans import profiles, questions, reconciliation, updates
 from bibspan.plans.datasets import Datasets
 from bibspan.session import configured, fresh_folder
 from bibspan.sources import sinks, tables
@@ -353,6 +353,61 @@ def title_match(d):
     return d.title_matches
 
 
+@query("""select title, (select count(*) from (select distinct ITEM_ID as i, title as t from titled) where t = m.title) as n_items,
+        count(distinct omid) as n_records
+    from title_matches m group by title""".replace("titled", r"""(select ITEM_ID,
+        replace(replace(replace(TITLE, chr(13), ' '), chr(10), ''), '"', '''') as title from fx_master
+        where ITEM_ID in (select ITEM_ID from items where coalesce(IDE_DOI, IDE_ISBN, IDE_PMID) is null))"""))
+def title_classes(d):
+    return d.title_classes
+
+
+@query("select title, omid, id, type, iris_id from title_matches")
+def title_classes_expanded(d):
+    return linkage.title_classes(d.untraced_titles, d.parsed_meta, limit=0).expanded(limit=0)
+
+
+@query("select id, citing, cited from iii")
+def citations_prefiltered(d):
+    """The citations again, as they are found where the members are too many to be broadcast."""
+    return membership.filter_citations(d.inputs["index"], d.omids, limit=0)
+
+
+def _halves(df, column):
+    odd = F.crc32(F.col(column)) % 2 == 1
+    return df.where(odd), df.where(~odd)
+
+
+@query("select id, title, meta_type, pub_date, omid, iris_id, iris_type from iim")
+def in_meta_updated(d):
+    """Built from half of the metadata, then brought up to date with the other half."""
+    old, new = _halves(d.inputs["meta"], "id")
+    built = written(matching.in_meta(old, d.pids, d.labels), "in-meta-of-half")
+    return updates.updated_in_meta(built, new, d.pids, d.labels)
+
+
+@query("select id, citing, cited from iii")
+def citations_updated(d):
+    """Built from half of the metadata and of the citations, then brought up to date with the other halves."""
+    old, new = _halves(d.inputs["meta"], "id")
+    old_index, new_index = _halves(d.inputs["index"], "id")
+    built = written(matching.in_meta(old, d.pids, d.labels), "in-meta-of-half")
+    before = written(membership.members(built), "members-before")
+    kept = written(membership.filter_citations(old_index, before), "citations-of-half")
+    after = written(membership.members(updates.updated_in_meta(built, new, d.pids, d.labels)), "members-after")
+    return updates.updated_citations(kept, new_index, before, after, old_index)
+
+
+@query("""select meta_type, count(*) as len from (select type as meta_type from fx_meta
+    where type = 'book chapter' and pub_date like '199%') group by 1""")
+def archive_rows_filtered(d):
+    """Records of one type and decade out of an archive: rows and columns are cut in its reader."""
+    folder = archives.pack(d.inputs["meta"], fresh_folder(d.spark, "meta-filtered"), "zip")
+    conditions = (("type", "=", "book chapter"), ("pub_date", "starts with", "199"))
+    found = tables.read_meta(d.spark, folder, columns=("type", "pub_date"), keep=conditions)
+    return groups.count_by(found, F.col("type").alias("meta_type"), name="len")
+
+
 # Questions
 
 
@@ -390,19 +445,19 @@ _IN = "in (select omid from omids)"
 @query(f"""select count(*) filter (citing is not null and not citing {_IN}) as citing,
     count(*) filter (cited is not null and not cited {_IN}) as cited from iii""")
 def rq4_external(d):
-    return questions.question_4(d.inputs["index"], d.in_meta)
+    return questions.question_4(d.inputs["index"], omids=d.omids)
 
 
 @query(f"select count(*) filter (citing {_IN} and cited {_IN}) as len from iii")
 def rq5_internal(d):
-    return questions.question_5(d.inputs["index"], d.in_meta)
+    return questions.question_5(d.inputs["index"], omids=d.omids)
 
 
 @query(f"""select count(*) as total, count(*) filter (citing is not null and not citing {_IN}) as citing,
     count(*) filter (cited is not null and not cited {_IN}) as cited,
     count(*) filter (citing {_IN} and cited {_IN}) as "both" from iii""")
 def citation_questions(d):
-    return questions.citation_questions(d.inputs["index"], d.in_meta)
+    return questions.citation_questions(d.inputs["index"], omids=d.omids)
 
 
 @query(f"""select total, round(citing * 100 / total, 2) as pct_citing_outside,
@@ -411,7 +466,7 @@ def citation_questions(d):
         count(*) filter (cited is not null and not cited {_IN}) as cited,
         count(*) filter (citing {_IN} and cited {_IN}) as "both" from iii)""")
 def citation_share(d):
-    return questions.citation_shares(d.inputs["index"], d.in_meta)
+    return questions.citation_shares(d.inputs["index"], omids=d.omids)
 
 
 # Types
@@ -506,11 +561,13 @@ def type_mismatch_breakdown(d):
     return profiles.mismatch_breakdown(_mismatching(d))
 
 
-@query("""select meta_type, count(*) filter (iris_type = '1.01 Articolo in rivista') as "1.01 Articolo in rivista",
-        count(*) filter (iris_type = '2.01 Capitolo / saggio in libro') as "2.01 Capitolo / saggio in libro"
-    from fitting_types group by meta_type""")
+MAPPED_TYPES = sorted({local for local, _ in fixed.TYPE_MAPPING if local} & set(LABELS.values()))
+
+
+@query("select meta_type, " + ", ".join(f"""count(*) filter (iris_type = '{t}') as "{t}\"""" for t in MAPPED_TYPES)
+       + " from fitting_types group by meta_type")
 def type_pivot(d):
-    return profiles.type_pivot(_matching(d))
+    return profiles.type_pivot(_matching(d), MAPPED_TYPES)
 
 
 @query("""select meta_type, iris_type, n as iris_count, round(n / sum(n) over (partition by meta_type), 4) as share
@@ -700,49 +757,28 @@ def best_match_select(d):
     return linkage.best_of_two(scored, F.lit(fixed.MATCH_SCORE_ABOVE))
 
 
-def _title_results(d):
-    """Best matches of untraced titles among the records with a DOI, as saved results."""
-    corpus = written(
-        d.parsed_meta.where(F.col("id").startswith("doi:")).select(
-            F.col("omid").alias("doc_id"),
-            "title",
-            F.regexp_replace("id", "^doi:", "").alias("doi"),
-            F.lit(None).cast("string").alias("issn"),
-        ),
-        "title-corpus",
-    )
-    asked = d.clean_no_id.select(F.col("ITEM_ID").alias("item_id"), F.col("TITLE").alias("text"))
-    best = linkage.best_match(asked, corpus.select("doc_id", F.col("title").alias("text")))
-    return written(linkage.match_results(best, corpus), "title-results")
-
-
-@query("""select r.matched_title, r.doi, r.ambiguous_match, round(r.score, 3) as score,
+@query("""select r.matched_title, r.doi, r.issn, r.ambiguous_match, round(r.score, 3) as score,
         n.ITEM_ID, n.TITLE, n.OWNING_COLLECTION_DES, n.DES_ALLPEOPLE
     from title_results r join clean_no_id n on r.item_id = n.ITEM_ID""")
 def reconciled_items(d):
-    found = linkage.with_items(_title_results(d), d.clean_no_id)
+    found = linkage.with_items(d.match_results, d.clean_no_id)
     return found.select(
-        "matched_title", "doi", "ambiguous_match", F.round("score", 3).alias("score"),
+        "matched_title", "doi", "issn", "ambiguous_match", F.round("score", 3).alias("score"),
         "ITEM_ID", "TITLE", "OWNING_COLLECTION_DES", "DES_ALLPEOPLE",
     )
 
 
 @query("select doi, count(*) as n_rows from title_results group by doi having count(*) > 1")
 def reconciled_duplicates(d):
-    return groups.duplicated_keys(_title_results(d), "doi")
-
-
-def _reconciled(d):
-    ids = written(matching.reconciled_ids(_title_results(d)), "reconciled-ids")
-    return matching.reconciled_in_meta(d.parsed_meta, ids)
+    return groups.duplicated_keys(d.match_results, "doi")
 
 
 @query("select id, title, type, pub_date, omid from reconciled")
 def reconciled_in_meta(d):
-    return _reconciled(d)
+    return d.reconciled
 
 
 @query("""select (select count(*) from reconciled) as found, count(*) as total,
     round((select count(*) from reconciled) * 100 / count(*), 2) as percentage from clean_no_id""")
 def reconciliation_rate(d):
-    return profiles.reconciliation_rate(_reconciled(d), d.clean_no_id)
+    return reconciliation.rate(d.reconciled, d.clean_no_id)

@@ -123,13 +123,14 @@ STEPS = {
     ),
     **best_match_steps(
         "title_text",
-        "select ITEM_ID as item_id, TITLE as text from clean_no_id",
-        "select omid as doc_id, title as text from parsed where id like 'doi:%'",
+        "select ITEM_ID as item_id, TITLE || coalesce(', ' || DES_ALLPEOPLE, '') as text from clean_no_id",
+        """select doc_id, title || ', ' || coalesce(given_1, '') || ' ' || family_1 ||
+            coalesce(', ' || given_2 || ' ' || family_2, '') as text from fx_publication where doi is not null""",
         fixed.MATCH_SCORE_ABOVE,
     ),
-    "title_results": """select item_id, title as matched_title, substr(id, 5) as doi, ambiguous_match,
+    "title_results": """select item_id, title as matched_title, doi, issn, ambiguous_match,
             score * 100 / total as score
-        from title_text_matches join parsed on doc_id = omid""",
+        from title_text_matches m join fx_publication p on m.doc_id = p.doc_id""",
     "reconciled": f"""select {META_COLUMNS} from parsed
         where id in (select lower('doi:' || doi) from title_results)""",
 }

@@ -6,6 +6,7 @@ that occur more than once at every scale.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bibspan import fixed_values as fixed
 
@@ -55,7 +56,7 @@ VIEWS = {
             case when o_orderkey % 31 = 0 then 'n/a' when o_orderkey % 3 = 0 then 'https://doi.org/10.' ||
                 cast(1000 + o_orderkey % 3 as string) || '/AbC.' || cast(o_orderkey - o_orderkey % 6 as string) ||
                 '; see note' end as IDE_DOI,
-            case when o_orderkey % 44 = 1 then 'ISBN 978-88-1-' || lpad(cast(o_orderkey - o_orderkey % 8 as string), 6, '0') || '-X'
+            case when o_orderkey % 52 = 1 then 'ISBN 12345' when o_orderkey % 44 = 1 then 'ISBN 978-88-1-' || lpad(cast(o_orderkey - o_orderkey % 8 as string), 6, '0') || '-X'
                 when o_orderkey % 4 = 1 then '88-1-' || lpad(cast(o_orderkey - o_orderkey % 8 as string), 6, '0') || '-X' end as IDE_ISBN,
             case when o_orderkey % 35 = 0 then 'PMC' || cast(o_orderkey as string)
                 when o_orderkey % 5 = 0 then 'PMID: 00' || cast(10 + o_orderkey - o_orderkey % 10 as string) end as IDE_PMID
@@ -90,6 +91,14 @@ VIEWS = {
             case when o_orderkey % 50 = 0 then null when o_orderkey % 77 = 0 then '9999'
                 else cast(cast(extract(year from o_orderdate) as int) as string) || '-01' end as pub_date
         from {{orders}}""",
+    "fx_publication": f"""
+        select 'omid:br/06' || cast(o_orderkey as string) as doc_id, {META_TITLE} as title,
+            'Rossi' as family_1, case when o_orderkey % 7 <> 0 then 'M' end as given_1,
+            case when o_orderkey % 41 <> 0 then cast(o_custkey % 17 as string) end as family_2, 'Customer' as given_2,
+            case when o_orderkey % 3 = 0 then '10.' || cast(1000 + o_orderkey % 3 as string) || '/abc.' ||
+                cast(o_orderkey - o_orderkey % 6 as string) end as doi,
+            case when o_orderkey % 5 <> 0 then '1234-' || lpad(cast(o_custkey % 10000 as string), 4, '0') end as issn
+        from {{orders}}""",
     "fx_index": """
         select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as id,
             'omid:br/06' || cast(l_orderkey as string) as citing,
@@ -105,6 +114,7 @@ SOURCE_TABLES = {
     "fx_publisher": ("orders", "customer", "nation", "region"),
     "fx_language": ("lineitem",),
     "fx_meta": ("orders",),
+    "fx_publication": ("orders",),
     "fx_index": ("lineitem",),
 }
 
@@ -119,11 +129,19 @@ class Inputs(dict):
         self._tables = {}
 
     def __missing__(self, name: str) -> DataFrame:
+        if name == "publications":
+            self[name] = self._publications()
+            return self[name]
         view = f"fx_{name}"
         sources = {table: self.table(table) for table in SOURCE_TABLES[view]}
         self[name] = self.spark.sql(VIEWS[view], **sources)
         return self[name]
 
+    def _publications(self) -> DataFrame:
+        """Publications with their authors as a list of names."""
+        names = [F.struct(F.col(f"given_{k}").alias("given"), F.col(f"family_{k}").alias("family")) for k in (1, 2)]
+        return self["publication"].select("doc_id", "title", F.array(*names).alias("authors"), "doi", "issn")
+
     def table(self, name: str) -> DataFrame:
         """One of the driver's tables as it is."""
         if name not in self._tables:

@@ -29,21 +29,20 @@ def without_pid(items: DataFrame) -> DataFrame:
 
 
 def no_id_dataset(
-    items: DataFrame,
-    description: DataFrame,
-    master: DataFrame,
-    publisher: DataFrame,
-    language: DataFrame,
+    described: DataFrame, description: DataFrame, publisher: DataFrame, language: DataFrame
 ) -> DataFrame:
     """Items without identifier, with everything known about them.
 
-    A detail table that repeats an item repeats the item in the result.
+    `described` has the identifiers with the columns of the master table, so each table is joined once, and only
+    for the items without identifier.  A table that repeats an item repeats the item in the result.
     """
-    dated = master.select("ITEM_ID", "DATE_ISSUED_YEAR", "TITLE")
-    result = without_pid(items)
-    for details in (description, dated, publisher, language):
+    dated = ("DATE_ISSUED_YEAR", "TITLE")
+    result = without_pid(described)
+    for details in (description, publisher, language):
         result = result.join(details, "ITEM_ID", "left")
-    return result
+    last = [c for c in (*publisher.columns, *language.columns) if c != "ITEM_ID"]
+    first = [c for c in result.columns if c not in (*dated, *last)]
+    return result.select(*first, *dated, *last)
 
 
 def raw_identifiers(items: DataFrame, column: str) -> DataFrame:

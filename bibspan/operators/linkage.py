@@ -1,5 +1,7 @@
 """Linking items without identifiers by their texts."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from bibspan.operators.sizing import (
 )
 
 WEIGHT_UNIT = 1_000_000
+# Pairs of a query that are scored first, for a score that the others have to reach.
+SEEDS = 4
 
 
 def title_match(
@@ -26,18 +30,53 @@ def title_match(
     inputs are cut to four narrow columns, and records are only shuffled when the item
     side is measured too large to broadcast.
     """
-    cleaned = records.clean_title(F.col("TITLE"))
-    titled = (
-        items.select(F.col("ITEM_ID").alias("iris_id"), cleaned.alias("title"))
-        .where(records.word_count(F.col("title")) >= fixed.MIN_TITLE_WORDS)
-    )
-    typed = parsed.where(F.col("id").startswith("doi:") & (F.col("type") != "")).select(
-        "title", "omid", "id", "type"
-    )
+    titled, typed = _titled_items(items), _typed_records(parsed)
     small = measured_bytes(titled) <= limit
     return typed.join(F.broadcast(titled) if small else titled, "title", "inner")
 
 
+@dataclass
+class TitleClasses:
+    """Title matches by class: the items and the records of each title, never their pairs.
+
+    `classes` has title, n_items and n_records; `items` title and iris_id; `records` title, omid, id
+    and type.  All hold only titles that are on both sides.
+    """
+
+    classes: DataFrame
+    items: DataFrame
+    records: DataFrame
+
+    def expanded(self, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """All pairs, the rows of `title_match`."""
+        return self.records.join(broadcast_if_small(self.items, limit), "title").select("title", "omid", "id", "type", "iris_id")
+
+
+def _titled_items(items: DataFrame) -> DataFrame:
+    cleaned = records.clean_title(F.col("TITLE"))
+    titled = items.select(F.col("ITEM_ID").alias("iris_id"), cleaned.alias("title"))
+    return titled.where(records.word_count(F.col("title")) >= fixed.MIN_TITLE_WORDS)
+
+
+def _typed_records(parsed: DataFrame) -> DataFrame:
+    found = parsed.where(F.col("id").startswith("doi:") & (F.col("type") != ""))
+    return found.select("title", "omid", "id", "type")
+
+
+def title_classes(items: DataFrame, parsed: DataFrame, limit: int = BROADCAST_BYTES) -> TitleClasses:
+    """Title matches factorised: a title on m items and n records costs m + n rows instead of m times n.
+
+    Of the records only those of an item's title are kept, after a join with the distinct titles.
+    """
+    titled = written(_titled_items(items), "titled-items")
+    of_items = lookup_side(titled.groupBy("title").agg(F.count(F.lit(1)).alias("n_items")), "item-titles", limit)
+    found = written(_typed_records(parsed).join(of_items.select("title"), "title", "left_semi"), "titled-records")
+    of_records = lookup_side(found.groupBy("title").agg(F.count(F.lit(1)).alias("n_records")), "record-titles", limit)
+    classes = written(of_items.join(of_records, "title"), "title-classes")
+    kept = titled.join(lookup_side(classes.select("title"), "matched-titles", limit), "title", "left_semi")
+    return TitleClasses(classes, written(kept, "matched-items"), found.select("title", "omid", "id", "type"))
+
+
 def best_of_two(scored: DataFrame, threshold: Column) -> DataFrame:
     """Best candidate per item if its score is above the threshold.
 
@@ -79,7 +118,8 @@ def _distinct_texts(texts: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("copies"),
         F.any_value("words").alias("words"),
     )
-    return collapsed.where(F.size("words") > 0)
+    number = F.monotonically_increasing_id().alias("doc_no")
+    return collapsed.where(F.size("words") > 0).select(number, key, "copies", "words")
 
 
 def best_match(
@@ -94,33 +134,57 @@ def best_match(
     The search is exact and needs no limit on word frequency.  A query's cheapest
     words, as long as they weigh no more than that percentage together, cannot reach
     the threshold by themselves; every match therefore shares one of the remaining,
-    rarest words, and only those are looked up.  Pairs found that way get their full
-    score.  Copies, of queries and of documents, are collapsed beforehand.
+    rarest words, and only those are looked up.  What a pair found that way can score at most is
+    known from the words it was found by.  The first few pairs of a query by this bound are scored
+    in full; after that only those whose bound reaches the best score found.  Copies, of queries and of documents,
+    are collapsed beforehand.
     """
     documents = written(_distinct_texts(corpus, "doc_id"), "match-documents")
     asked = written(_keyed_texts(queries, "item_id"), "match-queries")
     weighed = written(_weighed_queries(asked, documents, percent_above), "match-weights")
+    bounds = written(_bounded_pairs(weighed, documents, percent_above), "match-bounds")
+
+    order = Window.partitionBy("query_no").orderBy(F.col("bound").desc(), F.col("doc_no").asc())
+    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SEEDS)
+    first = written(first.select("query_no", "doc_no"), "match-first")
+    seeds = written(_scored(first, weighed, documents, percent_above), "match-seeds")
+    reached = lookup_side(seeds.groupBy("query_no").agg(F.max("score").alias("reached")), "match-reached")
+    # Pairs that cannot have the best score, nor share it, are never scored.
+    rest = bounds.join(reached, "query_no", "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached")))
+    rest = rest.join(broadcast_if_small(first), ["query_no", "doc_no"], "left_anti")
+    scored = seeds.unionByName(_scored(rest, weighed, documents, percent_above))
+    best = lookup_side(_best_per_query(scored), "match-best")
+    numbers = lookup_side(weighed.select("query_set", "query_no"), "match-numbers")
+    items = asked.select("item_id", F.col("set_id").alias("query_set")).join(numbers, "query_set")
+    return items.join(best, "query_no").select("item_id", "doc_id", "score", "total", "ambiguous_match")
 
-    postings = documents.select(F.col("set_id").alias("doc_set"), F.explode("words").alias("word"))
-    probes = weighed.select("query_set", F.explode("probes").alias("word"))
-    pairs = (
-        postings.join(broadcast_if_small(probes), "word")
-        .select("query_set", "doc_set")
-        .distinct()
-    )
-    scored = (
-        pairs.join(weighed.select("query_set", "weighted", "total"), "query_set")
-        .join(
-            documents.select(F.col("set_id").alias("doc_set"), "doc_id", "copies", "words"),
-            "doc_set",
-        )
-        .select("query_set", "doc_id", "copies", "total", _evaluated_once(_shared_weight()).alias("score"))
+
+def _bounded_pairs(weighed: DataFrame, documents: DataFrame, percent_above: int) -> DataFrame:
+    """Pairs that share a probe, with the most they can score, where that is above the threshold.
+
+    All probes are looked up, so a pair lacks every probe it was not found by, and can share at
+    most all other words.
+    """
+    postings = documents.select("doc_no", F.explode("words").alias("word"))
+    probes = weighed.select("query_no", F.inline("probes"))
+    found = postings.join(broadcast_if_small(written(probes, "match-probes")), "word")
+    shared = found.groupBy("query_no", "doc_no").agg(F.sum("weight").alias("shared"))
+    known = broadcast_if_small(weighed.select("query_no", "total", "probed"))
+    bound = F.col("total") - F.col("probed") + F.col("shared")
+    bounded = shared.join(known, "query_no").select("query_no", "doc_no", bound.alias("bound"), "total")
+    return bounded.where(F.col("bound") * 100 > F.col("total") * percent_above).drop("total")
+
+
+def _scored(pairs: DataFrame, weighed: DataFrame, documents: DataFrame, percent_above: int) -> DataFrame:
+    """Full scores of pairs, where they are above the threshold: word lists travel only with these."""
+    listed = documents.select("doc_no", "doc_id", "copies", "words")
+    return (
+        pairs.select("query_no", "doc_no")
+        .join(weighed.select("query_no", "weighted", "total"), "query_no")
+        .join(listed, "doc_no")
+        .select("query_no", "doc_id", "copies", "total", _evaluated_once(_shared_weight()).alias("score"))
         .where(F.col("score") * 100 > F.col("total") * percent_above)
     )
-    best = lookup_side(_best_per_query(scored), "match-best")
-    return asked.select("item_id", F.col("set_id").alias("query_set")).join(best, "query_set").select(
-        "item_id", "doc_id", "score", "total", "ambiguous_match"
-    )
 
 
 def _shared_weight() -> Column:
@@ -168,11 +232,13 @@ def _weighed_queries(asked: DataFrame, documents: DataFrame, percent_above: int)
     total = F.sum("weight").over(Window.partitionBy("query_set"))
     ranked = weighted.select("*", up_to.alias("up_to"), total.alias("total"))
     is_probe = F.col("up_to") * 100 > F.col("total") * percent_above
-    return ranked.groupBy("query_set").agg(
+    grouped = ranked.groupBy("query_set").agg(
         F.collect_list(F.struct("word", "weight")).alias("weighted"),
         F.any_value("total").alias("total"),
-        F.collect_list(F.when(is_probe, F.col("word"))).alias("probes"),
+        F.collect_list(F.when(is_probe, F.struct("word", "weight"))).alias("probes"),
+        F.coalesce(F.sum(F.when(is_probe, F.col("weight"))), F.lit(0)).alias("probed"),
     )
+    return grouped.select(F.monotonically_increasing_id().alias("query_no"), "*")
 
 
 def _best_per_query(scored: DataFrame) -> DataFrame:
@@ -180,14 +246,14 @@ def _best_per_query(scored: DataFrame) -> DataFrame:
 
     Counting by score first keeps the second level to one row per query and score.
     """
-    per_score = scored.groupBy("query_set", "score", "total").agg(
+    per_score = scored.groupBy("query_no", "score", "total").agg(
         F.min("doc_id").alias("doc_id"), F.sum("copies").alias("n_docs")
     )
-    order = Window.partitionBy("query_set").orderBy(F.col("score").desc())
+    order = Window.partitionBy("query_no").orderBy(F.col("score").desc())
     return (
         per_score.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") == 1)
-        .select("query_set", "doc_id", "score", "total", (F.col("n_docs") > 1).alias("ambiguous_match"))
+        .select("query_no", "doc_id", "score", "total", (F.col("n_docs") > 1).alias("ambiguous_match"))
     )
 
 

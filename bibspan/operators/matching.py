@@ -58,6 +58,18 @@ def in_meta(
     return label_type_codes(kept, labels, "iris_type")
 
 
+def in_parsed_meta(
+    parsed: DataFrame, pids: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """`in_meta` from records that have been parsed and written before."""
+    if measured_bytes(pids) <= limit:
+        matched = parsed.join(F.broadcast(pids), "id", "inner")
+    else:
+        matched = best_candidates(parsed).join(pids, "id", "inner")
+    kept = one_record_per_pid(matched).withColumnRenamed("type", "meta_type")
+    return label_type_codes(kept, labels, "iris_type")
+
+
 def best_candidates(parsed: DataFrame) -> DataFrame:
     """The few records per id that can win, before the item's type is known.
 

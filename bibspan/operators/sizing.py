@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspan.session import fresh_folder
+from bibspan.sources.sinks import publish
 
 # Largest side shipped to every executor.  Beyond it joins are shuffled.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -38,11 +39,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table and read it back: cuts the lineage and gives exact statistics.
 
-    Without a folder of its own the table goes to the shared folder, so that it is
+    With a folder it becomes the current version of the table of that name there.  Without
+    one the table goes to the shared folder, so that it is
     there for every executor, also after one is lost.
     """
     spark = df.sparkSession
-    path = f"{folder}/{name}" if folder else fresh_folder(spark, name)
+    if folder:
+        return spark.read.schema(df.schema).parquet(publish(df, f"{folder}/{name}"))
+    path = fresh_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,14 +69,15 @@ def type_breakdown_long(breakdown: DataFrame) -> DataFrame:
     return breakdown.select("meta_type", "count", F.inline("iris_types"))
 
 
-def type_pivot(typed: DataFrame) -> DataFrame:
+def type_pivot(typed: DataFrame, types: list[str]) -> DataFrame:
     """Item types as columns over global types, missing pairs as 0.
 
-    The columns are the item types that occur; Spark refuses more than
-    spark.sql.pivotMaxValues of them.
+    The columns are the stated types, those of the type dictionary, whether they occur or not;
+    so no job has to find them and any number of them will do.
     """
     per_pair = groups.count_by(typed, "meta_type", "iris_type", name="iris_count")
-    return per_pair.groupBy("meta_type").pivot("iris_type").sum("iris_count").na.fill(0)
+    counts = [F.coalesce(F.sum(F.when(F.col("iris_type") == t, F.col("iris_count"))), F.lit(0)).alias(t) for t in types]
+    return per_pair.groupBy("meta_type").agg(*counts)
 
 
 def type_share(typed: DataFrame) -> DataFrame:
