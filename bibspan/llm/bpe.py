@@ -155,16 +155,22 @@ class FragmentBpe:
         """Ids of some texts; what is new in any of them is learnt at once."""
         if len(self.ids) > self.remembered or len(self.word_ids) > REMEMBERED_WORDS or self.learnt > REMEMBERED_BYTES:
             self.forget()
-        cut = [self.fragments(text) for text in texts]
-        new = set().union(*[f for f in cut if f]).difference(self.ids)
+        cut, found, new = [self.fragments(text) for text in texts], [], set()
+        for own in cut:
+            ids = list(map(self.ids.get, own or ()))
+            if None in ids:
+                new.update(fragment for fragment, known in zip(own, ids) if known is None)
+                ids = None
+            found.append(ids)
         if new:
             self.learnt += sum(map(len, new))
             self._learn(list(new))
-        ids = self.ids.__getitem__
-        return [
-            np.frombuffer(self._library(text) if own is None else b"".join(map(ids, own)), dtype=np.uint16)
-            for text, own in zip(texts, cut)
+        ids_of = self.ids.__getitem__
+        raw = [
+            self._library(text) if own is None else b"".join(map(ids_of, own) if ids is None else ids)
+            for text, own, ids in zip(texts, cut, found)
         ]
+        return [np.frombuffer(x, dtype=np.uint16) for x in raw]
 
     def forget(self) -> None:
         self.ids.clear()

@@ -120,30 +120,28 @@ def unpacked(blocks: list[bytes], marks: list[bytes], sizes: np.ndarray, table:
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
+TOKENS = "doc_id long, ids binary, id array<int>, n array<long>"
+
+
 def _tokens(shared, end_id: int):
+    """Ids of every text, and at the end of a task one row without: how often each id has come."""
+
     def encode(batches):
         bpe, end = tokenizer(ByteBpe, shared.value), np.array([end_id], dtype=np.uint16).tobytes()
+        total, none = np.zeros(1 << MAX_BITS, dtype=np.int64), (pa.list_(pa.int32()), pa.list_(pa.int64()))
         for batch in pieces(batches):
             found = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             ids = [x.tobytes() + end for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            total += np.bincount(np.frombuffer(b"".join(ids), np.uint16), minlength=len(total))
+            columns = [batch.column("doc_id"), pa.array(ids, pa.binary()), *(pa.nulls(len(ids), kind) for kind in none)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "id", "n"])
+        some = np.flatnonzero(total)
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([some.tolist()], none[0]), pa.array([total[some].tolist()], none[1])]
+        yield pa.RecordBatch.from_arrays(last, names=["doc_id", "ids", "id", "n"])
 
     return encode
 
 
-def _counting(batches):
-    total = np.zeros(1 << MAX_BITS, dtype=np.int64)
-    for batch in batches:
-        for ids in batch.column("ids"):
-            total += np.bincount(np.frombuffer(ids.as_buffer(), np.uint16), minlength=1 << MAX_BITS) if len(
-                ids.as_buffer()
-            ) > 1 << 18 else 0
-        small = b"".join([x for x in batch.column("ids").to_pylist() if len(x) <= 1 << 18])
-        total += np.bincount(np.frombuffer(small, np.uint16), minlength=1 << MAX_BITS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": some.astype(np.int32), "n": total[some]})
-
-
 def _groups(batch, sizes: np.ndarray):
     """Slices of a batch with about as many ids as are worked on at once."""
     ends, start = np.cumsum(sizes), 0
@@ -220,10 +218,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         shared = spark.sparkContext.broadcast(file.read())
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scratch = fresh_folder(spark, "token-ids")
-    tokens = docs.mapInArrow(_tokens(shared, end_id), "doc_id long, ids binary")
-    tokens.write.option("compression", "zstd").parquet(scratch)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(scratch)
-    counted = tokens.select("ids").mapInArrow(_counting, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    docs.mapInArrow(_tokens(shared, end_id), TOKENS).write.option("compression", "zstd").parquet(scratch)
+    found = spark.read.schema(TOKENS).parquet(scratch)
+    tokens = found.where("ids is not null").select("doc_id", "ids")
+    counted = found.where("id is not null").select(F.inline(F.arrays_zip("id", "n"))).groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << MAX_BITS, dtype=np.int64)
     for row in counted.collect():
         counts[row["id"]] = row["n"]
@@ -233,7 +231,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     # The ranges come from the ids of documents alone, so texts are packed once and shuffled packed.
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(k / n_shards) for k in range(1, n_shards)]) if n_shards > 1 else F.array(F.lit(1.0))
-    edges = tokens.agg(F.percentile_approx("doc_id", shares, 10 * n_shards).alias("edges")).first()["edges"]
+    edges = found.agg(F.percentile_approx("doc_id", shares, 10 * n_shards).alias("edges")).first()["edges"]
     edges = np.unique(np.array(edges or [], dtype=np.int64))
     shared = spark.sparkContext.broadcast((lengths, edges))
     blocks = tokens.mapInArrow(_packing(shared), "shard int, " + BLOCK)
