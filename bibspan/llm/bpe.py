@@ -73,10 +73,9 @@ class Words:
     def encode(self, words: list[str], at_once: int = 500) -> list[bytes]:
         """Ids of words of Latin-1 letters; a space before them belongs to them."""
         groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
-        lines = [" ".join(group).translate(self.letters | {32: " "}) for group in groups]
-        if not self.last:
-            # Every word has a space before it, which is a letter of its own in the vocabulary.
-            lines = [" ".join([w.translate(self.letters) for w in group]) for group in groups]
+        # In a vocabulary without suffix every word has a space before it, which is a letter of its own there.
+        letters, between = (self.letters | {32: " "}, " ") if self.last else (self.letters | {10: " "}, "\n")
+        lines = [between.join(group).translate(letters) for group in groups]
         found = []
         for group, line in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(line.ids, dtype=np.uint16)
@@ -283,6 +282,8 @@ class ByteBpe(FragmentBpe):
 
     Texts of ASCII and Latin letters are cut into the pieces that the vocabulary's published
     pattern parts, between which nothing is merged; other texts are left to the library whole.
+    Many texts are cut at once, by the kinds of neighbouring bytes, and only the different
+    pieces among them are looked up.
     """
 
     simple = re.compile(f" {LATIN}+")
@@ -297,14 +298,110 @@ class ByteBpe(FragmentBpe):
             return None
         return self.pieces.findall(text)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of some texts; what is new in any of them is learnt at once."""
+        if len(self.ids) > self.remembered or self.learnt > REMEMBERED_BYTES:
+            self.forget()
+        own = [text.encode() for text in texts]
+        special = [s.encode() for s in self.special]
+        raw, ends = _laid_out(own)
+        clear = ~_any_within(_unclear_bytes(raw), ends)
+        if any(s in raw.tobytes() for s in special):
+            clear &= np.array([not any(s in text for s in special) for text in own], dtype=bool)
+        if not clear.all():
+            raw, ends = _laid_out([text for text, fine in zip(own, clear) if fine])
+        cut = iter(self._cut_and_encoded(raw, ends))
+        return [next(cut) if fine else np.frombuffer(self._library(text), np.uint16) for text, fine in zip(texts, clear)]
+
+    def _cut_and_encoded(self, raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        starts = piece_starts(raw, ends)
+        borders = np.append(starts, len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(raw)]).dictionary_encode()
+        which, different = found.indices.to_numpy(), found.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.ids.get, different))
+        if None in known:
+            new = [f for f, ids in zip(different, known) if ids is None]
+            self.learnt += sum(map(len, new))
+            self._learn(new)
+            known = [self.ids[f] if ids is None else ids for f, ids in zip(different, known)]
+        sizes = np.array(list(map(len, known)), dtype=np.int64) // 2
+        flat, first = np.frombuffer(b"".join(known), np.uint16), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        until = np.concatenate(([0], np.cumsum(lengths)))
+        ids = flat[np.repeat(first[which] - until[:-1], lengths) + np.arange(until[-1])]
+        return np.split(ids, until[np.searchsorted(starts, ends)][:-1]) if len(ends) else []
+
     def _learn(self, fragments: list[str]) -> None:
         words = [f for f in fragments if self.simple.fullmatch(f)]
         self.ids.update(zip(words, self.words.encode(words)))
         rest = [f for f in fragments if f not in self.ids]
-        for fragment, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+        for fragment, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False) if rest else []):
             self.ids[fragment] = np.array(found.ids, dtype=np.uint16).tobytes()
 
 
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end, and where each ends."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.array(list(map(len, texts)), dtype=np.int64))
+
+
+def _any_within(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each text whether a byte of it is flagged."""
+    at = np.flatnonzero(flags)
+    return np.diff(np.searchsorted(at, ends), prepend=0) > 0
+
+
+# Kinds of bytes in texts of ASCII and Latin letters.
+_SIGN, _LETTER, _DIGIT, _SPACE, _UNKNOWN = range(5)
+_KINDS = np.full(256, _UNKNOWN, dtype=np.uint8)
+_KINDS[0x21:0x7F] = _SIGN
+_KINDS[[b for b in range(256) if chr(b).isascii() and chr(b).isalpha()]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+# U+00C0 to U+00FF begin with this byte; the signs of times and division among them are told apart below.
+_KINDS[0xC3] = _KINDS[0x80:0xC0] = _LETTER
+
+
+def _unclear_bytes(raw: np.ndarray) -> np.ndarray:
+    """Bytes that no text of ASCII and Latin letters has."""
+    flags = _KINDS[raw] == _UNKNOWN
+    after = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    flags[1:] |= after
+    return flags
+
+
+def piece_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of clear texts start, as `ByteBpe.pieces` parts them.
+
+    A piece is a run of one kind.  The last of some white space before anything else is parted from
+    the rest of it and, if it is a space, joined to what follows.
+    """
+    n = len(raw)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    kind = _KINDS[raw]
+    white = kind == _SPACE
+    before_other = np.zeros(n, dtype=bool)
+    before_other[:-1] = ~white[1:]
+    before_other[ends[ends > 0] - 1] = False
+    start = np.ones(n, dtype=bool)
+    joined = white[:-1] & (raw[:-1] == 0x20) & ~white[1:]
+    start[1:] = np.where(white[1:] & white[:-1], before_other[1:], (kind[1:] != kind[:-1]) & ~joined)
+    begins = np.concatenate(([0], ends))
+    start[begins[begins < n]] = True
+    marks = np.flatnonzero((raw == 0x27) & start)
+    room = ends[np.searchsorted(ends, marks, side="right")] - marks
+    follows = np.concatenate((raw, np.zeros(2, np.uint8)))
+    one, two = follows[marks + 1], follows[marks + 2]
+    short = (room > 1) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = np.zeros(len(marks), dtype=bool)
+    for a, b in (b"re", b"ve", b"ll"):
+        long |= (room > 2) & (one == a) & (two == b)
+    start[marks[short | long] + 1] = False
+    after = np.concatenate((marks[short] + 2, marks[long] + 3))
+    start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
 def tokenizer(kind, path_text: str):
     """The worker's tokenizer of a kind, made once from its JSON text."""
     made = worker_state("bpe/tokenizers")

@@ -22,6 +22,7 @@ from bibspan.session import fresh_folder
 MAX_BITS = 16
 CHECKPOINT = 256
 _IDS_AT_ONCE = 1 << 18
+_TEXT_AT_ONCE = 1 << 21
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -129,7 +130,7 @@ def _tokens(shared, end_id: int):
     def encode(batches):
         bpe, end = tokenizer(ByteBpe, shared.value), np.array([end_id], dtype=np.uint16).tobytes()
         total, none = np.zeros(1 << MAX_BITS, dtype=np.int64), (pa.list_(pa.int32()), pa.list_(pa.int64()))
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=_TEXT_AT_ONCE):
             found = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             ids = [x.tobytes() + end for x in found]
             total += np.bincount(np.frombuffer(b"".join(ids), np.uint16), minlength=len(total))

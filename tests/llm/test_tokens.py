@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from bibspan.llm.bpe import ByteBpe, WordBpe, decode_ids, encode_texts, load
+from bibspan.llm.bpe import ByteBpe, WordBpe, decode_ids, encode_texts, load, piece_starts
 from bibspan.llm.token_files import canonical, code_lengths, packed, read_token_files, unpacked, write_token_files
 
 PATHS = {WordBpe: public_tokenizers.path("word_bpe_49k.json"), ByteBpe: public_tokenizers.path("byte_bpe_50k.json")}
@@ -33,6 +33,17 @@ def test_fragments_give_the_ids_of_the_text(kind):
     assert bpe.encode("The quick").tolist() == library.encode("The quick", add_special_tokens=False).ids
 
 
+def test_pieces_of_many_texts_are_those_of_the_pattern():
+    rng, signs = random.Random(5), [*"ab st'rvemld' \n\t\r  09.,!éÿÀ<|", "'ll", "'re", "'s ", " '", "\n\n"]
+    for _ in range(500):
+        some = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(rng.randint(0, 8))]
+        raw = "".join(some).encode()
+        ends = np.cumsum(np.array([len(t.encode()) for t in some], dtype=np.int64))
+        starts = piece_starts(np.frombuffer(raw, np.uint8), ends).tolist()
+        found = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)])]
+        assert found == [piece for text in some for piece in ByteBpe.pieces.findall(text)], some
+
+
 def test_forced_boundaries():
     with open(PATHS[WordBpe], encoding="utf-8") as file:
         bpe = WordBpe(file.read())
