@@ -10,6 +10,8 @@ Options
     member   name pattern of the members to read, default `*.csv`; a pattern without a
              slash is compared with the last part of the member's name
     format   zip, tar or auto (by file name)
+    inner    file, first byte and length of ZIP archives that other files hold as they are, as JSON: these are read
+             in place, with or without a path
     keep     conditions on columns, as JSON: rows that do not meet them all are dropped in the reader
 
 All fields are read as text: an unquoted empty field is NULL, a quoted one is ''.
@@ -34,6 +36,7 @@ import fnmatch
 import io
 import json
 import posixpath
+import struct
 import sys
 import tarfile
 import zipfile
@@ -75,13 +78,17 @@ COMPRESSED_TAR_SUFFIXES = (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".
 
 @dataclass
 class Member(InputPartition):
-    """One CSV member, of a ZIP by its place in the listing, of a TAR by its bytes; a compressed TAR is one partition."""
+    """One CSV member, of a ZIP by its place in the listing, of a TAR by its bytes; a compressed TAR is one partition.
+
+    `inside` is the range of bytes of the archive, if it stands within another.
+    """
 
     path: str
     kind: str
     place: int = 0
     offset: int = 0
     size: int = 0
+    inside: tuple[int, int] | None = None
 
 
 class ArchiveCsvSource(DataSource):
@@ -98,32 +105,34 @@ class ArchiveCsvSource(DataSource):
 
 class ArchiveCsvReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
-        if "path" not in options:
+        self.path = options.get("path")
+        self.inner = json.loads(options.get("inner", "[]"))
+        if not (self.path or self.inner):
             raise ValueError("archive_csv needs a path")
-        self.path = options["path"]
         self.pattern = options.get("member", "*.csv")
         self.kind = options.get("format", "auto")
         self.columns = columns
         self.filters: list[Filter] = [asked(*given) for given in json.loads(options.get("keep", "[]"))]
 
     def partitions(self) -> list[Member]:
-        archives = archives_at(self.path)
+        archives = [(file, (begin, length)) for file, begin, length in self.inner]
+        archives += [(name, None) for name in (archives_at(self.path) if self.path else ())]
         with ThreadPoolExecutor(LISTING_THREADS) as pool:
-            listed = list(pool.map(self._members, archives))
+            listed = list(pool.map(self._members, *zip(*archives))) if archives else []
         found = [member for members in listed for member in members]
         if not found:
-            raise FileNotFoundError(f"no member {self.pattern} in {self.path}")
+            raise FileNotFoundError(f"no member {self.pattern} in {self.path or self.inner[0][0]}")
         return found
 
-    def _members(self, archive: str) -> list[Member]:
+    def _members(self, archive: str, inside: tuple[int, int] | None) -> list[Member]:
         kind = archive_kind(archive) if self.kind == "auto" else self.kind
         if kind == "compressed-tar" or (kind == "tar" and not is_plain_tar(archive)):
             return [Member(archive, "compressed-tar")]
-        with open_file(archive) as file:
+        with open_file(archive, inside) as file:
             if kind == "zip":
                 with zipfile.ZipFile(file) as z:
                     return [
-                        Member(archive, "zip", place)
+                        Member(archive, "zip", place, inside=inside)
                         for place, i in enumerate(z.infolist())
                         if not i.is_dir() and self._wanted(i.filename)
                     ]
@@ -163,7 +172,7 @@ class ArchiveCsvReader(DataSourceReader):
 @contextlib.contextmanager
 def opened(member: Member):
     """The content of a member as a stream."""
-    with open_file(member.path) as file:
+    with open_file(member.path, member.inside) as file:
         if member.kind == "zip":
             with zipfile.ZipFile(file) as z, z.open(z.infolist()[member.place]) as content:
                 yield content
@@ -404,10 +413,55 @@ class RandomAccessFile(io.RawIOBase):
         super().close()
 
 
-def open_file(path: str) -> io.BufferedReader:
+class Range(io.RawIOBase):
+    """A range of bytes of an open file, as a file of its own."""
+
+    def __init__(self, file: io.RawIOBase, begin: int, length: int):
+        self.file, self.begin, self.length, self.at = file, begin, length, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        at = offset + (0, self.at, self.length)[whence]
+        if at < 0:
+            raise OSError("before the start of the range")
+        self.at = at
+        return at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        wanted = min(len(buffer), max(self.length - self.at, 0))
+        self.file.seek(self.begin + self.at)
+        found = self.file.readinto(memoryview(buffer)[:wanted]) if wanted else 0
+        self.at += found
+        return found
+
+    def close(self) -> None:
+        if not self.closed:
+            self.file.close()
+        super().close()
+
+
+def open_file(path: str, inside: tuple[int, int] | None = None) -> io.BufferedReader:
     filesystem, name = filesystem_of(path)
     raw = RandomAccessFile(filesystem.open_input_file(name))
-    return io.BufferedReader(raw, READ_BYTES)
+    return io.BufferedReader(Range(raw, *inside) if inside else raw, READ_BYTES)
+
+
+def stored_range(file, info: zipfile.ZipInfo) -> tuple[int, int] | None:
+    """Where a member stands in its archive as it is; None if it is compressed or encrypted."""
+    if info.compress_type != zipfile.ZIP_STORED or info.flag_bits & 1:
+        return None
+    file.seek(info.header_offset)
+    # The header of a member ends with the lengths of its name and of an extra field, which follow.
+    name, extra = struct.unpack("<26xHH", file.read(30))
+    return info.header_offset + 30 + name + extra, info.file_size
 
 
 def archives_at(path: str) -> list[str]:

@@ -77,21 +77,23 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_archive(
     spark: SparkSession,
-    path: str,
+    path: str | None,
     schema: str,
     member: str = "*.csv",
     kind: str = "auto",
     columns: tuple[str, ...] | None = None,
     keep: tuple = (),
+    inner: tuple[tuple[str, int, int], ...] = (),
 ) -> DataFrame:
-    """CSV members of one archive or of a folder of archives.
+    """CSV members of one archive or of a folder of archives, and of `inner` ZIPs: file, first byte and length.
 
     With `columns` only these are converted.  `keep` has conditions on them as texts, such as
     ("type", "=", "book") or ("pub_date", "starts with", "19"); rows that do not meet them all are
     dropped in the reader, before they come to Spark.
     """
-    require(path)
-    if kind == "auto":
+    if path:
+        require(path)
+    if path and kind == "auto":
         for name in archive.archives_at(path):
             archive.archive_kind(name)
     spark.dataSource.register(archive.ArchiveCsvSource)
@@ -99,12 +101,13 @@ def read_archive(
     schema, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields]
     as_text = StructType([StructField(n, StringType()) for n in names])
     raw = (
-        spark.read.format("archive_csv")
+        (spark.read.option("path", path) if path else spark.read)
+        .format("archive_csv")
         .schema(as_text)
-        .option("path", path)
         .option("member", member)
         .option("format", kind)
         .option("keep", json.dumps(keep))
+        .option("inner", json.dumps(inner))
         .load()
     )
     return typed(raw, schema)
@@ -150,28 +153,36 @@ KEPT = {
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Citation dump: a folder of ZIP archives of CSV shards, or a ZIP of such archives."""
-    if path.lower().endswith(".zip") and _inner_archives(require(path)):
-        path = unpack_archives(spark, path, fresh_folder(spark, "unpacked"))
-    return read_archive(spark, path, schemas.INDEX)
+    """Citation dump: a folder of ZIP archives of CSV shards, or a ZIP of such archives.
 
+    Inner archives that are stored as they are are read where they stand; only compressed ones are copied.
+    """
+    found = _inner_archives(require(path)) if path.lower().endswith(".zip") else []
+    if not found:
+        return read_archive(spark, path, schemas.INDEX)
+    stored = tuple((path, *range_) for _, _, range_ in found if range_)
+    compressed = [(place, name) for place, name, range_ in found if not range_]
+    folder = _copied(spark, path, compressed, fresh_folder(spark, "unpacked")) if compressed else None
+    return read_archive(spark, folder, schemas.INDEX, inner=stored)
 
-def _inner_archives(outer: str) -> list[tuple[int, str]]:
-    """Places and names of the ZIP members of a ZIP."""
-    filesystem, name = archive.filesystem_of(outer)
-    with filesystem.open_input_file(name) as file, zipfile.ZipFile(file) as z:
-        return [(k, i.filename) for k, i in enumerate(z.infolist()) if i.filename.lower().endswith(".zip")]
 
+def _inner_archives(outer: str) -> list[tuple[int, str, tuple[int, int] | None]]:
+    """Places and names of the ZIP members of a ZIP, and where those that are stored stand."""
+    with archive.open_file(outer) as file, zipfile.ZipFile(file) as z:
+        inner = [(k, i) for k, i in enumerate(z.infolist()) if i.filename.lower().endswith(".zip")]
+        return [(k, i.filename, archive.stored_range(file, i)) for k, i in inner]
 
-def unpack_archives(spark: SparkSession, outer: str, folder: str) -> str:
-    """Copy the inner archives of an outer ZIP to a shared folder, one task per archive.
 
-    A task writes under a name of its own and renames at the end, so a repeated task
-    does no harm.
-    """
+def unpack_archives(spark: SparkSession, outer: str, folder: str) -> str:
+    """Copy the inner archives of an outer ZIP to a shared folder, one task per archive."""
     inner = _inner_archives(require(outer))
     if not inner:
         raise ValueError(f"no archive in {outer}")
+    return _copied(spark, outer, [(place, name) for place, name, _ in inner], folder)
+
+
+def _copied(spark: SparkSession, outer: str, inner: list[tuple[int, str]], folder: str) -> str:
+    """A task writes under a name of its own and renames at the end, so a repeated task does no harm."""
     names = spark.createDataFrame(inner, "place int, name string")
     spread = names.repartition(len(inner))
     copied = spread.mapInArrow(unpacking.copier(outer, folder), "place int, name string")

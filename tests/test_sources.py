@@ -93,6 +93,34 @@ def test_inner_archives_of_equal_name_stay_apart(spark, tmp_path):
         tables.unpack_archives(spark, str(tmp_path / "plain.zip"), str(tmp_path / "none"))
 
 
+def test_stored_inner_archives_are_read_in_place(spark, tmp_path, monkeypatch):
+    """Stored and compressed inner archives side by side, one with bytes before it; only compressed ones are copied."""
+    copied = []
+    monkeypatch.setattr(tables, "_copied", lambda *given, made=tables._copied: copied.extend(n for _, n in given[2]) or made(*given))
+    rows = {n: "".join(f"{n}-{k},omid:br/{k},omid:br/2\n" for k in range(2_000)) for n in "abcd"}
+    for n, text in rows.items():
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("x.csv", "id,citing,cited\n" + text[: len(text) // 2].rpartition("\n")[0] + "\n")
+            z.writestr("y.csv", "id,citing,cited\n" + text[len(text[: len(text) // 2].rpartition("\n")[0]) + 1 :])
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    kinds = {"a": zipfile.ZIP_STORED, "b": zipfile.ZIP_STORED, "c": zipfile.ZIP_DEFLATED, "d": zipfile.ZIP_STORED, "none": zipfile.ZIP_STORED}
+
+    def read(names, outer):
+        copied.clear()
+        with zipfile.ZipFile(tmp_path / outer, "w") as z:
+            z.writestr("readme.txt", "no")
+            for n in names:
+                z.writestr(f"deep/{n}.zip", (b"before" if n == "d" else b"") + (tmp_path / f"{n}.zip").read_bytes(), kinds[n])
+        found = tables.read_index(spark, str(tmp_path / outer))
+        return sorted(r["id"] for r in found.collect()), list(copied), found.rdd.getNumPartitions()
+
+    want = lambda names: sorted(f"{n}-{k}" for n in names for k in range(2_000))
+    assert read(["a", "none", "b", "d"], "stored.zip") == (want("abd"), [], 6)
+    assert read(["a", "b", "c"], "both.zip") == (want("abc"), ["deep/c.zip"], 6)
+    assert read(["c", "none"], "compressed.zip") == (want("c"), ["deep/c.zip"], 2)
+
+
 def test_repository_table_is_one_member_only(spark, tmp_path):
     text = b"ITEM_ID,LAN_ISO\n%d,ita\n"
     name = "ODS_L1_IR_ITEM_LANGUAGE.csv"
