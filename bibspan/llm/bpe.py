@@ -158,17 +158,16 @@ class FragmentBpe:
         for own in cut:
             ids = list(map(self.ids.get, own or ()))
             if None in ids:
-                new.update(fragment for fragment, known in zip(own, ids) if known is None)
-                ids = None
+                new.update([fragment for fragment, known in zip(own, ids) if known is None])
             found.append(ids)
         if new:
             self.learnt += sum(map(len, new))
             self._learn(list(new))
-        ids_of = self.ids.__getitem__
-        raw = [
-            self._library(text) if own is None else b"".join(map(ids_of, own) if ids is None else ids)
-            for text, own, ids in zip(texts, cut, found)
-        ]
+            # What was known is not looked up again.
+            for own, ids in zip(cut, found):
+                if None in ids:
+                    ids[:] = [self.ids[fragment] if known is None else known for fragment, known in zip(own, ids)]
+        raw = [self._library(text) if own is None else b"".join(ids) for text, own, ids in zip(texts, cut, found)]
         return [np.frombuffer(x, dtype=np.uint16) for x in raw]
 
     def forget(self) -> None:
@@ -200,15 +199,21 @@ class WordBpe(FragmentBpe):
         """The places between two lower-case letters whose bytes stand next to each other in no token."""
         letters = [c for c in map(chr, range(256)) if re.fullmatch(LATIN, c) and c == c.lower()]
         ways = []
+        self.apart = np.zeros((256, 256), dtype=bool)
         for a in letters:
             apart = "".join(b for b in letters if (a.encode()[-1], b.encode()[0]) not in self.joined)
+            self.apart[ord(a), [ord(b) for b in apart]] = True
             if apart:
                 ways.append(f"(?<={a})(?=[{apart}])")
         return re.compile("|".join(ways) or r"(?!)")
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of lower-case Latin letters, each cut at its forced pairs."""
-        parts = [self.cuts.split(word) for word in words]
+        # All pairs of letters are looked up at once; only words that have a forced pair are cut one by one.
+        codes = np.frombuffer(" ".join(words).encode("latin-1"), np.uint8)
+        at = np.flatnonzero(self.apart[codes[:-1], codes[1:]])
+        cut = set(np.searchsorted(np.flatnonzero(codes == 32), at).tolist())
+        parts = [self.cuts.split(word) if k in cut else [word] for k, word in enumerate(words)]
         tails = list({p[-1] for p in parts}.difference(self.word_ids))
         known = dict(zip(tails, self.words.encode(tails)))
         self._learn_heads({h for p in parts for h in p[:-1]})
