@@ -313,3 +313,43 @@ def test_rejected_isbns_exist(data):
 def test_parsed_records_give_the_same_matches(data):
     for limit in (0, 1 << 26):
         assert rows(matching.in_parsed_meta(data.parsed_meta, data.pids, data.labels, limit)) == rows(data.in_meta)
+
+
+def _many_to_many(spark, n):
+    """As many items as records of one title, out of one task each."""
+    items = spark.range(0, n, 1, 1).select(F.col("id").alias("ITEM_ID"), F.lit("a title of all").alias("TITLE"))
+    meta = spark.range(0, n, 1, 1).select(
+        F.concat(F.lit("omid:br/0"), "id", F.lit(" doi:10.1/"), "id").alias("id"), F.lit("a title of all").alias("title"),
+        F.lit("book").alias("type"), F.lit("2020").alias("pub_date"),
+    )
+    return items, meta
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_pairs_of_one_title_in_lists(spark, limit, no_auto_broadcast):
+    """More items than one list holds, an item without id, and repeated rows: every pair, as often as it is."""
+    items = spark.sql("select if(id = 7, null, id div 2) as ITEM_ID, 'a title of all' as TITLE from range(3000)")
+    parsed = spark.sql("select 'doi:1' as id, 'a title of all' as title, 'book' as type, 'omid:' || (id div 2) as omid from range(4)")
+    found = linkage.title_match(items, parsed, limit)
+    assert found.columns == ["title", "omid", "id", "type", "iris_id"]
+    joined = items.selectExpr("TITLE as title", "ITEM_ID as iris_id").join(parsed, "title").select(*found.columns)
+    assert found.count() == 12_000 and not found.exceptAll(joined).count()
+
+
+def test_pairs_are_made_by_many_tasks(spark):
+    items, meta = _many_to_many(spark, 2000)
+    found = linkage.title_match(items, matching.parse_meta(meta))
+    assert found.rdd.getNumPartitions() >= min(8, spark.sparkContext.defaultParallelism)
+
+
+def test_resumed_matches_are_saved_without_their_pairs(spark, monkeypatch):
+    from bibspan.fixtures import queries
+
+    items, meta = _many_to_many(spark, 200)
+    d = datasets.Datasets(spark, {"meta": meta})
+    d._made["untraced_titles"] = items
+    d._made["clean_no_id"] = items.union(spark.sql("select 999L, 'one without a match'"))
+    saved, append = [], queries.sinks.append_results
+    monkeypatch.setattr(queries.sinks, "append_results", lambda df, path: (saved.append(df.count()), append(df, path)))
+    assert queries.PLANS["resume_unprocessed"](d).collect() == [(999, "one without a match")]
+    assert sum(saved) == 400
