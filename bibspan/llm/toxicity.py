@@ -512,13 +512,36 @@ def _scoring(shared, name: str):
     return score
 
 
+def _training(share: float):
+    def fitted(batches):
+        worker_state("toxicity/none")
+        rows = sorted(
+            (text or "", label)
+            for batch in batches
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist())
+        )
+        weights, bias, level, slopes, offset = train([t for t, _ in rows], [y for _, y in rows], share).plain()
+        yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "others": [[bias, level, offset, *slopes.tolist()]]})
+
+    return fitted
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> Model:
     """A model of `labels.toxic`, from at most `most` documents of each class outside the held-out quarter.
 
-    Without a toxic or a clean document the score is the share of toxic labels everywhere.
+    Without a toxic or a clean document the score is the share of toxic labels everywhere.  A task learns from the
+    sample, so the driver holds neither texts nor what learning takes, only the weights.
     """
-    rows = sorted((r["text"] or "", r["label"]) for r in training_rows(docs, labels, "toxic", most).collect())
-    return train([t for t, _ in rows], [y for _, y in rows], label_share(labels, "toxic"))
+    share = label_share(labels, "toxic")
+    sample = training_rows(docs, labels, "toxic", most).repartition(1)
+    learnt = sample.mapInArrow(_training(share), "weights binary, others array<double>").first()
+    if learnt is None:
+        return train([], [], share)
+    model = Model()
+    model.weights = np.frombuffer(learnt["weights"], np.float32)
+    model.bias, model.level, model.offset, *slopes = learnt["others"]
+    model.slopes = np.array(slopes)
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

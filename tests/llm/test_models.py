@@ -1,5 +1,6 @@
 """Quality and toxicity: accuracy on rows they have not learnt from, and rows of all kinds."""
 
+import os
 import zlib
 
 import numpy as np
@@ -142,3 +143,18 @@ def test_flat_trees_learn_a_corner():
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.3)).astype(float)
     trees = quality.train(x[:2000], y[:2000], np.ones(2000))
     assert (((quality.scores(x[2000:], *trees.plain()) > 0.5) == y[2000:]).mean()) > 0.97
+
+
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    """Neither the texts nor what learning takes are in the driver: its memory is what the check found too small."""
+
+    def train(texts, labels, share, model=toxicity.Model()):
+        model.bias, model.offset = float(__import__("os").getpid()), float(sum(labels) * 1000 + len(texts))
+        return model
+
+    monkeypatch.setattr(toxicity, "train", train)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    rows = training_rows(docs, labels, "toxic", 100).collect()
+    assert model.offset == sum(r["label"] for r in rows) * 1000 + len(rows) and model.bias != os.getpid()
