@@ -17,7 +17,8 @@ Exact, by prefixes and by relations between sets:
   is too low are skipped, those whose lower bound suffices are linked, and only the rest
   is compared set by set.
 
-Sets that are equal are one class from the start, whatever the number of copies.
+Sets that are equal are one class from the start, whatever the number of copies.  Classes are numbered:
+index lists, pairs and links carry the number, a third of the room of the 128 bits that name a set.
 """
 
 import math
@@ -198,7 +199,7 @@ def _full_sets(width: int):
             found = list(shingle_sets(batch, hasher, width))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(x) for x in found], pa.binary()), _lists([x.view(np.int64) for x in found], pa.int64())],
-                names=["k", "shingles"],
+                names=["key", "shingles"],
             )
 
     return describe
@@ -222,14 +223,15 @@ class SetJoin:
 
     def postings(self, classes: DataFrame, firsts: DataFrame) -> DataFrame:
         """Index entries of shingles that more than one class has, once for each class."""
-        ones = classes.where("k is not null").join(firsts.select("k", F.col("first").alias("_first")), "k")
+        named = classes.where("k is not null").withColumnRenamed("k", "key")
+        ones = named.join(firsts.select("key", "k", F.col("first").alias("_first")), "key")
         ones = ones.where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
         tokens = ones.select(F.explode("prefix").alias("token"))
         live = written(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "live")
         # Most shingles are in one set only; the bitmap keeps them from being shuffled once more.
         seen = self.context.broadcast(bitmap(live))
         few = ones.select("k", F.col("n").cast("int").alias("n"), "prefix")
-        entries = few.mapInArrow(_sieving(seen), "k binary, n int, pos int, token long")
+        entries = few.mapInArrow(_sieving(seen), "k long, n int, pos int, token long")
         return written(entries.join(live, "token"), "postings")
 
     def lists(self, postings: DataFrame) -> DataFrame:
@@ -249,11 +251,11 @@ class SetJoin:
 
     def sets_of(self, keys: DataFrame, firsts: DataFrame) -> DataFrame:
         """Whole sets of some classes, made anew from the text of their first document."""
-        reps = lookup_side(keys.distinct().join(firsts, "k").select("k", F.col("first").alias("doc_id")), "compared")
+        reps = lookup_side(keys.distinct().join(firsts, "k").select("k", "key", F.col("first").alias("doc_id")), "compared")
         ids = broadcast_if_small(reps.select(F.col("doc_id").alias("_id")).distinct())
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-        sets = texts.mapInArrow(_full_sets(self.width), "k binary, shingles array<long>")
-        return sets.join(reps.select("k"), "k", "left_semi")
+        sets = texts.mapInArrow(_full_sets(self.width), "key binary, shingles array<long>")
+        return sets.join(reps.select("key", "k"), "key").select("k", "shingles")
 
     def likely(self, pairs: DataFrame, classes: DataFrame, firsts: DataFrame) -> DataFrame:
         """Bounds of the overlaps of pairs (a, b) from the rarest shingles of either.
@@ -263,8 +265,8 @@ class SetJoin:
         larger set.
         """
         keys = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-        reps = lookup_side(keys.join(firsts, "k").select("k", F.col("first").alias("_first")), "paired")
-        rare = classes.join(reps, "k").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
+        reps = lookup_side(keys.join(firsts, "k").select("k", "key", F.col("first").alias("_first")), "paired")
+        rare = classes.withColumnRenamed("k", "key").join(reps, "key").where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
         one, two = rare.toDF("a", "na", "pa"), rare.toDF("b", "nb", "pb")
         both = two.join(broadcast_if_small(pairs), "b").join(one, "a")
         shared = F.size(F.array_intersect("pa", "pb"))
@@ -294,9 +296,8 @@ class SetJoin:
 
     def run(self) -> DataFrame:
         classes = self.classes()
-        firsts = written(
-            classes.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first")), "classes"
-        )
+        firsts = classes.where("k is not null").groupBy(F.col("k").alias("key")).agg(F.min("doc_id").alias("first"))
+        firsts = written(firsts.select("key", "first", F.monotonically_increasing_id().alias("k")), "classes")
         lists = self.lists(self.postings(classes, firsts))
         entry = F.struct("pos", "n", "k")
         pivots = lists.groupBy("token", "band").agg(F.min(entry).alias("p"), F.count("*").alias("c")).where("c > 1")
@@ -350,7 +351,7 @@ class SetJoin:
         rooted = firsts.join(groups.toDF("k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
         rooted = written(rooted, "rooted")
         least = lookup_side(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-        named = lookup_side(rooted.join(least, "root").select("k", "component_id"), "named")
+        named = lookup_side(rooted.join(least, "root").select(F.col("key").alias("k"), "component_id"), "named")
         return classes.select("doc_id", "n", "k").join(named, "k", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         )

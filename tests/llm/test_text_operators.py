@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from bibspan.llm import set_join
 from bibspan.llm.common import utf8
 from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.line_dedup import aligned, without_repeated_blocks
@@ -188,3 +189,16 @@ def test_contained_windows_of_nothing(spark):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     assert contained_windows(made(spark, []), items).count() == 0
     assert hit_report(contained_windows(made(spark, [(1, "short item")]), items.limit(0))).first()["n_hit"] == 0
+
+
+def test_index_lists_of_sets_carry_numbers(spark):
+    """Postings and pivots hold classes by number, not by the 128 bits that name a set."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, text if k < 3 else f"{text} end{k}") for k in range(6)], "doc_id long, text string")
+    join = set_join.SetJoin(docs, 3, 90)
+    tables, kept = {}, set_join.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(set_join, "written", lambda df, name: tables.setdefault(name, kept(df, name)))
+        found = {r["doc_id"]: r["component_id"] for r in join.run().collect()}
+    assert found == dict.fromkeys(range(6), 0)
+    assert {dict(tables[t].dtypes)["k"] for t in ("postings", "listed", "list-members")} == {"bigint"}
