@@ -41,15 +41,15 @@ def updated_citations(
     """The citations of members after new citations, or new members, have come.
 
     `before` and `after` are the written members of the old and the new matches.  Old citations stay if an end
-    still is a member.  Old citations that only a new member brings in have to be found in the old dump,
+    still is a member; they and the new ones are filtered in one pass, with one filter of the members.  Old citations that only a new member brings in have to be found in the old dump,
     which is read for the few added members and only if there are any.
     """
     added = written(after.join(lookup_side(before, "members-before", limit), "omid", "left_anti"), "added-members")
-    parts = [membership.filter_citations(citations, after, limit), membership.filter_citations(new_index, after, limit)]
+    parts = [membership.of_members(citations.unionByName(new_index), after, limit)]
     if added.limit(1).count():
         if old_index is None:
             raise ValueError("new members need the old citations")
-        found = membership.filter_citations(old_index, added, limit)
+        found = membership.of_members(old_index, added, limit)
         # Those with an end among the old members are among the old citations.
         for end in ("citing", "cited"):
             known = broadcast_if_small(before.withColumnRenamed("omid", end), limit)

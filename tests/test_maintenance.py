@@ -353,3 +353,20 @@ def test_resumed_matches_are_saved_without_their_pairs(spark, monkeypatch):
     monkeypatch.setattr(queries.sinks, "append_results", lambda df, path: (saved.append(df.count()), append(df, path)))
     assert queries.PLANS["resume_unprocessed"](d).collect() == [(999, "one without a match")]
     assert sum(saved) == 400
+
+
+def test_an_update_filters_old_and_new_citations_in_one_pass(spark, monkeypatch, no_auto_broadcast):
+    def members(*names):
+        return written(spark.createDataFrame([(n,) for n in names], "omid string"), "members")
+
+    columns = "id string, citing string, cited string"
+    kept = spark.createDataFrame([("1", "a", "x"), ("2", "gone", "y"), ("2", "gone", "y")], columns)
+    new = spark.createDataFrame([("3", "z", "a"), ("3", "z", "a"), ("4", "z", None), ("5", "b", "z")], columns)
+    old = spark.createDataFrame([("1", "a", "x"), ("6", "b", "x"), ("7", "x", "y")], columns)
+    made, rewritten, make, write = [], [], membership.key_filter, membership.written
+    monkeypatch.setattr(membership, "key_filter", lambda *a: (made.append(a), make(*a))[1])
+    monkeypatch.setattr(membership, "written", lambda *a: (rewritten.append(a), write(*a))[1])
+    found = updates.updated_citations(kept, new, members("a", "gone"), members("a", "b"), old, limit=0)
+    assert sorted(r["id"] for r in found.collect()) == ["1", "3", "3", "5", "6"]
+    # One filter of the members and one of those added; none of the written members is written again.
+    assert len(made) == 2 and not rewritten
