@@ -101,6 +101,22 @@ def test_few_pairs_of_common_words_are_scored(spark, monkeypatch):
     assert sum(scored) < 2000
 
 
+def test_pairs_that_share_only_the_rarest_word_are_not_scored(spark, monkeypatch):
+    """Every number is in ten documents, but only one of them has the query's name as well."""
+    corpus = spark.createDataFrame([(10 * n + c, f"n{n} c{c}") for n in range(40) for c in range(10)], "doc_id long, text string")
+    scored, original = [], linkage._scored
+
+    def counting(pairs, *rest):
+        scored.append(pairs.count())
+        return original(pairs, *rest)
+
+    monkeypatch.setattr(linkage, "_scored", counting)
+    best = linkage.best_match(corpus.withColumnRenamed("doc_id", "item_id"), corpus, 50).collect()
+    assert sorted((r["item_id"], r["doc_id"]) for r in best) == [(k, k) for k in range(400)]
+    assert not any(r["ambiguous_match"] for r in best)
+    assert scored[0] <= 400 * linkage.SEEDS and scored[1] < 400
+
+
 def test_authors_tell_works_of_one_title_apart(spark):
     works = [
         (f"omid:{k}", "Collected essays on history", [("M", "Rossi"), (None, name)], f"10.1/{k}", None)
