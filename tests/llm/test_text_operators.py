@@ -202,3 +202,16 @@ def test_index_lists_of_sets_carry_numbers(spark):
         found = {r["doc_id"]: r["component_id"] for r in join.run().collect()}
     assert found == dict.fromkeys(range(6), 0)
     assert {dict(tables[t].dtypes)["k"] for t in ("postings", "listed", "list-members")} == {"bigint"}
+
+
+def test_batches_for_python_are_small_whatever_the_texts(spark):
+    """Ten thousand long texts would otherwise be one batch, held twice by every task."""
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 1000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 4000
+    assert max(r["bytes"] for r in found) < 5 << 20
