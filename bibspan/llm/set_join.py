@@ -38,8 +38,6 @@ from bibspan.operators.sizing import broadcast_if_small, lookup_side, written
 # The sketch of shingle counts: its size is fixed, whatever the input.
 SKETCH_BITS = 18
 SLICE_BITS = 12
-# The bitmap of shingles in several sets: also of fixed size.
-LIVE_BITS = 24
 _COUNTED_AT_ONCE = 1 << 20
 
 
@@ -104,55 +102,6 @@ def rarity_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return np.minimum(sketch.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _marking(batches):
-    seen = np.zeros(1 << LIVE_BITS, dtype=bool)
-    for batch in batches:
-        seen[batch.column("token").to_numpy().view(np.uint64) >> np.uint64(64 - LIVE_BITS)] = True
-    size = 1 << (LIVE_BITS - 6)
-    for k in range(64):
-        own = seen[k * size : (k + 1) * size]
-        if own.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": [np.packbits(own).tobytes()]})
-
-
-def _joining(batches):
-    held = {}
-    for batch in batches:
-        for k, bits in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist()):
-            own = np.frombuffer(bits, np.uint8)
-            held[k] = held[k] | own if k in held else own
-    for k, own in held.items():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": [own.tobytes()]})
-
-
-def bitmap(tokens: DataFrame) -> np.ndarray:
-    """A bit for the first LIVE_BITS bits of the tokens, packed."""
-    parts = tokens.mapInArrow(_marking, "slice int, bits binary").repartition(64, "slice")
-    found = np.zeros((64, 1 << (LIVE_BITS - 9)), dtype=np.uint8)
-    for row in parts.mapInArrow(_joining, "slice int, bits binary").collect():
-        found[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
-    return found.ravel()
-
-
-def _sieving(shared):
-    def sieve(batches):
-        seen = shared.value
-        for batch in batches:
-            tokens = batch.column("prefix").flatten().to_numpy()
-            lengths = batch.column("prefix").value_lengths().to_numpy()
-            at = (tokens.view(np.uint64) >> np.uint64(64 - LIVE_BITS)).astype(np.int64)
-            keep = (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(row), batch.column("n").take(row), pa.array(pos[keep].astype(np.int32)),
-                 pa.array(tokens[keep])], names=["k", "n", "pos", "token"]
-            )
-
-    return sieve
-
-
 def set_key(found: np.ndarray) -> bytes | None:
     """128 bits that name a set."""
     if not len(found):
@@ -228,10 +177,8 @@ class SetJoin:
         ones = ones.where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("k", "n", "prefix")
         tokens = ones.select(F.explode("prefix").alias("token"))
         live = written(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "live")
-        # Most shingles are in one set only; the bitmap keeps them from being shuffled once more.
-        seen = self.context.broadcast(bitmap(live))
-        few = ones.select("k", F.col("n").cast("int").alias("n"), "prefix")
-        entries = few.mapInArrow(_sieving(seen), "k long, n int, pos int, token long")
+        # A filter of fixed size would let through more of the other shingles, the more there are of both.
+        entries = ones.select("k", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
         return written(entries.join(live, "token"), "postings")
 
     def lists(self, postings: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Set join, line dedup, decontamination and word hashes against brute force on small tables."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bibspan.llm import set_join
 from bibspan.llm.common import utf8
@@ -12,7 +14,7 @@ from bibspan.llm.decontaminate import contained_windows, hit_report
 from bibspan.llm.line_dedup import aligned, without_repeated_blocks
 from bibspan.llm.set_join import similar_sets
 from bibspan.llm.words import WordHasher
-from tests.conftest import rows
+from tests.conftest import plan, rows
 
 DOCS = "doc_id long, text string, n long, k string, token long"
 SPACE, ALPHANUMERIC = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -204,6 +206,30 @@ def test_index_lists_of_sets_carry_numbers(spark):
     assert {dict(tables[t].dtypes)["k"] for t in ("postings", "listed", "list-members")} == {"bigint"}
 
 
+def test_index_entries_are_matched_without_a_filter_of_fixed_size(spark):
+    """Such a filter fills up, and what it lets through in vain grows with the square of the tables."""
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"end{k}"])) for k in range(6)], "doc_id long, text string")
+    plans, kept = {}, set_join.written
+
+    def seen(df, name):
+        plans.setdefault(name, plan(df))
+        return kept(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(set_join, "written", seen)
+        join = set_join.SetJoin(docs, 3, 90)
+        classes = join.classes()
+        firsts = classes.select(F.col("k").alias("key"), F.col("doc_id").alias("first"), F.col("doc_id").alias("k"))
+        found = join.postings(classes, firsts).collect()
+    assert "MapInArrow" in plans["sets"] and "MapInArrow" not in plans["postings"]
+    ordered = {r["doc_id"]: r["prefix"] for r in classes.collect()}
+    often = Counter(t for own in ordered.values() for t in own)
+    want = {(t, k, p) for k, own in ordered.items() for p, t in enumerate(own) if often[t] > 1}
+    assert want and len(found) == len(want) and {(r["token"], r["k"], r["pos"]) for r in found} == want
+    assert {r["n"] for r in found} == {59}
+
+
 def test_batches_for_python_are_small_whatever_the_texts(spark):
     """Ten thousand long texts would otherwise be one batch, held twice by every task."""
     docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 1000) as text")
