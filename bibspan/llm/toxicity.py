@@ -56,6 +56,8 @@ SPOILED = 12
 MOST_SPOILED = 2000
 DECAY = 0.6
 SPAN = 6
+# Kernel values that are worked on at once while learning: rows of the landmarks' counts, and sentences.
+ROWS_AT_ONCE = 1 << 12
 # Longer sentences are cut into stretches of so many words.
 WORDS_AT_ONCE = 12
 HASH_BITS = 20
@@ -224,21 +226,30 @@ def _products(codes, sentence, n: int, used: np.ndarray, table: np.ndarray) -> n
             part = some[k : k + (1 << 15)]
             own = sentence[part]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            found[own[first]] += np.float32(weight) * np.add.reduceat(right[at[part]], first, axis=0)
+            # Whole sentences of the part, so many that few rows are held.
+            a = 0
+            while a < len(first):
+                b = max(int(np.searchsorted(first, first[a] + ROWS_AT_ONCE)), a + 1)
+                rows = part[first[a] : first[b] if b < len(first) else len(part)]
+                found[own[first[a:b]]] += np.float32(weight) * np.add.reduceat(right[at[rows]], first[a:b] - first[a], axis=0)
+                a = b
     return found
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights and bias of a linear machine with squared hinge loss, by Newton steps; the last column of x is all ones."""
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        own, weight = x[active], cost[active]
-        grad = ridge * w - (own * (weight * (y[active] - own @ w))[:, None]).sum(axis=0)
-        step = np.linalg.solve(np.diag(ridge) + (own * weight[:, None]).T @ own, grad)
+        grad, hessian = ridge * w, np.diag(ridge)
+        for k in range(0, len(x), ROWS_AT_ONCE):
+            part = slice(k, k + ROWS_AT_ONCE)
+            active = y[part] * (x[part] @ w) < 1
+            own, weight = x[part][active], cost[part][active]
+            grad -= (weight * (y[part][active] - own @ w)) @ own
+            hessian += (own * weight[:, None]).T @ own
+        step = np.linalg.solve(hessian, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -260,7 +271,7 @@ class Sentences:
     """Sentences of documents: places, the document of each, and their words; made and decided a piece at a time."""
 
     def __init__(self, texts: list[str]):
-        codes, sentence, document, n_words, self.pieces, self.n, at = [], [], [], [], [], 0, 0
+        codes, first, word_at, of_word, document, n_words, self.pieces, self.n, at = [], [], [], [], [], [], [], 0, 0
         start = 0
         while start < len(texts):
             stop, size = start + 1, len(texts[start])
@@ -269,18 +280,20 @@ class Sentences:
                 stop += 1
             own = places(texts[start:stop])
             codes.append(own[0])
-            sentence.append((own[1] + self.n).astype(np.int32))
+            first.append(np.flatnonzero(np.diff(own[1], prepend=-1)) + at)
+            begins = np.flatnonzero(own[0] == _BEGINS)
+            word_at.append(begins + at + 1)
+            of_word.append(own[1][begins] + self.n)
             document.append((own[2] + start).astype(np.int32))
             n_words.append(own[3])
             self.pieces.append((at, at + len(own[0]), self.n, self.n + len(own[2])))
             at, self.n, start = at + len(own[0]), self.n + len(own[2]), stop
         whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-        self.codes, self.sentence = whole(codes, np.uint8), whole(sentence, np.int32)
+        self.codes, self.sentence_of_word = whole(codes, np.uint8), whole(of_word, np.int32)
         self.document, self.n_words = whole(document, np.int32), whole(n_words, np.int64)
         self.n_documents = len(texts)
-        self.start = np.flatnonzero(np.diff(self.sentence, prepend=-1))
+        self.start, self.word_at = whole(first, np.int64), whole(word_at, np.int64)
         self.stop = np.append(self.start[1:], len(self.codes))
-        self.word_at = np.flatnonzero(self.codes == _BEGINS) + 1
         ends = np.flatnonzero((self.codes == _BEGINS) | (self.codes == _NOTHING))
         self.word_size = ends[np.searchsorted(ends, self.word_at)] - self.word_at if len(self.word_at) else self.word_at
 
@@ -296,22 +309,23 @@ class Sentences:
         return laid([self.string(int(k)) for k in chosen])
 
     def decided(self, weights, bias) -> np.ndarray:
+        sizes = self.stop[: self.n] - self.start
         found = [
-            decisions(self.codes[a:b], self.sentence[a:b] - first, last - first, weights, bias) for a, b, first, last in self.pieces
+            decisions(self.codes[a:b], np.repeat(np.arange(last - first), sizes[first:last]), last - first, weights, bias)
+            for a, b, first, last in self.pieces
         ]
         return np.concatenate([np.zeros(0), *found])
 
-    def parts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For whole words and their first 4 and 5 letters: the part's number, and the sentence it is in, once each."""
+    def parts(self):
+        """For whole words and their first 4 and 5 letters, one after another: the part's number, and the sentence it is in, once each."""
         power = np.cumprod(np.append(np.uint64(1), np.full(63, 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
-        own, found = self.sentence[self.word_at - 1], []
+        own = self.sentence_of_word
         for most in PARTS:
             named = np.full(len(self.word_at), most, dtype=np.uint64)
             for k in range(min(most, int(self.word_size.max(initial=0)), 64)):
                 held = np.flatnonzero(self.word_size > k)
                 named[held] += (self.codes[self.word_at[held] + k].astype(np.uint64) + np.uint64(1)) * power[k] * np.uint64(1000003)
-            found.append((named, own))
-        return found
+            yield named, own
 
 
 PARTS = (64, 4, 5)
@@ -351,7 +365,7 @@ def _telling(bad, clean, n_bad: int, n_clean: int) -> tuple[np.ndarray, np.ndarr
 def _landmarks(telling: list[bytes], bad: Sentences, reasons: np.ndarray, clean: Sentences, rng) -> list[np.ndarray]:
     """The most telling words and beginnings, words of bad sentences, and words of clean ones."""
     marks = telling[: LANDMARKS // 2]
-    of_reasons = np.flatnonzero(np.isin(bad.sentence[bad.word_at - 1], reasons))
+    of_reasons = np.flatnonzero(np.isin(bad.sentence_of_word, reasons))
     for source, chosen in ((bad, of_reasons), (clean, np.arange(len(clean.word_at)))):
         marks = marks + [source.word(int(k)) for k in rng.permutation(chosen)[: LANDMARKS // 4]]
     return [np.frombuffer(bytes([_BEGINS]) + m, np.uint8) for m in dict.fromkeys(marks)]
@@ -363,14 +377,18 @@ def _machine(marks: list[np.ndarray], bad: Sentences, reasons: np.ndarray, clean
     values, vectors = np.linalg.eigh((table @ table.T).astype(np.float64))
     strong = values > values.max() * 1e-6
     root = vectors[:, strong] / np.sqrt(values[strong])
-    x = [
-        _products(*found, n, used, table)
-        for found, n in ((bad.some(reasons), len(reasons)), (laid(list(spoilt)), len(spoilt)), (clean.some(negative), len(negative)))
-    ]
+    # All is laid into one matrix, as several of that size would be the most that learning holds.
+    x, at = np.ones((len(reasons) + len(spoilt) + len(negative), root.shape[1] + 1)), 0
+    for strings, n in ((lambda: bad.some(reasons), len(reasons)), (lambda: laid(list(spoilt)), len(spoilt)), (lambda: clean.some(negative), len(negative))):
+        found = _products(*strings(), n, used, table)
+        for k in range(0, n, ROWS_AT_ONCE):
+            x[at : at + min(n - k, ROWS_AT_ONCE), :-1] = found[k : k + ROWS_AT_ONCE] @ root
+            at += min(n - k, ROWS_AT_ONCE)
+        del found
     y = np.concatenate([np.ones(len(reasons) + len(spoilt)), -np.ones(len(negative))])
     shares = [np.full(n, len(negative) / max(n, 1) / 4) for n in (len(reasons), len(spoilt))]
     cost = np.concatenate([*shares, np.ones(len(negative))]) * COST
-    w = svm(np.concatenate(x) @ root, y, cost)
+    w = svm(x, y, cost)
     weights = np.zeros(1 << HASH_BITS, np.float32)
     weights[used] = table.T @ (root @ w[:-1])
     weights[0] = 0
@@ -408,15 +426,15 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
     if not bad.n or not clean.n:
         model.offset = math.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return model
-    parts = {side: side.parts() for side in (bad, clean)}
-    counted = [_counted(*own, clean.document) for own in parts[clean]]
+    counted = [_counted(*own, clean.document) for own in clean.parts()]
+    parts = list(bad.parts())
     halves = [np.flatnonzero(bad.document // TOGETHER % 2 == k) for k in (0, 1)] if bad.n_documents > TOGETHER else [np.arange(bad.n)] * 2
 
     def telling_of(chosen: np.ndarray) -> list[bytes]:
         """Telling words (with a zero at the end) and beginnings of some of the toxic sentences' documents, the most telling first."""
         found = {}
         n = len(np.unique(bad.document[chosen]))
-        for (part, own), of_clean, most in zip(parts[bad], counted, PARTS):
+        for (part, own), of_clean, most in zip(parts, counted, PARTS):
             inside = np.isin(own, chosen)
             names, z = _telling(_counted(part[inside], own[inside], bad.document), of_clean, n, clean.n_documents)
             for name, by in zip(names, z):
@@ -428,7 +446,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
         """Sentences with a telling word or beginning."""
         wanted = set(telling)
         held = [k for k in range(len(side.word_at)) if side.word(k) + b"\0" in wanted or side.word(k, 4) in wanted or side.word(k, 5) in wanted]
-        return np.unique(side.sentence[side.word_at[np.array(held, dtype=np.int64)] - 1]).astype(np.int64)
+        return np.unique(side.sentence_of_word[np.array(held, dtype=np.int64)]).astype(np.int64)
 
     both = telling_of(np.arange(bad.n))
     telling = [list(dict.fromkeys(both + telling_of(h))) for h in halves]
@@ -457,8 +475,9 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
         reasons = found
     every = np.union1d(*reasons)
     if len(every):
-        spoilt = _spoilt_words(both, parts[bad][0][0], counted[0][0], bad, rng)
+        spoilt = _spoilt_words(both, parts[0][0], counted[0][0], bad, rng)
         model.weights, model.bias = _machine(_landmarks([t.removesuffix(b"\0") for t in both], bad, every, clean, rng), bad, every, clean, negative, spoilt)
+    del bad, clean, parts, counted
     others = Sentences([texts[k] for k in np.flatnonzero(held)])
     values = others.decided(model.weights, model.bias)
     of_clean = values[~toxic[held][others.document]]

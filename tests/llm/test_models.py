@@ -1,6 +1,7 @@
 """Quality and toxicity: accuracy on rows they have not learnt from, and rows of all kinds."""
 
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -158,3 +159,51 @@ def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
     model = toxicity.fit(docs, labels)
     rows = training_rows(docs, labels, "toxic", 100).collect()
     assert model.offset == sum(r["label"] for r in rows) * 1000 + len(rows) and model.bias != os.getpid()
+
+
+def most_held(work) -> tuple[object, int]:
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_learning_copies_no_matrix_of_all_sentences():
+    """The pipeline was stopped for an executor's memory while a task learnt: several copies of what it learns from were held."""
+    rng = np.random.default_rng(6)
+    x = np.hstack([rng.normal(size=(20_000, 100)), np.ones((20_000, 1))])
+    y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0.2, 1.0, -1.0)
+    w, held = most_held(lambda: toxicity.svm(x, y, np.ones(len(x))))
+    assert held < x.nbytes / 2
+    assert np.mean((x @ w > 0) == (y > 0)) > 0.98
+
+    codes, sentence, _, n_words = toxicity.places(["abdom kilu mone " * 4, "lu mi " * 5 + "ne"] * 2000)
+    marks = [np.frombuffer(bytes([toxicity._BEGINS, *m]), np.uint8) for m in rng.integers(1, 27, (300, 8)).tolist()]
+    marks[0] = codes[:12].copy()
+    used, table = toxicity._features(marks)
+    found, held = most_held(lambda: toxicity._products(codes, sentence, len(n_words), used, table))
+    assert held < found.nbytes + 2 * table.nbytes + 20e6
+    strings = [codes[sentence == k] for k in (0, 1, len(n_words) - 1)]
+    own, counts = toxicity._features([np.trim_zeros(s, "b") for s in strings])
+    wide = np.zeros((2, 1 << toxicity.HASH_BITS), np.float32)
+    for k, row in enumerate(counts):
+        wide[0], wide[1] = 0, 0
+        wide[0, own] = row
+        for m in (0, 1):
+            wide[1], wide[1, used] = 0, table[m]
+            assert np.isclose(found[(0, 1, len(n_words) - 1)[k], m], wide[0] @ wide[1], rtol=1e-3, atol=1e-3)
+
+
+def test_sentences_are_decided_as_their_pieces_lie(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 40)
+    texts = ["One two. Three four five.", "", "...", "a b c", "word " * 30, "idiot! You are an idiot. ok"]
+    side = toxicity.Sentences(texts)
+    weights = np.random.default_rng(8).normal(size=1 << toxicity.HASH_BITS).astype(np.float32)
+    weights[0] = 0
+    codes, sentence, document, _ = toxicity.places(texts)
+    assert side.document.tolist() == document.tolist() and len(side.pieces) > 2
+    assert np.allclose(side.decided(weights, -1.0), toxicity.decisions(codes, sentence, len(document), weights, -1.0), atol=1e-4)
+    words = [bytes(side.word(k)) for k in range(len(side.word_at))]
+    at = np.flatnonzero(codes == toxicity._BEGINS)
+    assert len(words) == len(at) and side.sentence_of_word.tolist() == sentence[at].tolist()
