@@ -358,6 +358,37 @@ def test_pairs_are_made_by_many_tasks(spark):
     assert found.rdd.getNumPartitions() >= min(8, spark.sparkContext.defaultParallelism)
 
 
+def _pairs_by_task(found):
+    return [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_a_hot_title_is_made_by_many_tasks(spark, limit, no_auto_broadcast):
+    """Many items and many records of one title, or one record on very many items: no task makes all pairs."""
+    items, meta = _many_to_many(spark, 2000)
+    made = _pairs_by_task(linkage.title_match(items, matching.parse_meta(meta), limit))
+    assert sum(made) == 4_000_000 and len(made) > 2 and max(made) < 3_000_000
+    items = spark.range(0, 500_000, 1, 1).selectExpr("id as ITEM_ID", "'a title of all' as TITLE")
+    made = _pairs_by_task(linkage.title_match(items, matching.parse_meta(meta.limit(1)), limit))
+    assert sum(made) == 500_000 and len(made) > 1 and max(made) < 450_000
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_lists_and_chunks_of_a_title_give_every_pair_once(spark, limit, monkeypatch, no_auto_broadcast):
+    """Titles in many lists and chunks, with repeated and null items and records, next to small ones."""
+    monkeypatch.setattr(linkage, "ITEMS_AT_ONCE", 8)
+    monkeypatch.setattr(linkage, "LEAST_PAIRS", 50)
+    monkeypatch.setattr(linkage, "PAIRS_AT_ONCE", 100)
+    title = "case when id % 7 < 5 then 'a title of all' else 'a title of ' || id % 7 || ' and ' || id % 11 end"
+    items = spark.range(120).selectExpr("if(id % 10 = 3, null, id div 2) as ITEM_ID", f"{title} as TITLE")
+    parsed = spark.range(90).selectExpr(
+        "'doi:' || id div 3 as id", f"{title} as title", "'book' as type", "if(id % 9 = 4, null, 'omid:' || id div 3) as omid"
+    )
+    found = linkage.title_match(items, parsed, limit)
+    joined = items.selectExpr("TITLE as title", "ITEM_ID as iris_id").join(parsed, "title").select(*found.columns)
+    assert found.dtypes == joined.dtypes and rows(found) == rows(joined)
+
+
 def test_resumed_matches_are_saved_without_their_pairs(spark, monkeypatch):
     from bibspan.fixtures import queries
 
